@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import chat_format, ngram_join, packing, quality_rules, toxicity
+from clusterloom.llm import chat_format, embedding_dedup, ngram_join, packing, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_windows(chat_format.with_probe(_table(spark, sf_dir, "conversations"))))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,8 +40,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op6_chat_formatting, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op6_chat_formatting, op7_embedding_near_dedup, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op6_chat_formatting": chat_format.ORACLE_SQL}
+    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op6_chat_formatting": chat_format.ORACLE_SQL, "op7_embedding_near_dedup": embedding_dedup.ORACLE_SQL}
