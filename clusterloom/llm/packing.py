@@ -8,12 +8,14 @@ than c tokens.  Every task packs its own documents; nothing is shuffled.  At its
 the pieces in unfinished bins are laid end to end and cut anew at capacity, and the last
 stretch into powers of two, which need no padding.
 
-Tokens of each white-space-delimited word are computed once and kept in a bounded
-table: the tokenizer drops white space before it merges, so words are independent.
+Tokens of each word or letter run are computed once and kept in a bounded table: the
+tokenizer parts text there before it merges, so they are independent.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,70 +23,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.text_arrays import chunks, scan
+from clusterloom.llm.text_arrays import _IS_SPACE, _LOWER, Words, chunks, ranges, word_ranges
 
 CAPACITY = 2048
 END_ID = 1
-#: Words that a task keeps the tokens of.
-TABLE = 200_000
+#: Units that a Python worker keeps the tokens of (about 80 MB).
+TABLE = 400_000
 #: Batches are handed on after so many pieces.
 BATCH = 4_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordTokens:
-    """Token ids of words by 64-bit word hash."""
+    """Token ids of units by 64-bit hash, for a tokenizer that lowers case and merges within words.
+
+    A unit is a white-space-delimited word; a word whose letters are all ASCII or Latin-1
+    letters and that has no apostrophe is parted further, between letters and the rest, as the
+    tokenizer's own pattern does.  Plain letter units go straight to the merge model and
+    the others through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        self.marked = Tokenizer.from_file(path)
-        self.mark, self.mark_id = next(((t.content, i) for i, t in sorted(self.marked.get_added_tokens_decoder().items(), reverse=True)), (None, None))
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.model = self.whole.model
         self.table: dict[int, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; texts free of the marker are encoded together, parted by it."""
-        if self.mark is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.plain.encode_batch(texts, add_special_tokens=False)]
-        out: list[bytes] = [b""] * len(texts)
-        safe = [i for i, t in enumerate(texts) if "<" not in t]
-        for i in set(range(len(texts))) - set(safe):
-            out[i] = np.array(self.plain.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        for lo in range(0, len(safe), 2000):
-            part = safe[lo : lo + 2000]
-            ids = np.array(self.marked.encode((" " + self.mark + " ").join(texts[i] for i in part), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == self.mark_id)
-            at, to = np.r_[0, cut + 1], np.r_[cut, len(ids)]
-            for i, a, b in zip(part, at, to, strict=True):
-                out[i] = ids[a:b].tobytes()
-        return out
+        self.plain = re.compile("[a-zß-öø-ÿ]+")
+        shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 173 or b > 173]  # fixed value: bytes that byte-level vocabularies write as themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.symbols = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+    def encode(self, unit: bytes) -> bytes:
+        text = unit.decode("utf-8", "replace")
+        if self.plain.fullmatch(text):
+            written = text if text.isascii() else "".join(map(self.symbols.__getitem__, unit))
+            ids = [t.id for t in self.model.tokenize(written)]
+        else:
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def documents(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Token ids of each text."""
-        words = scan(data, bounds)
+        words = units(data, bounds)
         keys, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
         names = keys.tolist()
         if len(self.table) > TABLE:
             self.table = {}
-        new = [i for i, k in enumerate(names) if k not in self.table]
+        table = self.table
+        values = list(map(table.get, names))
+        new = [i for i, v in enumerate(values) if v is None]
         if new:
-            body = data.tobytes()
-            texts = [body[words.start[at[i]] : words.end[at[i]]].decode("utf-8", "replace") for i in new]
-            self.table.update(zip((names[i] for i in new), self._encode(texts), strict=True))
-        values = [self.table[k] for k in names]
-        size = np.array([len(v) for v in values], np.int64) // 4
+            body = words.data.tobytes()
+            for i, a, b in zip(new, words.start[at[new]].tolist(), words.end[at[new]].tolist(), strict=True):
+                values[i] = table[names[i]] = self.encode(body[a:b])
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
         flat = np.frombuffer(b"".join(values), "<u4")
         begin = np.cumsum(size) - size
         lengths = size[inverse]
         total = np.cumsum(lengths)
-        place = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - lengths, lengths) + np.repeat(begin[inverse], lengths)
-        ids = flat[place]
-        cuts = np.r_[0, total][words.first]
+        step = np.ones(int(total[-1]) if len(total) else 0, np.int32)
+        if len(step):  # each unit's ids are a run of flat: sum up steps instead of adding ranges
+            some = np.flatnonzero(lengths)
+            first = begin[inverse[some]]
+            heads = (total - lengths)[some]
+            step[heads[0]] = first[0]
+            step[heads[1:]] = first[1:] - (first[:-1] + lengths[some][:-1] - 1)
+            np.cumsum(step, out=step)
+        ids = flat[step]
+        cuts = np.r_[0, total][words.first].tolist()
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def units(data: np.ndarray, bounds: np.ndarray) -> Words:
+    """Units of the texts, ASCII and Latin-1 letters in lower case."""
+    data = _LOWER[data]
+    after = np.zeros(len(data), bool)  # second byte of a Latin-1 letter
+    after[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    upper = after & (data < 0x9F)
+    data = data + 0x20 * upper.astype(np.uint8)
+    begin, end = word_ranges(data, bounds)
+    lead = np.zeros(len(data), bool)
+    lead[:-1] = after[1:]
+    odd = ((data >= 0x80) & ~after & ~lead) | (data == 0x27)
+    whole = np.r_[0, np.cumsum(odd)]
+    letter = (data >= 0x80) | ((data >= 0x61) & (data <= 0x7A))
+    part = np.zeros(len(data), bool)
+    part[1:] = (letter[1:] != letter[:-1]) & ~_IS_SPACE[data[1:]] & ~_IS_SPACE[data[:-1]]
+    cut = np.flatnonzero(part)
+    if len(cut):
+        word = np.searchsorted(begin, cut, side="right") - 1
+        cut = cut[(whole[end[word]] == whole[begin[word]]) & (cut > begin[word])]
+    return ranges(data, _merge(begin, cut, len(data)), _merge(end, cut, len(data)), bounds)
+
+
+def _merge(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    mark = np.zeros(n + 1, bool)
+    mark[a] = True
+    mark[b] = True
+    return np.flatnonzero(mark)
+
+
 def class_lengths(capacity: int) -> list[int]:
     """For each rest 0..capacity, the length of its next piece."""
     return [0] + [capacity // -(-capacity // r) for r in range(1, capacity + 1)]

@@ -80,6 +80,11 @@ def scan(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
     """Words of the texts data[bounds[d]:bounds[d + 1]]."""
     if lower:
         data = _LOWER[data]
+    return ranges(data, *word_ranges(data, bounds), bounds)
+
+
+def word_ranges(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word."""
     space = _IS_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)  # a new text ends a word too
     edge[bounds] = True
@@ -89,7 +94,11 @@ def scan(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
     starts = np.flatnonzero(word & (~before | edge[:-1]))
     after = np.zeros(len(data), bool)
     after[:-1] = word[1:]
-    ends = np.flatnonzero(word & (~after | edge[1:])) + 1
+    return starts, np.flatnonzero(word & (~after | edge[1:])) + 1
+
+
+def ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> Words:
+    """Hashed byte ranges; none crosses a bound."""
     total, down = prefix_hash(data)
     value = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xA24BAED4963EE407))
     return Words(data, starts, ends, value, np.searchsorted(starts, bounds))
