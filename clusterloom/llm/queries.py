@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import chat_format, embedding_dedup, ngram_join, packing, quality_rules, toxicity
+from clusterloom.llm import chat_format, embedding_dedup, line_dedup, ngram_join, packing, quality_rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_table(spark, sf_dir, "documents"), k=3, pct=90)
 
@@ -40,7 +44,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op4_quality_rules, op6_chat_formatting, op7_embedding_near_dedup, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op4_quality_rules, op6_chat_formatting, op7_embedding_near_dedup, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
