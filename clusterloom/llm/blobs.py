@@ -24,10 +24,12 @@ def bucket_count(spark: SparkSession) -> int:
 
 def pack(records: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(bucket, bytes) of a structured array's records."""
+    if not len(records):
+        return
     order = np.argsort(bucket, kind="stable")
     records, bucket = records[order], bucket[order]
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
-    for lo, hi in zip(cut, np.r_[cut[1:], len(bucket)].astype(int), strict=True):
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    for lo, hi in zip(cut, np.r_[cut[1:], len(bucket)], strict=True):
         yield int(bucket[lo]), records[lo:hi].tobytes()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import chat_format, embedding_dedup, line_dedup, ngram_join, packing, quality_rules, toxicity
+from clusterloom.llm import chat_format, embedding_dedup, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_table(spark, sf_dir, "documents"), k=3, pct=90)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op4_quality_rules, op6_chat_formatting, op7_embedding_near_dedup, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_quality_rules, op6_chat_formatting, op7_embedding_near_dedup, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
