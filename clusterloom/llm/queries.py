@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import chat_format, embedding_dedup, line_dedup, ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from clusterloom.llm import chat_format, embedding_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_windows(chat_format.with_probe(_table(spark, sf_dir, "conversations"))))
 
@@ -47,9 +51,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_quality_rules, op6_chat_formatting, op7_embedding_near_dedup, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_quality_rules, op5_mixing, op6_chat_formatting, op7_embedding_near_dedup, op8_packing, op9_toxicity, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op6_chat_formatting": chat_format.ORACLE_SQL, "op7_embedding_near_dedup": embedding_dedup.ORACLE_SQL}
+    return {"op4_quality_rules": quality_rules.ORACLE_SQL, "op6_chat_formatting": chat_format.ORACLE_SQL, "op7_embedding_near_dedup": embedding_dedup.ORACLE_SQL, "op10_license_scan": license_scan.ORACLE_SQL}
