@@ -18,8 +18,8 @@ FLUSH = 2_000_000
 
 
 def bucket_count(spark: SparkSession) -> int:
-    """Sixteen buckets for each shuffle partition, so that they even out; grows with the cluster's own setting."""
-    return 16 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Four buckets for each shuffle partition; grows with the cluster's own setting."""
+    return 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pack(records: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, bytes]]:

@@ -41,8 +41,8 @@ ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("pos"
 ASKED = np.dtype([("doc", "<i8"), ("anchor", "<u8"), ("pos", "<u4")])
 MARK = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 CONTEXT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (WIDTH,))])
-#: Contexts of one index: bounds the memory of a task.
-INDEX = 4_000
+#: Contexts of one index; small ones stay in the processor's cache.
+INDEX = 300
 MARKS, ANCHORS, ASKS, CONTEXTS, TEXT = 0, 1, 2, 3, 4
 ROWS = "bucket int, kind int, blob binary"
 
