@@ -30,7 +30,7 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = (0.94, 0.03, 0.03)
 #: Fits with so small a residual are done.
 TOLERANCE = 1e-4
-STEPS = 40
+STEPS = 10
 MODEL = Ftrl(alpha=3.0, l1=8.0, l2=0.1, epochs=2)
 
 

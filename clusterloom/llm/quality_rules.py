@@ -134,7 +134,10 @@ def filter_documents(docs: DataFrame, rules: list[Rule] | None = None, text_col:
     _check(docs)
     prepared = prepare(docs, text_col)
     ordered = order_rules(prepared, default_rules() if rules is None else rules)
-    return _drop(prepared.where(verdict(ordered).isNull()))
+    # the partition id is not deterministic to the optimizer, which thus cannot push the filter below the
+    # prepared columns and compute them again for every use
+    judged = prepared.withColumn(_P + "verdict", F.when(F.spark_partition_id() >= 0, verdict(ordered)))
+    return _drop(judged.where(_c("verdict").isNull()))
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
