@@ -42,3 +42,36 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 def _signature(graph: DataFrame) -> tuple:
     """Count and fingerprint of an edge set; two longs reach the driver."""
     return tuple(graph.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def closure(edges: DataFrame, key: str = "topic") -> DataFrame:
+    """key, src, dst, hops: every reachable pair with its least number of edges, cycles included.
+
+    Semi-naive: each round joins the last round's new pairs with the edges and keeps those not yet known.
+    """
+    e = edges.select(key, "src", "dst").where("src is not null and dst is not null").distinct()
+    step = e.select(key, F.col("src").alias("mid"), F.col("dst").alias("to"))
+    known = fresh = settle(e.withColumn("hops", F.lit(1)))
+    hops = 1
+    while fresh.take(1):
+        hops += 1
+        reached = fresh.select(key, "src", F.col("dst").alias("mid")).join(step, [key, "mid"]).select(key, "src", F.col("to").alias("dst")).distinct()
+        fresh = settle(reached.join(known, [key, "src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
+        known = known.unionByName(fresh)
+    return known
+
+
+def derived_relations(edges: DataFrame, key: str = "topic") -> DataFrame:
+    """key, src, dst: reachable pairs of different nodes that are not edges themselves."""
+    return closure(edges, key).where("hops > 1 and src <> dst").select(key, "src", "dst")
+
+
+def components_by_topic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """topic, idx, label: components of edges topic, i, j over nodes topic, idx; labels number the components by their least idx."""
+    from pyspark.sql import Window as W
+
+    node = lambda c: F.xxhash64("topic", c)
+    parts = connected_components(edges.select(node("i").alias("src"), node("j").alias("dst")))
+    named = nodes.select("topic", "idx", node("idx").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.withColumn("least", F.min("idx").over(W.partitionBy("topic", "component")))
+    return least.select("topic", "idx", (F.dense_rank().over(W.partitionBy("topic").orderBy("least")) - 1).cast("long").alias("label"))
