@@ -9,10 +9,11 @@ changes one block, so a linked pair agrees on 1 + e blocks at least: documents a
 joined on equal block sketches.  Light blocks say little and are left out, unless a
 document has more than e of them, so no pair is lost.
 
-The joined documents form candidate clusters.  Clusters are compared in pairs of
-bounded blocks: the Hamming distance of whole parity sketches, a lower bound of the
-symmetric difference, rules out most pairs, and the rest are verified on the sets.
-A task returns a spanning forest of its links, never all pairs.
+Documents of one signature are compared by size and by whole parity sketches, whose
+Hamming distance bounds the symmetric difference from below.  The pairs that these do not
+rule out connect candidate clusters; for each signature a spanning forest of them is enough.
+Clusters are then compared in pairs of bounded blocks, sketches first, and verified on
+the sets.  Tasks return spanning forests, never all pairs.
 
 Exact copies within a map task meet before the shuffle, so a group of copies sends
 one document for each task at most.
@@ -37,8 +38,10 @@ from clusterloom.operators.graph import connected_components
 POSTING = np.dtype([("sig", "<u8"), ("id", "<i8")])
 #: Documents of one block of a cluster.
 BLOCK = 256
-FOUND = "kind int, a long, b long"
-DOC, LINK, PAIR = 0, 1, 2
+FOUND = "kind int, a long, b long, blob binary"
+DOC, LINK, MEMBER = 0, 1, 2
+#: Bits of the whole-set sketch that travels with a document; a longer set's is folded by XOR.
+SKETCH = 512
 
 
 @lru_cache(maxsize=None)
@@ -106,23 +109,17 @@ def text_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield row, *distinct_sets(s, owner, last - row)
 
 
-def stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of each signature's smallest document with its others."""
-    order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    head = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
-    hub = ids[np.maximum.accumulate(np.where(head, np.arange(len(sig)), 0))] if len(sig) else ids
-    keep = hub != ids
-    if not keep.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([hub[keep], ids[keep]], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+def set_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity of SKETCH hash classes of each set, as rows of bytes."""
+    n = len(first) - 1
+    cell = np.repeat(np.arange(n), np.diff(first)) * SKETCH + ((values >> U(7)) & U(SKETCH - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=n * SKETCH) & 1).astype(np.uint8).reshape(n, SKETCH), axis=1)
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, missing: np.ndarray | None = None) -> pa.RecordBatch:
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, missing: np.ndarray | None = None, blobs: pa.Array | None = None) -> pa.RecordBatch:
     n = len(a)
     return pa.RecordBatch.from_arrays(
-        [pa.array((mix(a.astype(U)) & U(0x7FFF)).astype(np.int32)), pa.array(np.full(n, kind), pa.int32()), pa.array(a, pa.int64(), mask=missing), pa.array(b, pa.int64()), pa.nulls(n, pa.binary())],
+        [pa.array((mix(a.astype(U)) & U(0x7FFF)).astype(np.int32)), pa.array(np.full(n, kind), pa.int32()), pa.array(a, pa.int64(), mask=missing), pa.array(b, pa.int64()), pa.nulls(n, pa.binary()) if blobs is None else blobs],
         ["bucket", "kind", "a", "b", "blob"],
     )
 
@@ -139,7 +136,7 @@ def _sketch(buckets: int, k: int, pct: int) -> Callable[[Iterator[pa.RecordBatch
             out = list(pack(records, (records["sig"] % U(buckets)).astype(np.int64)))
             if out:
                 n = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([PAIR + 1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "kind", "a", "b", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([MEMBER + 1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "kind", "a", "b", "blob"])
 
         for batch in batches:
             ids = batch.column(0)
@@ -149,7 +146,7 @@ def _sketch(buckets: int, k: int, pct: int) -> Callable[[Iterator[pa.RecordBatch
                 n = len(first) - 1
                 sizes = np.diff(first)
                 here = slice(row, row + n)
-                yield _rows(DOC, number[here], sizes, ~valid[here])
+                yield _rows(DOC, number[here], sizes, ~valid[here], pa.array([x.tobytes() for x in set_sketches(values, first)], pa.binary()))
                 new = np.zeros(n, bool)
                 a, b = [], []
                 for d in np.flatnonzero(valid[here] & (sizes > 0)):
@@ -182,19 +179,76 @@ def _sketch(buckets: int, k: int, pct: int) -> Callable[[Iterator[pa.RecordBatch
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes documents and links on, and turns the postings of a partition into star pairs."""
+    """Passes documents and links on, and turns the postings of a partition into (signature, document) of shared signatures."""
     blobs: list[bytes] = []
     for batch in batches:
         kind = batch.column(1).to_numpy()
-        if (plain := kind <= PAIR).any():
-            yield batch.select(["kind", "a", "b"]).filter(pa.array(plain))
+        if (plain := kind < MEMBER).any():
+            yield batch.select(["kind", "a", "b", "blob"]).filter(pa.array(plain))
         if not plain.all():
             blobs += batch.column(4).filter(pa.array(~plain)).to_pylist()
     records = unpack(blobs, POSTING)
     del blobs
-    a, b = stars(records["sig"], records["id"])
-    if len(a):
-        yield _rows(PAIR, a, b).select(["kind", "a", "b"])
+    records = records[np.argsort(records["sig"])]
+    same = records["sig"][1:] == records["sig"][:-1]
+    shared = np.r_[same, False] | np.r_[False, same] if len(records) else np.zeros(0, bool)
+    records = records[shared]
+    for lo in range(0, len(records), 100_000):
+        part = records[lo : lo + 100_000]
+        yield _rows(MEMBER, part["sig"].astype(np.int64), part["id"]).select(["kind", "a", "b", "blob"])
+
+
+def plausible_forest(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, pct: int) -> np.ndarray:
+    """Pairs of documents that span, for each signature, the graph of its pairs that sizes and sketches do not rule out."""
+
+    def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        a, b = size[i], size[j]
+        ok = 100 * np.minimum(a, b) >= pct * np.maximum(a, b)
+        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+        return ok & (apart * (100 + pct) <= (100 - pct) * (a + b))
+
+    order = np.lexsort((ids, sig))
+    sig, ids, size, sketch = sig[order], ids[order], size[order], sketch[order]
+    if not len(sig):
+        return np.zeros((0, 2), np.int64)
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    count = np.diff(np.r_[first, len(sig)])
+    hub = np.repeat(first, count)
+    hit = np.concatenate([near(hub[lo : lo + 50_000], np.arange(lo, min(lo + 50_000, len(sig)))) for lo in range(0, len(sig), 50_000)])
+    out = [np.stack([ids[hub[hit]], ids[hit]], 1)]
+    missed = np.add.reduceat(~hit, first)
+    for at, n in zip(first[missed > 0].tolist(), count[missed > 0].tolist(), strict=True):
+        # some document is far from the first: walk the graph of near pairs, each document once against those not reached yet
+        left = np.arange(at, at + n)
+        if n == 2:
+            continue
+        reached = [at]
+        left = left[1:]
+        while len(left):
+            if not reached:
+                reached, left = [int(left[0])], left[1:]
+                continue
+            me = reached.pop()
+            close = near(me, left)
+            if close.any():
+                out.append(np.stack([np.full(int(close.sum()), ids[me]), ids[left[close]]], 1))
+                reached += left[close].tolist()
+                left = left[~close]
+    pairs = np.concatenate(out)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return np.unique(pairs, axis=0)
+
+
+def _plausible(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(-1, SKETCH // 64)
+            pairs = plausible_forest(table["sig"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy(), sketch, pct)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+
+    return run
 
 
 def _to_sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -283,7 +337,9 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
     found = settle(
         rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet, FOUND)
     )
-    pairs = found.where(f"kind = {PAIR}").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    about = found.where(f"kind = {DOC}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch"))
+    shared = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id")).join(about, "id")
+    pairs = shared.select("sig", "id", "n", "sketch").repartition("sig").mapInArrow(_plausible(pct), "src long, dst long")
     members = connected_components(pairs).withColumnRenamed("component", "cluster")
     blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = members.join(blocks, "cluster")
