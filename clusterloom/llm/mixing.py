@@ -163,5 +163,6 @@ def mix_documents(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...]
     Rows that share an id take the most copies that any of them has.
     """
     plan = mix_rates(docs, labels, weights, max_rows).where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(plan, docs["doc_id"] == F.col("_doc"), "left")
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)))).alias("_copy")).drop("_copy")
+    out = docs.join(plan, docs["doc_id"] == plan["_doc"], "left")
+    again = F.explode(F.array_repeat(F.lit(0), F.coalesce(plan["_copies"], F.lit(1)))).alias("_mixing_copy")
+    return out.select(*[docs[c] for c in docs.columns], again).drop("_mixing_copy")

@@ -368,4 +368,4 @@ def keep_first(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     Rows with a null doc_id stay, and rows that share the kept doc_id stay together.
     """
     gone = link_documents(docs, k, pct).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
