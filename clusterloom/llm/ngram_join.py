@@ -7,7 +7,8 @@ Within it, shingles are dealt by hash into D + 1 + e blocks, and each block keep
 the parity of 64 hash classes (the XOR of one-hot bits) and its count.  One shingle
 changes one block, so a linked pair agrees on 1 + e blocks at least: documents are
 joined on equal block sketches.  Light blocks say little and are left out, unless a
-document has more than e of them, so no pair is lost.
+document has more than e of them, so no pair is lost.  In bands with D of DENSE or more,
+fewer and fuller blocks do: D changes at random leave one unchanged but with a chance of 1e-18.
 
 Documents of one signature are compared by size and by whole parity sketches, whose
 Hamming distance bounds the symmetric difference from below.  The pairs that these do not
@@ -40,10 +41,26 @@ POSTING = np.dtype([("sig", "<u8"), ("id", "<i8")])
 BLOCK = 256
 FOUND = "kind int, a long, b long, blob binary"
 DOC, LINK, MEMBER = 0, 1, 2
+#: Differences from which on blocks are counted by probability instead of one for each difference.
+DENSE = 200
+#: Logarithm of the chance that a linked pair of such sets is missed: 1e-18, that of a 64-bit hash collision.
+MISS = -41.5
 #: Bits of the whole-set sketch that travels with a document; a longer set's is folded by XOR.
 SKETCH = 512
 
 
+def _full_blocks(size: int, d: int) -> int:
+    """Fewest blocks of which d random changes leave one of over two shingles unchanged all but surely; 0 if that takes over d."""
+    k = d // 8
+    while k <= d:
+        mean = size / k
+        full = 1 - math.exp(-mean) * (1 + mean + mean * mean / 2)
+        if k * math.log1p(-math.exp(-d / k) * full) <= MISS:
+            return k
+        k += 1 + k // 100
+    return 0
+
+
 @lru_cache(maxsize=None)
 def bands(pct: int) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
     """Lower bounds of the size bands, and for each its blocks, spare blocks and largest count of a light block."""
@@ -55,6 +72,13 @@ def bands(pct: int) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...],
         d = 2 * (after - 1) * (100 - pct) // (100 + pct)
         mean = at / (d + 1)
         most, e = -1, 0
+        if d >= DENSE and (k := _full_blocks(at, d)):
+            low.append(at)
+            count.append(k)
+            spare.append(1 << 40)  # light blocks are never kept
+            light.append(2)
+            at = after
+            continue
         if d:
             for t in (0, 1, 2):
                 p = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(t + 1))
