@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the bytes that part words.
-SPACES = " \t\n\x0b\x0c\r"
+#: Fixed value: the characters that part words, as the inside of a character class.
+SPACES = r" \t\n\x0b\f\r"
 
 
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters outside SPACES."""
-    return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * 5), " "), "")
+    return F.array_remove(F.split(text, f"[{SPACES}]+"), "")
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def has_word(text: Column) -> Column:
+    return text.rlike(f"[^{SPACES}]")
 
 
 def count_of(text: Column, characters: str) -> Column:
-    """How many characters of text are among the given ones."""
-    return F.char_length(text) - F.char_length(without(text, characters))
+    """How many characters of text are among the given ones, which mean themselves in a character class."""
+    return F.regexp_count(text, F.lit(f"[{characters}]"))

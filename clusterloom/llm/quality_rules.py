@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.native import SPACES, count_of, without, words
+from clusterloom.llm.native import count_of, has_word, words
 
 #: Fixed value: what counts as a symbol.
 SYMBOLS = "#*$%&|<>"
@@ -44,13 +44,13 @@ def default_rules(min_words: int = 50, repeat_pct: int = 50, symbol_pct: int = 1
         Rule("repeated_windows", 100 * repeat_words(_c("words"), _c("windows")) > repeat_pct * n, 20 * size),
         Rule("symbols", 100 * count_of(_c("text"), SYMBOLS) > symbol_pct * n, size),
         Rule("repeated_lines", 100 * dup_lines(_c("lines")) > dup_line_pct * F.size(_c("lines")), 2 * size),
-        Rule("word_length", (word_chars(_c("text")) < mean_low * n) | (word_chars(_c("text")) > mean_high * n), size),
+        Rule("word_length", (word_chars(_c("words")) < mean_low * n) | (word_chars(_c("words")) > mean_high * n), size),
         Rule("shouting", 100 * count_of(_c("text"), "!") > shout_pct * n, size),
     ]
 
 
-def word_chars(text: Column) -> Column:
-    return F.char_length(without(text, SPACES))
+def word_chars(word: Column) -> Column:
+    return F.char_length(F.array_join(word, ""))
 
 
 def dup_lines(lines: Column) -> Column:
@@ -92,7 +92,7 @@ def repeat_words(word: Column, window: Column) -> Column:
 def prepare(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the columns that rules read, each computed once for a row."""
     out = docs.withColumn(_P + "text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    lines = F.filter(F.split(_c("text"), "\n"), lambda x: without(x, SPACES) != "")
+    lines = F.filter(F.split(_c("text"), "\n"), has_word)
     out = out.withColumns({_P + "words": words(_c("text")), _P + "lines": lines})
     return out.withColumn(_P + "windows", windows(_c("words")))
 
@@ -156,7 +156,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return base.select(
         "doc_id",
         _c("n_words").cast("long").alias("n_words"),
-        word_chars(_c("text")).cast("long").alias("word_chars"),
+        word_chars(_c("words")).cast("long").alias("word_chars"),
         count_of(_c("text"), SYMBOLS).cast("long").alias("n_symbols"),
         dup_lines(_c("lines")).cast("long").alias("n_dup_lines"),
         _c("n_repeat_words").cast("long").alias("n_repeat_words"),
