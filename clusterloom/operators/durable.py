@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +22,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared checkpoint folder, its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, table: bool = False) -> DataFrame:
+    """df computed once and kept in the shared checkpoint folder, its lineage cut.
+
+    A table is written as Parquet, which packs large results better than a checkpoint does, and stays there as long as
+    the folder.
+    """
+    spark = df.sparkSession
+    folder = ensure_checkpoint_dir(spark)
+    if not table:
+        return df.checkpoint(eager=True)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of lineage that nothing holds any more; it learns that from the driver's collections."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

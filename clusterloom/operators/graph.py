@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.operators.durable import settle
+from clusterloom.operators.durable import release, settle
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -21,6 +21,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     graph = settle(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct()
     )
+    release(edges.sparkSession)
     mark = _signature(graph)
     while mark[0]:
         both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
