@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm.blobs import FLUSH, bucket_count, groups, pack, unpack
 from clusterloom.llm.text_arrays import U, chunks, distinct_sets, mix, scan, shingles
-from clusterloom.operators.durable import settle
+from clusterloom.operators.durable import release, settle
 from clusterloom.operators.graph import connected_components
 
 POSTING = np.dtype([("sig", "<u8"), ("id", "<i8")])
@@ -359,8 +359,10 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(spark)
     found = settle(
-        rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet, FOUND)
+        rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet, FOUND),
+        table=True,
     )
+    release(spark)
     about = found.where(f"kind = {DOC}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch"))
     shared = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id")).join(about, "id")
     pairs = shared.select("sig", "id", "n", "sketch").repartition("sig").mapInArrow(_plausible(pct), "src long, dst long")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm.blobs import FLUSH, bucket_count, pack, unpack
 from clusterloom.llm.text_arrays import U, chunks, mix, prefix_hash
-from clusterloom.operators.durable import settle
+from clusterloom.operators.durable import release, settle
 
 LENGTH = 100
 GRAM = 20
@@ -424,6 +424,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = bucket_count(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = settle(rows.where("doc_id is not null").mapInArrow(_find(buckets), ROWS).repartition("bucket").mapInArrow(_ask(buckets), ROWS))
+    release(spark)
     slot = F.expr(f"cast(pmod(pmod(doc_id, 1000003) * 7919 + pmod(cast((doc_id - pmod(doc_id, 1000003)) div 1000003 as long), 1000003), {buckets}) as int)")
     texts = rows.select(F.coalesce(slot, F.lit(0)).alias("bucket"), F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc_id", F.col("text").cast("binary").alias("text"))
     wide = lambda df: df.withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("binary")})
