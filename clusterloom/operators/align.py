@@ -14,9 +14,15 @@ from clusterloom.functions.text import detok, norm
 
 
 def ngrams(starts: DataFrame, keys: list[str], max_tokens: int = 20) -> DataFrame:
-    """keys, start, end (exclusive), gram of rows keys, tokens, start: windows of at most max_tokens, detokenised and normalised."""
-    both = starts.select(*keys, "tokens", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + max_tokens, F.size("tokens")))).alias("end"))
-    return both.select(*keys, "start", "end", norm(detok(F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start")))).alias("gram"))
+    """keys, start, end (exclusive), gram of rows keys, tokens, start, sizes: detokenised and normalised windows of at most max_tokens.
+
+    Only windows with as many characters, spaces aside, as `sizes` holds are normalised.
+    """
+    part = lambda end: F.slice("tokens", F.col("start") + 1, end - F.col("start"))
+    ends = F.sequence(F.col("start") + 1, F.least(F.col("start") + max_tokens, F.size("tokens"), F.col("start") + F.array_max("sizes")))
+    fits = F.filter(ends, lambda e: F.array_contains(F.col("sizes"), F.char_length(F.lower(F.array_join(part(e), "")))))
+    both = starts.select(*keys, "tokens", "start", F.explode(fits).alias("end"))
+    return both.select(*keys, "start", "end", norm(detok(part(F.col("end")))).alias("gram"))
 
 
 def find_spans(paras: DataFrame, targets: DataFrame, keys: list[str], max_tokens: int = 20) -> DataFrame:
@@ -28,7 +34,8 @@ def find_spans(paras: DataFrame, targets: DataFrame, keys: list[str], max_tokens
     own = wanted.groupBy(*keys).agg(F.collect_set("gram").alias("_grams"))
     token = lambda t: F.translate(F.lower(t), "‘’“”", "''\"\"")
     begins = F.transform("tokens", lambda t, i: F.when(F.exists("_grams", lambda g: F.startswith(g, token(t))), i))
-    starts = paras.join(own, keys).select(*keys, "tokens", F.explode(F.filter(begins, lambda i: i.isNotNull())).alias("start"))
+    sizes = F.array_distinct(F.transform("_grams", lambda g: F.char_length(F.replace(g, F.lit(" "), F.lit("")))))
+    starts = paras.join(own, keys).select(*keys, "tokens", sizes.alias("sizes"), F.explode(F.filter(begins, lambda i: i.isNotNull())).alias("start"))
     found = ngrams(starts, keys, max_tokens).join(wanted, [*keys, "gram"])
     return found.groupBy(*keys, "target", "start").agg(F.min("end").alias("end"))
 
