@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.functions.scalars import fbeta, path_part, ratio
+from clusterloom.operators.durable import settle
 from clusterloom.operators.graph import closure, derived_relations
 
 
@@ -32,7 +33,7 @@ def _table(gold: DataFrame, gold_hit: DataFrame, sys: DataFrame, sys_hit: DataFr
 
 def hypernym(gold: DataFrame, sys: DataFrame, gold_mentions: DataFrame, sys_mentions: DataFrame) -> DataFrame:
     """A relation counts if one of its mention pairs is a pair of the other side's relations; repeated direct relations count each."""
-    g, s = _relations(gold, True), _relations(sys, True)
+    g, s = settle(_relations(gold, True)), settle(_relations(sys, True))
     ge, se = _expand(g, gold_mentions), _expand(s, sys_mentions)
     hit = lambda a, b: a.join(b.select("topic", "a", "b").distinct(), ["topic", "a", "b"], "left_semi").select("topic", "src", "dst", "n").distinct()
     return _table(g, hit(ge, se), s, hit(se, ge))
@@ -51,7 +52,7 @@ def _candidates(own: DataFrame, other: DataFrame, relations: DataFrame, other_re
 
 def hypernym50(gold: DataFrame, sys: DataFrame, gold_mentions: DataFrame, sys_mentions: DataFrame) -> DataFrame:
     """A relation counts if some pair of candidates of its ends is a relation on the other side; relations are sets."""
-    g, s = _relations(gold, False), _relations(sys, False)
+    g, s = settle(_relations(gold, False)), settle(_relations(sys, False))
 
     def hit(a: DataFrame, b: DataFrame, am: DataFrame, bm: DataFrame) -> DataFrame:
         c = _candidates(am, bm, a, b)

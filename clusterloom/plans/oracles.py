@@ -109,6 +109,8 @@ v AS (SELECT topic, g, gh, coalesce(s, 0) AS s, coalesce(sh, 0) AS sh, gh / CAST
 SELECT CAST(sum(g) AS BIGINT) AS gold, CAST(sum(gh) AS BIGINT) AS gold_hit, CAST(sum(s) AS BIGINT) AS sys, CAST(sum(sh) AS BIGINT) AS sys_hit, round(sum(gh) / CAST(sum(g) AS DOUBLE), 6) AS recall, round(sum(sh) / CAST(sum(s) AS DOUBLE), 6) AS precision,
        round(2.0 * (sum(gh) / CAST(sum(g) AS DOUBLE)) * (sum(sh) / CAST(sum(s) AS DOUBLE)) / (sum(gh) / CAST(sum(g) AS DOUBLE) + sum(sh) / CAST(sum(s) AS DOUBLE)), 6) AS f1, round(avg(CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0 END), 6) AS macro_f1 FROM v"""
 ORACLES["hypernym"] = f"WITH RECURSIVE {H}, " + _HYP.format(cond="src NOT LIKE 'r%'")
+_H50 = _HYP.replace("WHERE {cond} AND (topic, src, dst) IN (SELECT (topic, src, dst) FROM sr)", "WHERE (topic, src, dst) IN (SELECT (topic, src, dst) FROM sr) OR src LIKE 'r%' AND (topic, dst) IN (SELECT (topic, dst) FROM sr)").replace("WHERE {cond} AND (topic, src, dst) IN (SELECT (topic, src, dst) FROM gr)", "WHERE (topic, src, dst) IN (SELECT (topic, src, dst) FROM gr) OR src LIKE 'r%' AND (topic, dst) IN (SELECT (topic, dst) FROM gr)")
+ORACLES["hypernym50"] = f"WITH RECURSIVE {H}, " + _H50
 ORACLES["path_ratio"] = f"""WITH RECURSIVE {H}, nd AS (SELECT DISTINCT topic, dst AS c FROM gold),
 gd AS (SELECT topic, src, dst, hops + 1 AS d FROM gr WHERE src NOT LIKE 'r%' UNION ALL SELECT topic, c, c, 1 FROM nd), sd AS (SELECT topic, src, dst, hops + 1 AS d FROM sr WHERE src NOT LIKE 'r%' UNION ALL SELECT topic, c, c, 1 FROM nd),
 b AS (SELECT topic, coalesce(gd.d, 0) AS g, coalesce(sd.d, 0) AS s FROM gd FULL JOIN sd USING (topic, src, dst))
