@@ -2,13 +2,16 @@
 
 A text is put in canonical form (lower case, no copyright lines, equivalent spellings
 made one, punctuation and white space as single spaces) and hashed; the digest of the entire
-text is joined with those of known licences.  Everything is one projection and one
-hash join; the built-in table has a fixed size and is broadcast, any other table is
-left to the optimizer.
+text is joined with those of known licences.  A second form also finds wrapped, titled and
+one-line files: it drops titles at the head and copyright statements only, never a line of the body that
+begins with that word.  Everything is one projection and two hash joins; the built-in
+table has a fixed size and is broadcast, any other table is left to the optimizer.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,35 +66,99 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+#: Whole texts of common licences, one file each; those with an appendix after END_OF_TERMS are known without it, too.
+TEXTS = Path(__file__).with_name("license_texts")
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+#: Fixed value: how a body or notice begins that follows a copyright statement on its line.
+STARTS = (
+    r"permission (?:is hereby|to use)|redistribution and use|(?:licensed|released|distributed) under|everyone is permitted|the above copyright|the software is|"
+    r"this (?:is free|(?:program|library|software|work) (?:is|comes|may))|gnomovision comes"
+)
+#: Fixed value: words after "copyright" at the head of a wrapped body line, where no holder follows.
+_NO_HOLDER = (
+    r"notices?|holders?|owners?|ownership|laws?|licen[cs]es?|and|or|in|on|of|for|to|is|as|are|be|may|from|that|with|if|you|under|by law|interests?|statements?|treaty|treaties|status|protection|"
+    r"disclaimers?|permissions?|claims?|rights?|materials?|infringements?|resulting|doctrines?|assignments?|patents?|works?|act|terms?|conditions?|information|registration"
+)
+_YEAR = r"[\[<{(]?[ \t]*(?:\d{4}|yyyy|year)"
+#: Fixed value: a copyright statement: with (c) or a year anywhere, with only a holder at the head of a line; it ends with the line or where a body starts.
+STATEMENT = (
+    rf"(?m)(?:(?:copyright[ \t:]*(?:\(c\)|©|&copy;)|(?:\(c\)|©|&copy;)[ \t]*(?:copyright\b|(?={_YEAR}))|copyright[ \t:]*(?={_YEAR}))|"
+    rf"^[^\p{{L}}\p{{N}}\n]*copyright[ \t:]+(?!(?:{_NO_HOLDER})\b)(?=[\[<{{]?\p{{L}}))[^\n]*?(?=\n|\z|\b(?:{STARTS})\b)|^[^\p{{L}}\p{{N}}\n]*all rights reserved[^\p{{L}}\p{{N}}\n]*$"
+)
+#: Titles before the body, after punctuation is gone.
+TITLES = (
+    r"(?:expat |x11 )?mit license(?: mit| expat)*",
+    r"isc license(?: isc)?",
+    r"(?:bsd zero clause|zero clause bsd|0bsd) license(?: 0bsd)?",
+    r"(?:new |simplified |modified |revised )?bsd(?: [23]| two| three)?(?: clause)?(?: new or revised| new| revised| modified| simplified)? license",
+    r"(?:[23]|two|three) clause bsd license",
+    r"apache license(?: version)? 2 0(?: january 2004)?(?: http www apache org licenses)?",
+    r"gnu (?:lesser |library )?general public license(?: version \d(?: \d)?)?(?: (?:\d+ )?(?:june|february) \d{4})?",
+    r"mozilla public license(?: version)? \d \d",
+    r"unlicense",
+    r"creative commons legal code cc0 1 0 universal",
+)
+#: What may differ within one licence, after punctuation is gone: list marks of BSD, holder of its third clause, scheme of links, addresses of the foundation.
+VARIANTS = (
+    (r"\bhttps\b", "http"),
+    (r"\b(?:\d|[abc]) (?=redistributions (?:of source|in binary)|neither the name)", ""),
+    (r"neither the names? of .{1,120}? nor the names of (?:its|their|any) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"\b\d+ (?:franklin st|temple place|mass ave)(?:\w*)(?: \w+){0,8}? 0\d{4}(?: \d{4})?(?: usa)?", ""),
+    (rf"^(?:(?:the |license )?(?:{'|'.join(TITLES)})(?: |$))+", ""),
+)
+
+
+def _words(text: Column) -> Column:
+    out = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
     for one, other in SPELLINGS:
         out = F.replace(out, F.lit(one), F.lit(other))
     return out
 
 
+def canonical(text: Column) -> Column:
+    return _words(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "))
+
+
+def body(text: Column) -> Column:
+    """The text without titles at its head, copyright statements and other differences between files of one licence."""
+    out = _words(F.regexp_replace(F.lower(text), STATEMENT, " "))
+    for one, other in VARIANTS:
+        out = F.regexp_replace(out, one, other)
+    return F.trim(F.regexp_replace(out, " +", " "))
+
+
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
 def known_licenses(spark) -> DataFrame:
     """The built-in table: license_id, text."""
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    rows = list(KNOWN)
+    for file in sorted(TEXTS.glob("*.txt")):
+        text = file.read_text()
+        rows.append((file.stem, text))
+        if END_OF_TERMS in text:
+            terms = text[: text.index(END_OF_TERMS)]
+            rows += [(file.stem, terms), (file.stem, terms + END_OF_TERMS)]
+    return spark.createDataFrame(rows, "license_id string, text string")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, license_id) for each row: the licence that the entire text is, else null.
 
-    A null text has a null digest; an empty one, or one of copyright lines and punctuation only, has
-    the digest of nothing, and neither is a licence.  Of known licences with one digest the least license_id
-    counts; null and blank known texts are left out.  Repeated rows stay.  Other columns are ignored.
+    digest is that of the canonical text; where no licence has it, the bodies of both are compared.  A null
+    text has a null digest; an empty one, or one of titles, copyright lines and punctuation only, is no licence.
+    Of known licences with one digest the least license_id counts; null and blank known texts are left
+    out.  Repeated rows stay.  Other columns are ignored.
     """
     spark = docs.sparkSession
     table = known_licenses(spark) if known is None else known
-    table = table.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col).cast("string")).alias("digest"))
-    return rows.join(F.broadcast(table) if known is None else table, F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "license_id")
+    text = F.col(text_col).cast("string")
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), F.sha2(body(text), 256).alias("_body"))
+    for i, (key, form) in enumerate((("digest", canonical), ("_body", body))):
+        own = table.where(form(F.col("text")) != "").groupBy(F.sha2(form(F.col("text")), 256).alias(f"_key{i}")).agg(F.min("license_id").alias(f"_id{i}"))
+        out = out.join(F.broadcast(own) if known is None else own, F.col(key) == F.col(f"_key{i}"), "left")
+    return out.select("doc_id", "digest", F.coalesce("_id0", "_id1").alias("license_id"))
 
 
 def _sql_canonical(text: str) -> str:

@@ -331,6 +331,30 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(make(spark, [])).count() == 0
 
 
+def test_licenses_as_files(spark):
+    known = dict(license_scan.KNOWN)
+    whole = {f.stem: f.read_text() for f in license_scan.TEXTS.glob("*.txt")}
+    isc = known["ISC"].replace("above copyright", "above\ncopyright").replace("copyright notice and this permission", "copyright notice and this permission\n")
+    mit = known["MIT"]
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit, "MIT"),
+        (2, "The MIT License (MIT) Copyright (c) 2020 Someone, Inc. " + mit.replace("\n", " "), "MIT"),
+        (3, "ISC License\n\nCopyright (c) 2020, Someone\n\n" + isc, "ISC"),
+        (4, "Copyright The Authors\nAll rights reserved.\n\n" + known["BSD-3-Clause"].replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS").replace("the copyright holder nor", "Some Foundation nor"), "BSD-3-Clause"),
+        (5, whole["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Someone"), "Apache-2.0"),
+        (6, whole["Apache-2.0"].split("APPENDIX")[0], "Apache-2.0"),
+        (7, " ".join(whole["GPL-3.0"].split()), "GPL-3.0"),
+        (8, "Copyright notice: no sale.\n" + isc, None),
+        (9, "Copyright laws apply, no sale.\n\nMIT License\n\n" + isc, None),
+        (10, "MIT License", None),
+        (11, whole["GPL-3.0"][:-100], None),
+    ]
+    rows += [(20 + i, text, name) for i, (name, text) in enumerate(sorted(whole.items()))]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(whole)
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan_licenses(make(spark, [r[:2] for r in rows])).collect()}
+    assert got == {i: want for i, _, want in rows}
+
+
 def test_pipeline(spark, tmp_path, labelled):
     import corpus_pipeline
 
