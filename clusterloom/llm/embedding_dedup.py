@@ -1,20 +1,22 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by hyperplane buckets, complete within each bucket.
 
-Equal vectors are one node with a count.  Each pass signs a node with KEY_BITS random
-hyperplanes and orders nodes by that key; a node is compared with the WINDOW that
-follow it.  The order is cut into blocks of equal rank ranges, each with the head of the
-next, so windows cross partitions.  Verified pairs of all passes are united into
-components.  Within a component every pair is then compared, in pairs of bounded
+Equal vectors are one node with a count.  A pass signs each node with a few random
+hyperplanes; nodes of one signature are a bucket, and all pairs of a bucket are compared,
+however large it is, in pairs of bounded chunks.  Verified pairs of all passes are united
+into components.  Within a component every pair is then compared, in pairs of bounded
 blocks, so link counts of a component are complete however large it is; blocks return
 counts, never pairs.
 
-Two vectors at cosine 0.9 agree on a hyperplane with probability 0.857, so over N nodes they
-fall into one window of a pass with probability near 0.857^log2(N / WINDOW); passes
-are independent, and within a component one chain of found pairs is enough.
+Two vectors at the threshold agree on a hyperplane with probability q (0.856 at cosine 0.9), so
+`bits` hyperplanes and `passes` passes miss them with probability (1 - q^bits)^passes, at any
+density, as no candidate is cut.  `plan` takes the cheapest number of bits for the counted nodes
+and as many passes as hold that at MISS.  Where all pairs cost at most twice as much (50,000
+nodes), it takes 0 bits and one pass, and none is missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,10 +28,12 @@ from clusterloom.llm.blobs import groups
 from clusterloom.operators.durable import settle
 from clusterloom.operators.graph import connected_components
 
-PASSES = 24
-KEY_BITS = 48
-WINDOW = 64
-RANKS = 1024
+#: Largest chance that a pair at the threshold meets in no pass.
+MISS = 1e-4
+#: Nodes of a bucket that a task compares with as many others.
+CHUNK = 4096
+#: Rough seconds of a comparison and of a row in a shuffle; they weigh bits against passes and never change what is found.
+PAIR_S, ROW_S = 2e-8, 1.5e-5
 BLOCK = 512
 SEED = 20240229
 
@@ -50,10 +54,28 @@ def _unit(vectors: list[bytes]) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
-def _keys(passes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def plan(nodes: int, cosine: float, miss: float = MISS) -> tuple[int, int]:
+    """(bits, passes) of least cost that miss a pair at the threshold with probability `miss` at most."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+
+    def passes(bits: int) -> int:
+        meet = agree**bits
+        return 1 if meet == 1 else max(1, math.ceil(math.log(miss) / math.log1p(-meet)))
+
+    def cost(bits: int) -> float:
+        bucket = nodes / 2**bits
+        return passes(bits) * nodes * (bucket / 2 * PAIR_S + max(1.0, bucket / CHUNK) * ROW_S)
+
+    bits = min(range(max(1, nodes).bit_length()), key=cost) if agree > 0 else 0
+    if cost(0) <= 2 * cost(bits):
+        bits = 0
+    return bits, passes(bits)
+
+
+def _keys(bits: int, passes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        powers = 1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
+        powers = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             node = batch.column(0).to_numpy()
             vectors = batch.column(1).to_pylist()
@@ -62,11 +84,11 @@ def _keys(passes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 at = np.flatnonzero(size == bytes_)
                 dim = int(bytes_) // 8
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(SEED + dim).standard_normal((dim, passes * KEY_BITS))
+                    planes[dim] = np.random.default_rng(SEED + dim).standard_normal((dim, passes * bits))
                 for lo in range(0, len(at), 2000):
                     part = at[lo : lo + 2000]
-                    signs = (_unit([vectors[i] for i in part]) @ planes[dim] > 0).reshape(len(part), passes, KEY_BITS)
-                    key = (signs * powers).sum(2)
+                    signs = (_unit([vectors[i] for i in part]) @ planes[dim] > 0).reshape(len(part), passes, bits)
+                    key = (signs * powers).sum(2, dtype=np.int64)
                     n = len(part) * passes
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, dim, np.int32)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(part))), pa.array(key.reshape(-1)), pa.array(np.repeat(node[part], passes))],
@@ -76,36 +98,40 @@ def _keys(passes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs that span the graph of the given ones."""
-    root = list(range(n))
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = a, b
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        while root[y] != y:
-            root[y] = root[root[y]]
-            y = root[y]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            yield a, b
+def _join(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place that each of n places reaches over pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        far = x != y
+        if not far.any():
+            return root
+        a, b, x, y = a[far], b[far], x[far], y[far]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
 
 
-def _windows(window: int, cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _links(cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs that span the components of the links between two chunks of a bucket, or within one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["block", "dim"]):
-            order = np.argsort(table["rank"].to_numpy(), kind="stable")
-            node = table["node"].to_numpy()[order]
-            vectors = table["vec"].to_pylist()
-            unit = _unit([vectors[i] for i in order])
-            found = [np.zeros((0, 2), np.int64)]
-            for gap in range(1, min(window, len(node) - 1) + 1):
-                i = np.flatnonzero(np.einsum("ij,ij->i", unit[:-gap], unit[gap:]) >= cosine)
-                found.append(np.stack([i, i + gap], 1))
-            pairs = np.concatenate(found)
-            kept = list(_forest(len(node), pairs[:, 0], pairs[:, 1]))
-            yield pa.RecordBatch.from_arrays([pa.array([node[a] for a, _ in kept], pa.int64()), pa.array([node[b] for _, b in kept], pa.int64())], ["src", "dst"])
+        for table in groups(batches, ["dim", "pass", "key", "x", "y"]):
+            n = table.num_rows
+            if n < 2:
+                continue
+            node, chunk = table["node"].to_numpy(), table["chunk"].to_numpy()
+            unit = _unit(table["vec"].to_pylist())
+            x, y = table["x"][0].as_py(), table["y"][0].as_py()
+            left, right = np.flatnonzero(chunk == x), np.flatnonzero(chunk == y)
+            label = np.arange(n)
+            for lo in range(0, len(left), BLOCK):
+                own = left[lo : lo + BLOCK]
+                i, j = np.nonzero(unit[own] @ unit[right].T >= cosine)
+                a, b = label[own[i]], label[right[j]]
+                label = _join(n, a, b)[label]
+            rest = np.flatnonzero(label != np.arange(n))
+            yield pa.RecordBatch.from_arrays([pa.array(node[rest]), pa.array(node[label[rest]])], ["src", "dst"])
 
     return run
 
@@ -128,7 +154,7 @@ def _count(cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int = PASSES, window: int = WINDOW, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, miss: float = MISS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of vectors.
 
     n_links counts the other rows linked directly, copies included.  Null, empty and
@@ -144,26 +170,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, passes: int = PASSE
         .withColumn("node", F.xxhash64("vec"))
     )
     nodes = rows.where("vec is not null").groupBy("node").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    keys = nodes.select("node", "vec").mapInArrow(_keys(passes), "dim int, pass int, key long, node long")
-    ranked = settle(
-        keys.repartitionByRange("dim", "pass", "key", "node")
-        .sortWithinPartitions("dim", "pass", "key", "node")
-        .select("dim", "node", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"))
-    )
-    sizes = sorted((r["part"], r["n"]) for r in ranked.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
-    before, starts = 0, []
-    for part, n in sizes:
-        starts.append((part, before))
-        before += n
-    offsets = spark.createDataFrame(starts, "part int, before long")
-    rank = F.col("before") + F.col("at")
-    own = (rank / RANKS).cast("long")
-    blocks = (
-        ranked.join(F.broadcast(offsets), "part")
-        .select("dim", "node", rank.alias("rank"), F.explode(F.when((rank % RANKS < window) & (rank >= RANKS), F.array(own, own - 1)).otherwise(F.array(own))).alias("block"))
+    bits, passes = plan(nodes.count(), cosine, miss)
+    keys = settle(nodes.select("node", "vec").mapInArrow(_keys(bits, passes), "dim int, pass int, key long, node long"))
+    large = keys.groupBy("dim", "pass", "key").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks")).where("chunks > 1")
+    chunks = F.coalesce("chunks", F.lit(1))
+    pairs = (
+        keys.join(large, ["dim", "pass", "key"], "left")
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .select("dim", "pass", "key", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "node")
         .join(nodes.select("node", "vec"), "node")
     )
-    links = blocks.repartition("block").sortWithinPartitions("block", "dim").mapInArrow(_windows(window, cosine), "src long, dst long")
+    meet = ["dim", "pass", "key", "x", "y"]
+    links = pairs.repartition(*meet).sortWithinPartitions(*meet).mapInArrow(_links(cosine), "src long, dst long")
     parts = connected_components(links).select("node", "component")
     sizes_of = parts.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dense = (

@@ -289,6 +289,33 @@ def test_embeddings(spark):
     assert got[1007]["n_links"] == 1 and got[1008]["component_id"] == 1007 and not got[1001]["kept"]
 
 
+def test_embeddings_in_a_dense_region(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    v = unit(unit(r.standard_normal(64)) + 0.5 * unit(r.standard_normal((3000, 64))))
+    away = unit(r.standard_normal((150, 64)))
+    v[:150] = v[150:300] + 0.44 * away  # links at 0.9 and somewhat above among unlinked neighbours at 0.8
+    v = unit(v)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    near = v @ v.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    assert 300 <= want.sum()
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 500)
+    assert {x["vec_id"]: x["n_links"] for x in embedding_dedup.near_duplicates(rows).collect()} == dict(enumerate(want))
+    monkeypatch.setattr(embedding_dedup, "plan", lambda *_: (6, 24))
+    found = sum(x["n_links"] for x in embedding_dedup.near_duplicates(rows).collect())
+    assert 0.998 * want.sum() <= found <= want.sum()
+
+
+def test_embedding_plan():
+    q = 1 - np.arccos(0.9) / np.pi
+    for n in (0, 1, 1000, 50_000, 500_000, 5_000_000, 50_000_000):
+        bits, passes = embedding_dedup.plan(n, 0.9)
+        assert (1 - q**bits) ** passes <= embedding_dedup.MISS
+    assert embedding_dedup.plan(50_000, 0.9) == (0, 1)
+
+
 def test_packing(spark, corpus):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
