@@ -400,6 +400,12 @@ def conll_decode(s, d):
     return _round(conll.decode(conll.encode(m.select(F.col("topic").alias("doc"), F.col("idx").alias("pos")), spans)))
 
 
+@query
+def conll_decode_all(s, d):
+    """Cells of all mentions read back: nested, crossing and hidden marks; conll_decode keeps to what its SQL states."""
+    return _round(conll.decode(conll_encode(s, d)))
+
+
 @query
 def range_alignment(s, d):
     m = views.mentions(s, d)

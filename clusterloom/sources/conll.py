@@ -53,13 +53,15 @@ def cell_marks(cell: Column) -> Column:
 def decode(cells: DataFrame) -> DataFrame:
     """doc, start, end (inclusive), cluster of well-nested cells, last opened first closed.
 
-    Within a document and cluster an open mark at depth d is met by the next close mark at depth d; unmet marks give no mention.
+    Within a document and cluster an open mark at depth d is met by the next close mark at depth d; unmet marks give no mention
+    and leave the depth of the others as it is.
     """
     marks = cells.select("doc", "pos", F.posexplode(cell_marks(F.col("cell"))).alias("k", "m")).select("doc", "pos", "k", "m.*")
     single = marks.where("opens and closes").select("doc", F.col("pos").alias("start"), F.col("pos").alias("end"), "cluster")
     edges = marks.where("opens <> closes").withColumn("step", F.when(F.col("opens"), 1).otherwise(-1))
     run = W.partitionBy("doc", "cluster").orderBy("pos", F.desc("step"), "k").rowsBetween(W.unboundedPreceding, 0)
-    edges = edges.withColumn("depth", F.sum("step").over(run) + F.when(F.col("opens"), 0).otherwise(1)).where("depth > 0")
+    edges = edges.withColumn("level", F.sum("step").over(run)).withColumn("floor", F.least(F.coalesce(F.min("level").over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), F.lit(0)))
+    edges = edges.where("level >= floor").withColumn("depth", F.col("level") - F.col("floor") + F.when(F.col("opens"), 0).otherwise(1))
     edges = edges.withColumn("n", F.row_number().over(W.partitionBy("doc", "cluster", "depth", "opens").orderBy("pos", "k")))
     a = edges.where("opens").select("doc", "cluster", "depth", "n", F.col("pos").alias("start"))
     b = edges.where("closes").select("doc", "cluster", "depth", "n", F.col("pos").alias("end"))

@@ -96,6 +96,24 @@ def test_cells(spark):
     assert conll.decode(odd).count() == 0
 
 
+def test_decoding_against_a_stack(spark):
+    r = random.Random(7)
+    rows = [(d, i, "|".join(r.choice(("(1", "1)", "(2", "2)", "(1)", "(2)")) for _ in range(r.randint(1, 3))) if r.random() < 0.7 else "-") for d in range(40) for i in range(12)]
+    want = []
+    for d in range(40):
+        held = {"1": [], "2": []}
+        for _, i, cell in [x for x in rows if x[0] == d]:
+            marks = [m for m in cell.split("|") if m != "-"]
+            want += [(d, i, i, int(m[1])) for m in marks if len(m) == 3]
+            for m in [m for m in marks if m in ("(1", "(2")]:
+                held[m[1]].append(i)
+            for m in [m for m in marks if m in ("1)", "2)")]:
+                if held[m[0]]:
+                    want.append((d, held[m[0]].pop(), i, int(m[0])))
+    got = conll.decode(spark.createDataFrame(rows, "doc long, pos long, cell string"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
 def test_conll_files(spark, tmp_path):
     (tmp_path / "x.conll").write_text("#begin document (a); part 0\na\t0\t0\tw\t(1\n\n\na\t0\t1\tv\t1)\n#end document\n")
     got = [(r["sent"], r["pos"], r["cell"]) for r in conll.read(spark, str(tmp_path)).orderBy("pos").collect()]
