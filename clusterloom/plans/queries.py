@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clusterloom.functions import text as T
 from clusterloom.functions.scalars import containment, distance, fbeta, overlap, ratio, sigmoid
 from clusterloom.operators import align, cluster, diagnose, graph, hierarchy, metrics, pairs, score
+from clusterloom.operators.durable import settle
 from clusterloom.plans import views
 from clusterloom.sources import conll, jsonl
 
@@ -321,10 +322,17 @@ def co_mentions(s, d):
 
 @query
 def signature_cards(s, d):
-    e = _entities(s, d)
-    empty = F.array().cast("array<struct<pred:string,obj:string>>")
-    card = T.card_json(F.col("text"), F.col("type"), F.col("rels"), empty, F.array().cast("array<string>"))
-    return _round(e.select("doc", "ord", T.yaml_card(card).alias("signature")))
+    """Each entity with its outgoing and incoming relations, the other entities and the paragraph with its first occurrence marked."""
+    x = _extracts(s, d).withColumn("es", T.parse_entities(F.col("output")))
+    e = x.select("topic", "para", "doc", "tokens", "es", F.posexplode("es").alias("ord", "e")).withColumn("text", F.col("e.text"))
+    names = lambda r: T.norm(r["obj"]) == T.norm(F.col("text"))
+    incoming = F.flatten(F.transform("es", lambda o: F.transform(F.filter(o["rels"], names), lambda r: F.struct(r["pred"].alias("pred"), o["text"].alias("subject"), o["type"].alias("subject_type")))))
+    near = F.transform(F.filter("es", lambda o, i: i != F.col("ord")), lambda o: F.struct(o["text"].alias("text"), o["type"].alias("type")))
+    found = align.find_spans(x.select("topic", "para", "tokens"), e.select("topic", "para", F.col("text").alias("target")), ["topic", "para"])
+    first = found.groupBy("topic", "para", F.col("target").alias("text")).agg(F.min(F.struct("start", "end")).alias("at"))
+    context = F.when(F.col("at").isNull(), T.detok(F.col("tokens"))).otherwise(T.highlight(F.col("tokens"), F.col("at.start"), F.col("at.end"), F.lit(0), F.size("tokens")))
+    cards = e.join(first, ["topic", "para", "text"], "left").select("doc", "ord", T.card_json(F.col("text"), F.col("e.type"), F.col("e.rels"), incoming, near, context).alias("card"))
+    return settle(_round(cards)).select("doc", "ord", T.yaml_card(F.col("card")).alias("signature"))  # Spark leaves a Python function over this join unplanned
 
 
 @query

@@ -96,6 +96,26 @@ def test_cells(spark):
     assert conll.decode(odd).count() == 0
 
 
+def test_signature_cards(spark, tmp_path):
+    import yaml
+
+    from clusterloom.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "s", "Big net reads Text. big net again"), (2, "s", "one")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc"], r["ord"]): yaml.safe_load(r["signature"]) for r in QUERIES["signature_cards"](spark, str(tmp_path)).collect()}
+    assert len(got) == 6
+    assert got[1, 0] == {
+        "mention": "Big net",
+        "type": "method",
+        "outgoing": [{"pred": "part of", "obj": "Text"}, {"pred": "used for", "obj": "reads"}],
+        "incoming": [],
+        "co_mentions": [{"text": "Text"}, {"text": "reads", "type": "task"}],
+        "context": "<m> Big net </m> reads Text. big net again",
+    }
+    assert got[1, 2]["incoming"] == [{"pred": "part of", "subject": "Big net", "subject_type": "method"}] and got[1, 2]["context"] == "Big net reads <m> Text </m>. big net again"
+    assert got[2, 1]["context"] == "one"
+
+
 def test_decoding_against_a_stack(spark):
     r = random.Random(7)
     rows = [(d, i, "|".join(r.choice(("(1", "1)", "(2", "2)", "(1)", "(2)")) for _ in range(r.randint(1, 3))) if r.random() < 0.7 else "-") for d in range(40) for i in range(12)]
