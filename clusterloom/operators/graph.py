@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.operators.durable import release, settle
+from clusterloom.operators.durable import Workspace, fingerprint, settle
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", work: Workspace | None = None) -> DataFrame:
     """(node, component): every node of an edge with the smallest node that it reaches.
 
     Alternates large-star and small-star steps, each one aggregate and one join
     on the node, so neither a component nor a hub's neighbours ever meet in one
     row; AQE can split a hot hub's join.  Nodes are longs.  Null ends and self loops are
     ignored; repeated edges count once; no edges give no rows.  Each round is
-    checkpointed, so a lost executor repeats one round at most.
+    written to the shared folder, so a lost executor repeats one round at most; its count and fingerprint are
+    taken as it is written.  The last round's table is work's, or stays as long as the folder.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
-    graph = settle(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct()
-    )
-    release(edges.sparkSession)
-    mark = _signature(graph)
-    while mark[0]:
+    work = work or Workspace(edges.sparkSession)
+    graph, mark = work.counted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct(), *fingerprint("u", "v"))
+    while mark["n"]:
         both = graph.unionByName(graph.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above a node move to the least around it
@@ -31,8 +29,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # small star: a node and its neighbours below move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        graph = settle(small.where("u <> v").distinct())
-        now = _signature(graph)
+        after, now = work.counted(small.where("u <> v").distinct(), *fingerprint("u", "v"))
+        work.drop(graph)
+        graph = after
         if now == mark:
             break
         mark = now
@@ -40,11 +39,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return graph.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _signature(graph: DataFrame) -> tuple:
-    """Count and fingerprint of an edge set; two longs reach the driver."""
-    return tuple(graph.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def closure(edges: DataFrame, key: str = "topic") -> DataFrame:
     """key, src, dst, hops: every reachable pair with its least number of edges, cycles included.
 
