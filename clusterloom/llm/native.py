@@ -14,6 +14,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACES}]+"), "")
 
 
+def spaced(text: Column) -> Column:
+    """text with a space for each of the other characters that part words, but \\n."""
+    odd = [text.contains(c) for c in "\t\x0b\f\r"]
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.regexp_replace(text, r"[\t\x0b\f\r]", " ")).otherwise(text)
+
+
 def has_word(text: Column) -> Column:
     return text.rlike(f"[^{SPACES}]")
 
