@@ -7,12 +7,14 @@ Within it, shingles are dealt by hash into D + 1 + e blocks, and each block keep
 the parity of 64 hash classes (the XOR of one-hot bits) and its count.  One shingle
 changes one block, so a linked pair agrees on 1 + e blocks at least: documents are
 joined on equal block sketches.  Light blocks say little and are left out, unless a
-document has more than e of them, so no pair is lost.  In bands with D of DENSE or more,
-fewer and fuller blocks do: D changes at random leave one unchanged but with a chance of 1e-18.
+document has more than e of them, so no pair is lost at any size.
 
-Documents of one signature are compared by size and by whole parity sketches, whose
+Many signatures are shared by the same documents: each such group goes on once.  Its
+documents are compared by size and by whole parity sketches, whose
 Hamming distance bounds the symmetric difference from below.  The pairs that these do not
-rule out connect candidate clusters; for each signature a spanning forest of them is enough.
+rule out connect candidate clusters; for each group a spanning forest of them is enough.
+A group of over CHUNK documents is not held by one task: each document meets the group's first, and those that this
+leaves open meet the group in pairs of bounded chunks.
 Clusters are then compared in pairs of bounded blocks, sketches first, and verified on
 the sets.  Tasks return spanning forests, never all pairs.
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm.blobs import FLUSH, bucket_count, groups, pack, unpack
 from clusterloom.llm.text_arrays import U, chunks, distinct_sets, mix, scan, shingles
-from clusterloom.operators.durable import release, settle
+from clusterloom.operators.durable import Workspace, settle
 from clusterloom.operators.graph import connected_components
 
 POSTING = np.dtype([("sig", "<u8"), ("id", "<i8")])
@@ -41,26 +43,12 @@ POSTING = np.dtype([("sig", "<u8"), ("id", "<i8")])
 BLOCK = 256
 FOUND = "kind int, a long, b long, blob binary"
 DOC, LINK, MEMBER = 0, 1, 2
-#: Differences from which on blocks are counted by probability instead of one for each difference.
-DENSE = 200
-#: Logarithm of the chance that a linked pair of such sets is missed: 1e-18, that of a 64-bit hash collision.
-MISS = -41.5
+#: Documents of a group that a task compares with as many others.
+CHUNK = 4096
 #: Bits of the whole-set sketch that travels with a document; a longer set's is folded by XOR.
 SKETCH = 512
 
 
-def _full_blocks(size: int, d: int) -> int:
-    """Fewest blocks of which d random changes leave one of over two shingles unchanged all but surely; 0 if that takes over d."""
-    k = d // 8
-    while k <= d:
-        mean = size / k
-        full = 1 - math.exp(-mean) * (1 + mean + mean * mean / 2)
-        if k * math.log1p(-math.exp(-d / k) * full) <= MISS:
-            return k
-        k += 1 + k // 100
-    return 0
-
-
 @lru_cache(maxsize=None)
 def bands(pct: int) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
     """Lower bounds of the size bands, and for each its blocks, spare blocks and largest count of a light block."""
@@ -72,13 +60,6 @@ def bands(pct: int) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...],
         d = 2 * (after - 1) * (100 - pct) // (100 + pct)
         mean = at / (d + 1)
         most, e = -1, 0
-        if d >= DENSE and (k := _full_blocks(at, d)):
-            low.append(at)
-            count.append(k)
-            spare.append(1 << 40)  # light blocks are never kept
-            light.append(2)
-            at = after
-            continue
         if d:
             for t in (0, 1, 2):
                 p = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(t + 1))
@@ -202,8 +183,27 @@ def _sketch(buckets: int, k: int, pct: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
+def distinct_groups(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, id) of the different sets of documents that share a signature; a group's number depends on its documents alone."""
+    order = np.lexsort((ids, sig))
+    sig, ids = sig[order], ids[order]
+    keep = np.r_[True, (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])] if len(sig) else np.zeros(0, bool)
+    sig, ids = sig[keep], ids[keep]
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[first, len(sig)])
+    first, count = first[count > 1], count[count > 1]
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.concatenate([[U(0)], np.cumsum(mix(ids.astype(U) + U(0x2545F4914F6CDD1D)))])
+    group = mix(total[first + count] - total[first] + count.astype(U))
+    group, at = np.unique(group, return_index=True)
+    first, count = first[at], count[at]
+    rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    return np.repeat(group, count).astype(np.int64), ids[rows]
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes documents and links on, and turns the postings of a partition into (signature, document) of shared signatures."""
+    """Passes documents and links on, and turns the postings of a partition into (group, document)."""
     blobs: list[bytes] = []
     for batch in batches:
         kind = batch.column(1).to_numpy()
@@ -213,23 +213,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blobs += batch.column(4).filter(pa.array(~plain)).to_pylist()
     records = unpack(blobs, POSTING)
     del blobs
-    records = records[np.argsort(records["sig"])]
-    same = records["sig"][1:] == records["sig"][:-1]
-    shared = np.r_[same, False] | np.r_[False, same] if len(records) else np.zeros(0, bool)
-    records = records[shared]
-    for lo in range(0, len(records), 100_000):
-        part = records[lo : lo + 100_000]
-        yield _rows(MEMBER, part["sig"].astype(np.int64), part["id"]).select(["kind", "a", "b", "blob"])
+    group, ids = distinct_groups(records["sig"], records["id"])
+    for lo in range(0, len(group), 100_000):
+        yield _rows(MEMBER, group[lo : lo + 100_000], ids[lo : lo + 100_000]).select(["kind", "a", "b", "blob"])
 
 
 def plausible_forest(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, pct: int) -> np.ndarray:
     """Pairs of documents that span, for each signature, the graph of its pairs that sizes and sketches do not rule out."""
 
     def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-        a, b = size[i], size[j]
-        ok = 100 * np.minimum(a, b) >= pct * np.maximum(a, b)
-        apart = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
-        return ok & (apart * (100 + pct) <= (100 - pct) * (a + b))
+        return _near(size[j], sketch[j], size[i], sketch[i], pct)
 
     order = np.lexsort((ids, sig))
     sig, ids, size, sketch = sig[order], ids[order], size[order], sketch[order]
@@ -263,18 +256,97 @@ def plausible_forest(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, sketch:
     return np.unique(pairs, axis=0)
 
 
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, SKETCH // 64)
+
+
+def _near(n: np.ndarray, sketch: np.ndarray, m: np.ndarray | int, other: np.ndarray, pct: int) -> np.ndarray:
+    """Where sizes and sketches do not rule a link out."""
+    apart = np.bitwise_count(sketch ^ other).sum(1, dtype=np.int64)
+    return (100 * np.minimum(n, m) >= pct * np.maximum(n, m)) & (apart * (100 + pct) <= (100 - pct) * (n + m))
+
+
 def _plausible(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Forests of groups of CHUNK documents at most, a bounded number of them at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            table = pa.Table.from_batches(held)
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(-1, SKETCH // 64)
-            pairs = plausible_forest(table["sig"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy(), sketch, pct)
+        held: list[pa.Table] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(held)
+            held.clear()
+            pairs = plausible_forest(table["sig"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy(), _sketches(table["sketch"]), pct)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
+        for table in groups(batches, ["sig"]):
+            held.append(table)
+            if sum(t.num_rows for t in held) > 16 * CHUNK:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _first(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with near: whether a document's link to its group's first is not ruled out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = _near(b["n"].to_numpy(), _sketches(b["sketch"]), b["first_n"].to_numpy(), _sketches(b["first_sketch"]), pct) if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("sig", "id", "n", "sketch", "first")), pa.array(near)], ["sig", "id", "n", "sketch", "first", "near"])
+
     return run
 
 
+def _between(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spanning pairs between the open documents of one chunk and those of another chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["sig", "x", "y"]):
+            ids, n, is_open = table["id"].to_numpy(), table["n"].to_numpy(), table["left"].to_numpy()
+            sketch = _sketches(table["sketch"])
+            right = np.flatnonzero(~is_open)
+            label = np.arange(len(right))
+            src, dst = [], []
+            for i in np.flatnonzero(is_open):
+                hit = right[_near(n[right], sketch[right], n[i], sketch[i], pct)]
+                own = label[np.searchsorted(right, hit)]
+                _, at = np.unique(own, return_index=True)  # one of each tree that is joined now
+                if len(at):
+                    src.append(np.full(len(at), ids[i]))
+                    dst.append(ids[hit[at]])
+                    label[np.isin(label, own)] = own.min()
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+
+    return run
+
+
+def plausible_pairs(shared: DataFrame, pct: int, work: Workspace) -> DataFrame:
+    """(src, dst) that span, for each group of (sig, id, n, sketch), what sizes and sketches do not rule out."""
+    pair = "src long, dst long"
+    large = work.table(shared.groupBy("sig").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") > CHUNK))
+    small = shared.join(large.select("sig"), "sig", "left_anti").select("sig", "id", "n", "sketch")
+    out = small.repartition("sig").sortWithinPartitions("sig").mapInArrow(_plausible(pct), pair)
+    if not large.take(1):
+        return out
+    members = shared.join(large, "sig")
+    firsts = members.where("id = first").select("sig", F.col("n").alias("first_n"), F.col("sketch").alias("first_sketch"))
+    judged = members.select("sig", "id", "n", "sketch", "first").join(firsts, "sig")
+    judged = work.table(judged.mapInArrow(_first(pct), "sig long, id long, n long, sketch binary, first long, near boolean"))
+    far = judged.where("not near").groupBy("sig").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("xs"))
+    sizes = large.select("sig", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int").alias("ys")).join(far, "sig")
+    rows = judged.select("sig", "id", "n", "sketch", "near").join(sizes, "sig")
+    x, y = (F.pmod(F.xxhash64("id"), F.col(c)).cast("int") for c in ("xs", "ys"))
+    left = rows.where("not near").withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("left", F.lit(True))
+    right = rows.withColumn("y", y).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1))).withColumn("left", F.lit(False))
+    meet = ["sig", "x", "y"]
+    both = left.select(*meet, "id", "n", "sketch", "left").unionByName(right.select(*meet, "id", "n", "sketch", "left"))
+    rest = both.repartition(*meet).sortWithinPartitions(*meet).mapInArrow(_between(pct), pair)
+    return out.unionByName(judged.where("near and id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))).unionByName(rest)
+
+
 def _to_sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +422,8 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
     text of fewer than k words has its whole sequence as its one shingle.  Null and
     empty texts have no shingles and are their own component.  Rows with a null id keep
     it, with a null component, and link with nothing.  Rows that share an id are one
-    document: any of their texts may link it.  Other columns are ignored.  pct is the
+    document: any of their texts may link it.  Equal and empty tables, ties: copies are linked like any pair, an empty
+    table gives no rows.  Other columns are ignored.  pct is the
     similarity in hundredths, 50 to 99.
     """
     if not 50 <= pct <= 99 or k < 1:
@@ -358,34 +431,34 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(spark)
-    found = settle(
-        rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet, FOUND),
-        table=True,
-    )
-    release(spark)
-    about = found.where(f"kind = {DOC}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch"))
-    shared = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id")).join(about, "id")
-    pairs = shared.select("sig", "id", "n", "sketch").repartition("sig").mapInArrow(_plausible(pct), "src long, dst long")
-    members = connected_components(pairs).withColumnRenamed("component", "cluster")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = members.join(blocks, "cluster")
-    sets = (
-        members.join(rows.where("doc_id is not null"), F.col("node") == F.col("doc_id"))
-        .select("node", "cluster", "blocks", "text")
-        .mapInArrow(_to_sets(k), "id long, cluster long, blocks int, elements binary")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "elements")
-    )
-    links = sets.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_verify(pct), "src long, dst long")
-    links = links.unionByName(found.where(f"kind = {LINK}").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    parts = connected_components(links)
-    return (
-        found.where(f"kind = {DOC}")
-        .select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-        .join(parts, F.col("doc_id") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    )
+    with Workspace(spark) as work:
+        found = work.table(rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet, FOUND))
+        about = found.where(f"kind = {DOC}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch")).where("id is not null").dropDuplicates(["id", "n", "sketch"])
+        shared = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id")).distinct()
+        shared = work.table(shared.join(about, "id").select("sig", "id", "n", "sketch"))
+        members = connected_components(plausible_pairs(shared, pct, work), work=work).withColumnRenamed("component", "cluster")
+        work.drop(shared)
+        blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+        members = work.table(members.join(blocks, "cluster"))
+        sets = work.table(
+            members.join(rows.where("doc_id is not null"), F.col("node") == F.col("doc_id"))
+            .select("node", "cluster", "blocks", "text")
+            .mapInArrow(_to_sets(k), "id long, cluster long, blocks int, elements binary")
+        )
+        dealt = (
+            sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "elements")
+        )
+        links = dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_verify(pct), "src long, dst long")
+        links = links.unionByName(found.where(f"kind = {LINK}").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        parts = connected_components(links, work=work)
+        return settle(
+            found.where(f"kind = {DOC}")
+            .select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+            .join(parts, F.col("doc_id") == F.col("node"), "left")
+            .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        )
 
 
 def keep_first(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
@@ -393,5 +466,5 @@ def keep_first(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
 
     Rows with a null doc_id stay, and rows that share the kept doc_id stay together.
     """
-    gone = link_documents(docs, k, pct).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = link_documents(docs, k, pct).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
