@@ -86,6 +86,30 @@ def test_ngram_join_edges(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 3] and kept.columns == SCHEMA.replace("doc_id long", "doc_id").split(", ")[0:1] + [c.split()[0] for c in SCHEMA.split(", ")[1:]]
 
 
+def test_ngram_join_of_large_sets_and_groups(spark, monkeypatch):
+    """Sets of over 2,000 shingles; groups that no task holds."""
+    r = random.Random(12)
+    long = [r.choices(VOCABULARY, k=2600) for _ in range(3)]
+    rows = []
+    for i in range(24):
+        w = list(long[i % 3])
+        for at in r.sample(range(0, 2600, 6), [0, 20, 40, 60, 120][i % 5]):
+            w[at] = f"y{i}"
+        rows.append((i, " ".join(w)))
+    short = [r.choices(VOCABULARY, k=60) for _ in range(2)]
+    for i in range(120):
+        w = list(short[i % 2])
+        w[r.randrange(60)] = f"z{i}"
+        if i % 3:
+            w[r.randrange(60)] = f"u{i}"
+        rows.append((100 + i, " ".join(w)))
+    for chunk in (ngram_join.CHUNK, 7):
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        for k, pct in ((5, 80), (3, 90)):
+            got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.link_documents(make(spark, rows), k, pct).collect()}
+            assert got == brute_components(rows, k, pct)
+
+
 def line_tokens(line):
     w = WORD.findall(line.lower())
     return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
@@ -111,6 +135,27 @@ def test_line_dedup(spark, corpus):
     assert got == brute_lines(rows)
 
 
+def test_line_order_changes_no_result(spark, corpus, monkeypatch):
+    rows = make(spark, [*corpus, (3000, "\n".join(["a b c d e f g h"] * 3 + ["a b c d e f g i"] * 2))])
+    found = lambda order: sorted(map(tuple, line_dedup.dedup_lines(rows, order=order).select("doc_id", "text", "n_removed_lines").collect()), key=repr)
+    plain = found(line_dedup.by_hash)
+    assert found(line_dedup.rarity) == found(lambda d: line_dedup.rarity(d, 1)) == plain
+    monkeypatch.setattr(line_dedup, "SLOTS", 8)
+    assert found(lambda d: line_dedup.rarity(d, 1)) == plain
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "id", "hash", "line", "set", "token", "n_removed_lines", "_id", "_gone"]
+    rows = spark.createDataFrame([(1, "a b\na b", *range(8)), (1, "a b\na b", *range(8)), (1, "c d\na b", *range(8)), (2, "c d\nx", *range(8))], ", ".join(f"{c} {'string' if c == 'text' else 'long'}" for c in names))
+    out = line_dedup.dedup_lines(rows)
+    assert out.columns == [c for c in names if c != "n_removed_lines"] + ["n_removed_lines"]
+    got = out.collect()
+    assert len(got) == 4 and got[0]["id"] == 0 and got[0]["_gone"] == 7
+    assert [r["text"] for r in got if r["doc_id"] == 2] == ["x"]
+    same = [r for r in got if r["doc_id"] == 1 and r["text"].startswith("a") or r["text"] == ""]
+    assert len({r["text"] for r in same}) <= 2
+
+
 def test_line_dedup_edges(spark):
     out = line_dedup.dedup_lines(make(spark, EDGE))
     got = sorted(((r["doc_id"] or -1), r["text"], r["n_removed_lines"]) for r in out.where("text is not null").collect())
@@ -301,19 +346,36 @@ def test_embeddings_in_a_dense_region(spark, monkeypatch):
     np.fill_diagonal(near, False)
     want = near.sum(1)
     assert 300 <= want.sum()
-    monkeypatch.setattr(embedding_dedup, "CHUNK", 500)
-    assert {x["vec_id"]: x["n_links"] for x in embedding_dedup.near_duplicates(rows).collect()} == dict(enumerate(want))
-    monkeypatch.setattr(embedding_dedup, "plan", lambda *_: (6, 24))
-    found = sum(x["n_links"] for x in embedding_dedup.near_duplicates(rows).collect())
-    assert 0.998 * want.sum() <= found <= want.sum()
+    links = lambda: {x["vec_id"]: x["n_links"] for x in embedding_dedup.near_duplicates(rows).collect()}
+    assert links() == dict(enumerate(want))
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 200)
+    monkeypatch.setattr(embedding_dedup, "WINDOW", 8)
+    monkeypatch.setattr(embedding_dedup, "STRETCH", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 100)
+    assert links() == dict(enumerate(want))
+
+
+def test_embedding_recall_where_windows_bind(spark):
+    r = np.random.default_rng(7)
+    n, planted = 50_000, 400
+    v = r.standard_normal((n, 32)).astype(np.float32)
+    unit = v[:planted] / np.linalg.norm(v[:planted], axis=1, keepdims=True)
+    side = r.standard_normal((planted, 32))
+    side -= (side * unit).sum(1, keepdims=True) * unit
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    v[planted : 2 * planted] = 0.9005 * unit + np.sqrt(1 - 0.9005**2) * side  # just above the threshold
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    bits, passes = embedding_dedup.plan(n, 0.9)
+    assert bits >= 6 and passes >= 10 and embedding_dedup.CHUNK < n / 20
+    got = {x["vec_id"]: x["n_links"] for x in embedding_dedup.near_duplicates(rows).where("n_links > 0").collect()}
+    assert sum(i in got for i in range(2 * planted)) >= 0.99 * 2 * planted
 
 
 def test_embedding_plan():
     q = 1 - np.arccos(0.9) / np.pi
-    for n in (0, 1, 1000, 50_000, 500_000, 5_000_000, 50_000_000):
+    for n in (0, 1, 1000, 50_000, 500_000, 5_000_000, 50_000_000, 10**9):
         bits, passes = embedding_dedup.plan(n, 0.9)
-        assert (1 - q**bits) ** passes <= embedding_dedup.MISS
-    assert embedding_dedup.plan(50_000, 0.9) == (0, 1)
+        assert (1 - q**bits) ** passes <= embedding_dedup.MISS and 2 <= bits <= embedding_dedup.KEY
 
 
 def test_packing(spark, corpus):
