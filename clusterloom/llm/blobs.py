@@ -58,3 +58,17 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place that each of n places reaches over pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        far = x != y
+        if not far.any():
+            return root
+        a, b, x, y = a[far], b[far], x[far], y[far]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.blobs import groups
+from clusterloom.llm.blobs import groups, joined
 from clusterloom.operators.durable import Workspace, settle
 from clusterloom.operators.graph import connected_components
 
@@ -96,20 +96,6 @@ def _keys(passes: int, wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def _join(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place that each of n places reaches over pairs (a, b)."""
-    root = np.arange(n)
-    while True:
-        x, y = root[a], root[b]
-        far = x != y
-        if not far.any():
-            return root
-        a, b, x, y = a[far], b[far], x[far], y[far]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (root != root[root]).any():
-            root = root[root]
-
-
 def _links(cosine: float, wide: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs that span the components of the links between two blocks, or of a block and what follows it."""
 
@@ -128,7 +114,7 @@ def _links(cosine: float, wide: bool) -> Callable[[Iterator[pa.RecordBatch]], It
                 own = left[lo : lo + 512]
                 i, j = np.nonzero(unit[own] @ unit[right].T >= cosine)
                 a, b = label[own[i]], label[right[j]]
-                label = _join(n, a, b)[label]
+                label = joined(n, a, b)[label]
             rest = np.flatnonzero(node[label] != node)
             yield pa.RecordBatch.from_arrays([pa.array(node[rest]), pa.array(node[label[rest]])], ["src", "dst"])
 

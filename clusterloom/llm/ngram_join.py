@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.blobs import FLUSH, bucket_count, groups, pack, unpack
+from clusterloom.llm.blobs import FLUSH, bucket_count, groups, joined, pack, unpack
 from clusterloom.llm.text_arrays import U, chunks, distinct_sets, mix, scan, shingles
 from clusterloom.operators.durable import Workspace, settle
 from clusterloom.operators.graph import connected_components
@@ -45,8 +45,10 @@ FOUND = "kind int, a long, b long, blob binary"
 DOC, LINK, MEMBER = 0, 1, 2
 #: Documents of a group that a task compares with as many others.
 CHUNK = 4096
-#: Bits of the whole-set sketch that travels with a document; a longer set's is folded by XOR.
+#: Bits of the whole-set sketch of up to twice as many shingles that travels with a document; from there on it doubles with the set.
 SKETCH = 512
+#: Groups of so many documents are compared all with all in memory, larger ones along their links.
+SMALL = 64
 
 
 @lru_cache(maxsize=None)
@@ -114,11 +116,27 @@ def text_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield row, *distinct_sets(s, owner, last - row)
 
 
-def set_sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity of SKETCH hash classes of each set, as rows of bytes."""
-    n = len(first) - 1
-    cell = np.repeat(np.arange(n), np.diff(first)) * SKETCH + ((values >> U(7)) & U(SKETCH - 1)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=n * SKETCH) & 1).astype(np.uint8).reshape(n, SKETCH), axis=1)
+def set_sketches(values: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Parity of hash classes of each set: SKETCH, doubled until they are half as many as its values at least."""
+    size = np.diff(first)
+    bits = SKETCH << np.ceil(np.log2(np.maximum(1, size / (2 * SKETCH)))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    cell = np.repeat(base[:-1], size) + ((values >> U(7)).astype(np.int64) & np.repeat(bits - 1, size))
+    packed = np.packbits((np.bincount(cell, minlength=int(base[-1])) & 1).astype(np.uint8)).tobytes()
+    return [packed[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist(), strict=True)]
+
+
+def folded(sketches: list[bytes], to: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, rows of words) of the sketches brought to `to` bytes each, by that length."""
+    size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for target in np.unique(to).tolist():
+        at = np.flatnonzero(to == target)
+        out = np.empty((len(at), target // 8), np.uint64)
+        for own in np.unique(size[at]).tolist():
+            here = np.flatnonzero(size[at] == own)
+            rows = np.frombuffer(b"".join([sketches[i] for i in at[here]]), "<u8").reshape(len(here), own // target, target // 8)
+            out[here] = np.bitwise_xor.reduce(rows, axis=1)
+        yield at, out
 
 
 def _rows(kind: int, a: np.ndarray, b: np.ndarray, missing: np.ndarray | None = None, blobs: pa.Array | None = None) -> pa.RecordBatch:
@@ -151,7 +169,7 @@ def _sketch(buckets: int, k: int, pct: int) -> Callable[[Iterator[pa.RecordBatch
                 n = len(first) - 1
                 sizes = np.diff(first)
                 here = slice(row, row + n)
-                yield _rows(DOC, number[here], sizes, ~valid[here], pa.array([x.tobytes() for x in set_sketches(values, first)], pa.binary()))
+                yield _rows(DOC, number[here], sizes, ~valid[here], pa.array(set_sketches(values, first), pa.binary()))
                 new = np.zeros(n, bool)
                 a, b = [], []
                 for d in np.flatnonzero(valid[here] & (sizes > 0)):
@@ -218,82 +236,96 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(MEMBER, group[lo : lo + 100_000], ids[lo : lo + 100_000]).select(["kind", "a", "b", "blob"])
 
 
-def plausible_forest(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, pct: int) -> np.ndarray:
-    """Pairs of documents that span, for each signature, the graph of its pairs that sizes and sketches do not rule out."""
+def _near(n: np.ndarray | int, sketch: np.ndarray, m: np.ndarray | int, other: np.ndarray, pct: int) -> np.ndarray:
+    """Where sizes and sketches of one length do not rule a link out."""
+    apart = np.bitwise_count(sketch ^ other).sum(1, dtype=np.int64)
+    return (100 * np.minimum(n, m) >= pct * np.maximum(n, m)) & (apart * (100 + pct) <= (100 - pct) * (n + m))
+
 
-    def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-        return _near(size[j], sketch[j], size[i], sketch[i], pct)
+def plausible_forest(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, sketches: list[bytes], pct: int) -> np.ndarray:
+    """Pairs of documents that span, for each group, the graph of its pairs that sizes and sketches do not rule out.
 
-    order = np.lexsort((ids, sig))
-    sig, ids, size, sketch = sig[order], ids[order], size[order], sketch[order]
+    Rows are sorted by group.
+    """
     if not len(sig):
         return np.zeros((0, 2), np.int64)
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    count = np.diff(np.r_[first, len(sig)])
-    hub = np.repeat(first, count)
-    hit = np.concatenate([near(hub[lo : lo + 50_000], np.arange(lo, min(lo + 50_000, len(sig)))) for lo in range(0, len(sig), 50_000)])
-    out = [np.stack([ids[hub[hit]], ids[hit]], 1)]
-    missed = np.add.reduceat(~hit, first)
-    for at, n in zip(first[missed > 0].tolist(), count[missed > 0].tolist(), strict=True):
-        # some document is far from the first: walk the graph of near pairs, each document once against those not reached yet
-        left = np.arange(at, at + n)
-        if n == 2:
-            continue
-        reached = [at]
-        left = left[1:]
+    group = np.cumsum(np.r_[0, sig[1:] != sig[:-1]])
+    length = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    out = [_forest_of(group[at], ids[at], size[at], rows, pct) for at, rows in folded(sketches, np.minimum.reduceat(length, first)[group])]
+    pairs = np.concatenate(out)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+
+
+def _forest_of(group: np.ndarray, ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, pct: int) -> np.ndarray:
+    total = len(group)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    count = np.diff(np.r_[first, total])
+    behind = np.repeat(first + count, count) - np.arange(total) - 1
+    behind[np.repeat(count > SMALL, count)] = 0
+    a, b = [], []
+    for step in range(1, int(behind.max(initial=0)) + 1):
+        left = np.flatnonzero(behind >= step)
+        for lo in range(0, len(left), 100_000):
+            i = left[lo : lo + 100_000]
+            hit = i[_near(size[i], sketch[i], size[i + step], sketch[i + step], pct)]
+            a.append(hit)
+            b.append(hit + step)
+    for at, n in zip(first[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
+        # walk the graph of near pairs, each document once against those not reached yet
+        left, reached = np.arange(at + 1, at + n), [at]
         while len(left):
             if not reached:
                 reached, left = [int(left[0])], left[1:]
                 continue
             me = reached.pop()
-            close = near(me, left)
-            if close.any():
-                out.append(np.stack([np.full(int(close.sum()), ids[me]), ids[left[close]]], 1))
-                reached += left[close].tolist()
-                left = left[~close]
-    pairs = np.concatenate(out)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return np.unique(pairs, axis=0)
-
-
-def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, SKETCH // 64)
-
-
-def _near(n: np.ndarray, sketch: np.ndarray, m: np.ndarray | int, other: np.ndarray, pct: int) -> np.ndarray:
-    """Where sizes and sketches do not rule a link out."""
-    apart = np.bitwise_count(sketch ^ other).sum(1, dtype=np.int64)
-    return (100 * np.minimum(n, m) >= pct * np.maximum(n, m)) & (apart * (100 + pct) <= (100 - pct) * (n + m))
+            close = _near(size[left], sketch[left], size[me], sketch[me], pct)
+            a.append(np.full(int(close.sum()), me))
+            b.append(left[close])
+            reached += left[close].tolist()
+            left = left[~close]
+    root = joined(total, np.concatenate(a), np.concatenate(b)) if a else np.arange(total)
+    return np.stack([ids[root], ids], 1)
 
 
 def _plausible(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Forests of groups of CHUNK documents at most, a bounded number of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
+        def forests(table: pa.Table) -> pa.RecordBatch:
+            pairs = plausible_forest(table["sig"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy(), table["sketch"].to_pylist(), pct)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.concat_tables(held)
-            held.clear()
-            pairs = plausible_forest(table["sig"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy(), _sketches(table["sketch"]), pct)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
-
-        for table in groups(batches, ["sig"]):
-            held.append(table)
-            if sum(t.num_rows for t in held) > 16 * CHUNK:
-                yield from flush()
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 16 * CHUNK:
+                table = pa.Table.from_batches(held)
+                sig = table["sig"].to_numpy()
+                whole = int(np.searchsorted(sig, sig[-1]))  # the last group may go on
+                if whole:
+                    yield forests(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
         if held:
-            yield from flush()
+            yield forests(pa.Table.from_batches(held))
 
     return run
 
 
+def _near_rows(n: np.ndarray, sketches: list[bytes], m: np.ndarray, others: list[bytes], pct: int) -> np.ndarray:
+    to = np.minimum(np.fromiter(map(len, sketches), np.int64, len(sketches)), np.fromiter(map(len, others), np.int64, len(others)))
+    out = np.zeros(len(n), bool)
+    for (at, a), (_, b) in zip(folded(sketches, to), folded(others, to), strict=True):
+        out[at] = _near(n[at], a, m[at], b, pct)
+    return out
+
+
 def _first(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows with near: whether a document's link to its group's first is not ruled out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = _near(b["n"].to_numpy(), _sketches(b["sketch"]), b["first_n"].to_numpy(), _sketches(b["first_sketch"]), pct) if b.num_rows else np.zeros(0, bool)
+            near = _near_rows(b["n"].to_numpy(), b["sketch"].to_pylist(), b["first_n"].to_numpy(), b["first_sketch"].to_pylist(), pct)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("sig", "id", "n", "sketch", "first")), pa.array(near)], ["sig", "id", "n", "sketch", "first", "near"])
 
     return run
@@ -305,33 +337,29 @@ def _between(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["sig", "x", "y"]):
             ids, n, is_open = table["id"].to_numpy(), table["n"].to_numpy(), table["left"].to_numpy()
-            sketch = _sketches(table["sketch"])
+            blobs = table["sketch"].to_pylist()
+            _, sketch = next(folded(blobs, np.full(len(blobs), min(map(len, blobs)))))
             right = np.flatnonzero(~is_open)
-            label = np.arange(len(right))
-            src, dst = [], []
+            a, b = [], []
             for i in np.flatnonzero(is_open):
                 hit = right[_near(n[right], sketch[right], n[i], sketch[i], pct)]
-                own = label[np.searchsorted(right, hit)]
-                _, at = np.unique(own, return_index=True)  # one of each tree that is joined now
-                if len(at):
-                    src.append(np.full(len(at), ids[i]))
-                    dst.append(ids[hit[at]])
-                    label[np.isin(label, own)] = own.min()
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+                a.append(np.full(len(hit), i))
+                b.append(hit)
+            root = joined(len(ids), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[root]), pa.array(ids)], ["src", "dst"]).filter(pa.array(ids[root] != ids))
 
     return run
 
 
-def plausible_pairs(shared: DataFrame, pct: int, work: Workspace) -> DataFrame:
-    """(src, dst) that span, for each group of (sig, id, n, sketch), what sizes and sketches do not rule out."""
+def plausible_pairs(shared: DataFrame, about: DataFrame, pct: int, work: Workspace) -> DataFrame:
+    """(src, dst) that span, for each group of shared (sig, id), what about's sizes and sketches (id, n, sketch) do not rule out."""
     pair = "src long, dst long"
     large = work.table(shared.groupBy("sig").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") > CHUNK))
-    small = shared.join(large.select("sig"), "sig", "left_anti").select("sig", "id", "n", "sketch")
+    small = shared.join(large.select("sig"), "sig", "left_anti").join(about, "id").select("sig", "id", "n", "sketch")
     out = small.repartition("sig").sortWithinPartitions("sig").mapInArrow(_plausible(pct), pair)
     if not large.take(1):
         return out
-    members = shared.join(large, "sig")
+    members = shared.join(large, "sig").join(about, "id")
     firsts = members.where("id = first").select("sig", F.col("n").alias("first_n"), F.col("sketch").alias("first_sketch"))
     judged = members.select("sig", "id", "n", "sketch", "first").join(firsts, "sig")
     judged = work.table(judged.mapInArrow(_first(pct), "sig long, id long, n long, sketch binary, first long, near boolean"))
@@ -434,9 +462,8 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
     with Workspace(spark) as work:
         found = work.table(rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet, FOUND))
         about = found.where(f"kind = {DOC}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch")).where("id is not null").dropDuplicates(["id", "n", "sketch"])
-        shared = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id")).distinct()
-        shared = work.table(shared.join(about, "id").select("sig", "id", "n", "sketch"))
-        members = connected_components(plausible_pairs(shared, pct, work), work=work).withColumnRenamed("component", "cluster")
+        shared = work.table(found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id")).distinct())
+        members = connected_components(plausible_pairs(shared, about, pct, work), work=work).withColumnRenamed("component", "cluster")
         work.drop(shared)
         blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
         members = work.table(members.join(blocks, "cluster"))
