@@ -7,14 +7,16 @@ and T those of all, rates r solve
 
     min  e' W e,   e_k = sum_d r_d t_d p_dk / T - scale * w_k,   r_d >= lower_d
 
-by projected gradient steps r <- max(lower, r - p' W e) from r = 1, in the metric of token
-shares, with W the inverse of sum_d t_d p_d p_d' / T.  A step is one aggregate over
-the documents; only the K residuals reach the driver, and rates are recomputed from
-their history, so no state of the size of the corpus is kept.
+by projected gradient steps r <- max(lower, r - h p' V e) from r = 1, where V is W or the same inverse over the
+documents that the step can move, and V and h the best of a few.  W is the inverse of sum_d t_d p_d p_d' / T over all
+documents.  Steps go on until every domain is within TOLERANCE of its target or the objective stands still (targets that
+no such rates can meet).  A step is two aggregates over the documents; only sums over domains reach the driver, and rates are
+recomputed from their history, which is written down every SETTLE steps.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,13 +26,18 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm.text_arrays import U, chunks, mix, prefix_hash, scan
 from clusterloom.llm.toxicity import BITS, Ftrl, fit
-from clusterloom.operators.durable import settle
+from clusterloom.operators.durable import Workspace, settle
 
 DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = (0.94, 0.03, 0.03)
-#: Fits with so small a residual are done.
+#: Largest distance of a domain's share from its target at which a fit is done.
 TOLERANCE = 1e-4
-STEPS = 10
+#: SETTLE steps that lower the objective by less than this share end a fit that cannot meet its targets.
+STILL = 0.02
+#: Steps after which rates are written down.
+SETTLE = 8
+#: Lengths of a step in the metric of the documents that it can move, and in that of all.
+MOVABLE, ALL = (1.0, 0.5, 0.25, 0.125, 0.03), (1.0, 4.0, 16.0, 64.0)
 MODEL = Ftrl(alpha=3.0, l1=8.0, l2=0.1, epochs=2)
 
 
@@ -112,11 +119,11 @@ def posteriors(docs: DataFrame, models: list[tuple[np.ndarray, np.ndarray, float
     return rows.mapInArrow(_posteriors(models), "doc_id long, n_tokens long, " + ", ".join(f"{d} double" for d in DOMAINS))
 
 
-def fit_rates(soft: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep: str | None = "good") -> tuple[Column, dict[str, float]]:
-    """(rate column over soft, figures).
+def fit_rates(soft: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep: str | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """(soft with its rate, figures: steps, residual, objective, scale), settled.
 
-    weights are scaled to sum 1.  With keep, documents at least half in that domain have rates of
-    1 or more, and the total grows just so far that the domain can keep its tokens.
+    weights are scaled to sum 1; the expected tokens of each domain are to be its weight of all tokens.  With keep, documents
+    at least half in that domain have rates of 1 or more, and the total grows just so far that the domain can keep its tokens.
     """
     w = np.array(weights) / sum(weights)
     k = len(DOMAINS)
@@ -128,16 +135,25 @@ def fit_rates(soft: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep: str |
     scale = max(1.0, held[DOMAINS.index(keep)] / w[DOMAINS.index(keep)]) if keep else 1.0
     inverse = np.linalg.inv(gram + 1e-6 * np.eye(k))
     lower = F.when(F.col(keep) >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0)) if keep else F.lit(0.0)
-    rate = F.lit(1.0)
+    along = lambda v: sum((F.lit(float(x)) * F.col(d) for x, d in zip(v, DOMAINS, strict=True)), F.lit(0.0))
     residual = held - scale * w
-    steps = 0
-    while np.abs(residual).max() > TOLERANCE and steps < STEPS:
-        step = inverse @ residual
-        rate = F.greatest(lower, rate - sum((F.lit(float(v)) * F.col(d) for v, d in zip(step, DOMAINS, strict=True)), F.lit(0.0)))
-        got = soft.agg(*[F.sum(rate * share * F.col(d)).alias(f"s{i}") for i, d in enumerate(DOMAINS)]).first()
-        residual = np.array([float(got[f"s{i}"] or 0) for i in range(k)]) / total - scale * w
-        steps += 1
-    return rate, {"steps": steps, "residual": float(np.abs(residual).max()), "scale": scale}
+    course = [float(residual @ inverse @ residual)]
+    with Workspace(soft.sparkSession) as work:
+        now, rate = soft.withColumn("rate", F.lit(1.0)), F.col("rate")
+        while np.abs(residual).max() > TOLERANCE and sums["t"] and (len(course) <= SETTLE or course[-1] < (1 - STILL) * course[-1 - SETTLE]):
+            movable = F.when((rate > lower) | (along(inverse @ residual) < 0), share)
+            got = now.agg(*[F.sum(movable * F.col(DOMAINS[i]) * F.col(DOMAINS[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+            metric = np.array([[float(got[f"g{min(i, j)}_{max(i, j)}"] or 0) for j in range(k)] for i in range(k)]) / total
+            ways = [h * np.linalg.solve(metric + 1e-9 * np.eye(k), residual) for h in MOVABLE] + [h * (inverse @ residual) for h in ALL]
+            tried = [F.greatest(lower, rate - along(v)) for v in ways]
+            got = now.agg(*[F.sum(r * share * F.col(d)).alias(f"s{n}_{i}") for n, r in enumerate(tried) for i, d in enumerate(DOMAINS)]).first()
+            ends = [np.array([float(got[f"s{n}_{i}"] or 0) for i in range(k)]) / total - scale * w for n in range(len(tried))]
+            best = min(range(len(tried)), key=lambda n: float(ends[n] @ inverse @ ends[n]))
+            residual, rate = ends[best], tried[best]
+            course.append(float(residual @ inverse @ residual))
+            if len(course) % SETTLE == 0:
+                now, rate = work.table(now.withColumn("rate", rate)), F.col("rate")
+        return settle(now.withColumn("rate", rate)), {"steps": len(course) - 1, "residual": float(np.abs(residual).max()), "objective": course[-1], "scale": scale}
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -145,24 +161,25 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) / 1e6).cast("int")
 
 
-def mix_rates(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rows: int = 4000, keep: str | None = "good") -> DataFrame:
-    """(doc_id, n_tokens, good, poor, toxic, rate, copies) for each row of docs.
+def mix_rates(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rows: int = 4000, keep: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, good, poor, toxic, rate, copies, residual) for each row of docs.
 
-    Null and empty texts have one token, the end mark, and the posterior of no words.  Repeated rows are
+    residual, alike in all rows, is the largest distance of a domain's expected share from its target.
+    Null and empty texts have one token, the end mark, and the posterior of no words.  Repeated rows and ties are
     rated alike, each for itself.  Null ids stay null.  Targets that no nonnegative rates can meet are met
     as nearly as least squares allows.  An empty table gives no rows.  Other columns are ignored.
     """
-    soft = settle(posteriors(docs, train(docs, labels, max_rows)))
-    rate, _ = fit_rates(soft, weights, keep)
-    return soft.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    with Workspace(docs.sparkSession) as work:
+        rated, figures = fit_rates(work.table(posteriors(docs, train(docs, labels, max_rows))), weights, keep)
+    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumn("residual", F.lit(figures["residual"]))
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rows: int = 4000) -> DataFrame:
+def mix_documents(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rows: int = 4000, keep: str | None = None) -> DataFrame:
     """docs with each row as many times as mix_rates gives its doc_id; rows with a null id stay once.
 
-    Rows that share an id take the most copies that any of them has.
+    Rows that share an id take the most copies that any of them has.  Columns stay whatever their names.
     """
-    plan = mix_rates(docs, labels, weights, max_rows).where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(plan, docs["doc_id"] == plan["_doc"], "left")
-    again = F.explode(F.array_repeat(F.lit(0), F.coalesce(plan["_copies"], F.lit(1)))).alias("_mixing_copy")
-    return out.select(*[docs[c] for c in docs.columns], again).drop("_mixing_copy")
+    key, times, again = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "copies", "again"))
+    plan = mix_rates(docs, labels, weights, max_rows, keep).where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
+    out = docs.join(plan, F.col("doc_id").cast("long") == F.col(key), "left")
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.coalesce(times, F.lit(1)))).alias(again)).drop(again)
