@@ -1,12 +1,13 @@
 """Harmonic packing of tokenised documents into fixed-length sequences.
 
-A document's tokens are cut into pieces whose lengths are capacity // i: whole
-sequences first, then for the rest the largest such length that still fits, again
-and again.  The lengths are the classes.  A class of length c fills each of its
-bins with exactly capacity // c pieces, so a bin needs no search and loses fewer
-than c tokens.  Every task packs its own documents; nothing is shuffled.  At its end
-the pieces in unfinished bins are laid end to end and cut anew at capacity, and the last
-stretch into powers of two, which need no padding.
+Whole sequences are cut off a document first; the rest stays whole.  Its class is the reciprocal of its
+length, capacity // length, up to CLASSES, and each bin of class i takes exactly i documents, so a bin needs no search.
+What a full bin then lacks is cut once from the front of the next document.  Every task packs its own
+documents; nothing is shuffled.  At its end the pieces in unfinished bins are laid end to end and cut at capacity, and
+the last stretch into powers of two, which need no padding.
+
+No piece has fewer than SHORT tokens unless its document does: bins rather lack fewer than that many.  Only the last
+stretch of a task, less than one sequence, may be cut anywhere.
 
 Tokens of each word or letter run are computed once and kept in a bounded table: the
 tokenizer parts text there before it merges, so they are independent.
@@ -27,6 +28,10 @@ from clusterloom.llm.text_arrays import _IS_SPACE, _LOWER, Words, chunks, ranges
 
 CAPACITY = 2048
 END_ID = 1
+#: Most documents of a bin.
+CLASSES = 32
+#: Least tokens of a piece of a longer document.
+SHORT = 16
 #: Units that a Python worker keeps the tokens of (about 80 MB).
 TABLE = 400_000
 #: Batches are handed on after so many pieces.
@@ -125,9 +130,7 @@ def _merge(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
-def class_lengths(capacity: int) -> list[int]:
-    """For each rest 0..capacity, the length of its next piece."""
-    return [0] + [capacity // -(-capacity // r) for r in range(1, capacity + 1)]
+Piece = tuple[int | None, int, np.ndarray, int]
 
 
 class Packer:
@@ -135,46 +138,76 @@ class Packer:
 
     def __init__(self, capacity: int, first_sequence: int) -> None:
         self.capacity, self.next = capacity, first_sequence
-        self.piece = class_lengths(capacity)
-        self.open: dict[int, list[tuple]] = {}
+        self.short = min(SHORT, capacity // 4)
+        self.open: dict[int, list[Piece]] = {}
+        self.lacking: list[Piece] = []
+        self.lack = 0
         self.rows: list[tuple] = []
 
-    def _close(self, pieces: list[tuple]) -> None:
+    def _close(self, pieces: list[Piece]) -> None:
         at = 0
         for doc, start, ids, total in pieces:
             self.rows.append((doc, start, ids, total, self.next, at))
             at += len(ids)
         self.next += 1
 
+    def _full(self, pieces: list[Piece]) -> None:
+        """A bin with all its documents: it waits for the next document if it lacks enough."""
+        lack = self.capacity - sum(len(p[2]) for p in pieces)
+        if lack < self.short:
+            self._close(pieces)
+        else:
+            self.lacking, self.lack = pieces, lack
+
+    def _cut(self, length: int, room: int) -> int:
+        """Most tokens, room at most, to cut off a piece of `length` without a short one on either side; 0 if there are none."""
+        if length <= room:
+            return length
+        cut = min(room, length - self.short)
+        return cut if cut >= self.short else 0
+
     def add(self, doc: int | None, ids: np.ndarray) -> None:
         total, at = len(ids), 0
-        while at < total:
-            c = self.piece[min(self.capacity, total - at)]
-            part = (doc, at, ids[at : at + c], total)
-            if c == self.capacity:
-                self._close([part])
-            else:
-                held = self.open.setdefault(c, [])
-                held.append(part)
-                if len(held) == self.capacity // c:
-                    self._close(self.open.pop(c))
-            at += c
+        while self.lacking and at < total:
+            cut = self._cut(total - at, self.lack)
+            if cut:
+                self.lacking.append((doc, at, ids[at : at + cut], total))
+                at, self.lack = at + cut, self.lack - cut
+            if not cut or self.lack < self.short:
+                self._close(self.lacking)
+                self.lacking = []
+        while total - at >= self.capacity:
+            cut = self._cut(total - at, self.capacity)
+            self._close([(doc, at, ids[at : at + cut], total)])
+            at += cut
+        if at < total:
+            count = min(CLASSES, self.capacity // (total - at))
+            held = self.open.setdefault(count, [])
+            held.append((doc, at, ids[at:], total))
+            if len(held) == count:
+                del self.open[count]
+                self._full(held)
 
     def finish(self) -> None:
-        rest = [p for c in sorted(self.open, reverse=True) for p in self.open[c]]
-        self.open = {}
+        rest = [*self.lacking, *(p for c in sorted(self.open) for p in self.open[c])]
+        self.open, self.lacking = {}, []
         left = sum(len(p[2]) for p in rest)
-        room = min(self.capacity, 1 << left.bit_length() - 1) if left else 0
-        held: list[tuple] = []
+        held: list[Piece] = []
+        room = self._room(left)
         for doc, start, ids, total in rest:
             while len(ids):
-                take = min(room, len(ids))
-                held.append((doc, start, ids[:take], total))
-                ids, start, left, room = ids[take:], start + take, left - take, room - take
-                if not room:
+                take = min(room, len(ids)) if room < self.capacity and left < self.capacity else self._cut(len(ids), room)
+                if take:
+                    held.append((doc, start, ids[:take], total))
+                    ids, start, left, room = ids[take:], start + take, left - take, room - take
+                if not take or not room or room < self.short and left + room >= self.capacity:
                     self._close(held)
-                    held = []
-                    room = min(self.capacity, 1 << left.bit_length() - 1) if left else 0
+                    held, room = [], self._room(left)
+        if held:
+            self._close(held)
+
+    def _room(self, left: int) -> int:
+        return min(self.capacity, 1 << left.bit_length() - 1) if left else 0
 
 
 def _pack(path: str, capacity: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
