@@ -277,19 +277,47 @@ def test_mixing(spark, labelled):
     docs, marks = make(spark, [*rows, (800, None), (800, None)]), spark.createDataFrame(labels, LABEL_SCHEMA)
     soft = mixing.posteriors(docs, mixing.train(docs, marks)).cache()
     assert all(abs(sum(r[d] for d in mixing.DOMAINS) - 1) < 1e-9 for r in soft.collect())
-    rate, figures = mixing.fit_rates(soft, (0.7, 0.2, 0.1), keep=None)
-    got = soft.withColumn("r", rate).collect()
+    rated, figures = mixing.fit_rates(soft, (0.7, 0.2, 0.1))
+    got = rated.collect()
     total = sum(r["n_tokens"] for r in got)
     for d, w in zip(mixing.DOMAINS, (0.7, 0.2, 0.1), strict=True):
-        assert abs(sum(r["r"] * r["n_tokens"] * r[d] for r in got) / total - w) < 1e-3
-    assert min(r["r"] for r in got) >= 0 and figures["residual"] < 1e-3
-    out = mixing.mix_documents(docs, marks)
+        assert abs(sum(r["rate"] * r["n_tokens"] * r[d] for r in got) / total - w) < 2e-4
+    assert min(r["rate"] for r in got) >= 0 and figures["residual"] <= mixing.TOLERANCE
+    out = mixing.mix_documents(docs, marks, keep="good")
     good = {i for i, q, t in labels if q and not t}
     times = Counter(r["doc_id"] for r in out.collect())
     assert all(times[i] >= 1 for i in good) and out.columns == docs.columns
     assert mixing.mix_documents(make(spark, []), marks).count() == 0
 
 
+def test_mixing_finds_the_least_squares(spark):
+    """Against a long descent in NumPy, for targets that can be met and one that cannot."""
+    r = np.random.default_rng(3)
+    p = r.dirichlet([4, 0.6, 0.2], 300)
+    p[:, 2] *= p[:, 2] < 0.3  # no document is mostly toxic
+    p /= p.sum(1, keepdims=True)
+    t = r.integers(20, 3000, 300).astype(float)
+    soft = spark.createDataFrame([(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(t, p, strict=True))], "doc_id long, n_tokens long, good double, poor double, toxic double").cache()
+    share = t / t.sum()
+    inverse = np.linalg.inv((p * share[:, None]).T @ p + 1e-6 * np.eye(3))
+    for weights in ((0.8, 0.15, 0.05), (0.3, 0.65, 0.05), (0.1, 0.1, 0.8)):
+        rate = np.ones(300)
+        for _ in range(20_000):
+            e = (rate * share) @ p - np.array(weights)
+            rate = np.maximum(0, rate - p @ (inverse @ e))
+        e = (rate * share) @ p - np.array(weights)
+        best = float(e @ inverse @ e)
+        _, figures = mixing.fit_rates(soft, weights)
+        assert figures["objective"] <= best * 1.02 + 1e-3, (weights, figures, best)
+
+
+def test_mixing_keeps_columns_of_any_name(spark, labelled):
+    rows, labels = labelled
+    docs = spark.createDataFrame([(*x, 5, 6, 7) for x in [*rows, (900, "long " * 50_000), (None, None)]], "doc_id long, text string, rate long, copies long, _mixing_copy long")
+    out = mixing.mix_documents(docs, spark.createDataFrame(labels, LABEL_SCHEMA))
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {(5, 6, 7)}
+
+
 def test_chat_round_trip(spark):
     r = random.Random(6)
     bits = ["<|im_end|>\n", "<|im_start|>assistant\n", "&lt;|", "&amp;", "\n", "word ", "&#10;", "é "]
@@ -408,7 +436,8 @@ def test_packing(spark, corpus):
         assert at <= 2048
     sums = [sum(n for _, n in s) for s in seqs.values()]
     padding = sum(2048 - n for n in sums if n & (n - 1))
-    assert padding < 0.05 * sum(sums)
+    assert padding < 0.02 * sum(sums)
+    assert sum(x["length"] < packing.SHORT <= x["doc_tokens"] for x in got) <= 3 * 11  # cuts of the last stretch of each task
     assert packing.pack_documents(make(spark, []), path).count() == 0
 
 
