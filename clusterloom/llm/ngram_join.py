@@ -39,8 +39,8 @@ from clusterloom.operators.durable import Workspace, settle
 from clusterloom.operators.graph import connected_components
 
 POSTING = np.dtype([("sig", "<u8"), ("id", "<i8")])
-#: Documents of one block of a cluster.
-BLOCK = 256
+#: Documents of one block of a cluster's size class.
+BLOCK = 2048
 FOUND = "kind int, a long, b long, blob binary"
 DOC, LINK, MEMBER = 0, 1, 2
 #: Documents of a group that a task compares with as many others.
@@ -378,11 +378,11 @@ def plausible_pairs(shared: DataFrame, about: DataFrame, pct: int, work: Workspa
 def _to_sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, values, first in text_sets(batch.column(3), k):
+            for row, values, first in text_sets(batch.column(2), k):
                 n = len(first) - 1
                 part = batch.slice(row, n)
                 sets = pa.array([values[first[d] : first[d + 1]].tobytes() for d in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), sets], ["id", "cluster", "blocks", "elements"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sets], ["id", "cluster", "elements"]).filter(pa.array(np.diff(first) > 0))
 
     return run
 
@@ -429,12 +429,10 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.
 def _verify(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for table in groups(batches, ["cluster", "x", "y"]):
-            ids = table["id"].to_numpy()
-            block = table["block"].to_numpy()
+        for table in groups(batches, ["cluster", "class", "cross", "x", "y"]):
             sets = [np.frombuffer(v, "<u8") for v in table["elements"].to_pylist()]
-            x, y = table["x"][0].as_py(), table["y"][0].as_py()
-            out += forest(ids, sets, block == x, block == y, pct)
+            left, right = (table[c].to_numpy() for c in ("left", "right"))
+            out += forest(table["id"].to_numpy(), sets, left, right, pct)
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["src", "dst"])
                 out = []
@@ -443,6 +441,24 @@ def _verify(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def pairs_of_blocks(sets: DataFrame) -> DataFrame:
+    """sets id, cluster, class, elements dealt to the pairs of blocks that they are compared in: cluster, class, cross, x, y, left, right.
+
+    Sizes of linked sets differ by less than a class, so blocks of one class meet each other and those of the next class.
+    """
+    counts = sets.groupBy("cluster", "class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    at = lambda step, name: counts.select("cluster", (F.col("class") + step).alias("class"), F.col("blocks").alias(name))
+    rows = sets.join(counts, ["cluster", "class"]).join(at(-1, "above"), ["cluster", "class"], "left").join(at(1, "below"), ["cluster", "class"], "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own, me = F.col("class"), F.col("block")
+    pair = lambda c, cross, x, y, left, right: F.struct(c.alias("class"), F.lit(cross).alias("cross"), x.alias("x"), y.alias("y"), left.alias("left"), right.alias("right"))
+    each = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    within = F.transform(each("blocks"), lambda o: pair(own, False, F.least(me, o), F.greatest(me, o), me <= o, me >= o))
+    up = F.transform(each("above"), lambda o: pair(own, True, me, o, F.lit(True), F.lit(False)))
+    down = F.transform(each("below"), lambda o: pair(own - 1, True, o, me, F.lit(False), F.lit(True)))
+    return rows.select("cluster", "id", "elements", F.explode(F.concat(within, up, down)).alias("p")).select("cluster", "p.*", "id", "elements")
+
+
 def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs.
 
@@ -465,19 +481,15 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
         shared = work.table(found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id")).distinct())
         members = connected_components(plausible_pairs(shared, about, pct, work), work=work).withColumnRenamed("component", "cluster")
         work.drop(shared)
-        blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-        members = work.table(members.join(blocks, "cluster"))
+        members = work.table(members)
         sets = work.table(
             members.join(rows.where("doc_id is not null"), F.col("node") == F.col("doc_id"))
-            .select("node", "cluster", "blocks", "text")
-            .mapInArrow(_to_sets(k), "id long, cluster long, blocks int, elements binary")
-        )
-        dealt = (
-            sets.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "elements")
+            .select("node", "cluster", "text")
+            .mapInArrow(_to_sets(k), "id long, cluster long, elements binary")
+            .withColumn("class", F.floor(F.log(F.octet_length("elements") / 8.0) / (math.log(100 / pct) * (1 + 1e-9))).cast("int"))
         )
-        links = dealt.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_verify(pct), "src long, dst long")
+        meet = ["cluster", "class", "cross", "x", "y"]
+        links = pairs_of_blocks(sets).repartition(*meet).sortWithinPartitions(*meet).mapInArrow(_verify(pct), "src long, dst long")
         links = links.unionByName(found.where(f"kind = {LINK}").select(F.col("a").alias("src"), F.col("b").alias("dst")))
         parts = connected_components(links, work=work)
         return settle(
