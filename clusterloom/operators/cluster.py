@@ -9,22 +9,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.operators.durable import settle
 from clusterloom.operators.graph import components_by_topic
 
 
 def merges(d: np.ndarray, linkage: str) -> list[tuple[float, int, int]]:
-    """(distance, a, b) in merge order: the nearest two clusters join, distances by Lance-Williams."""
+    """(distance, a, b) in merge order: the nearest two clusters join, the first of equal pairs, distances by Lance-Williams.
+
+    Each cluster keeps its nearest later one, so a step looks at one row of n values and at those whose nearest has changed.
+    """
     n = len(d)
     d = d.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
+    d[np.tril_indices(n)] = np.inf  # row a holds the distances to later clusters
     size, out = np.ones(n), []
+    near = d.argmin(1)
+    least = d[np.arange(n), near]
     for _ in range(n - 1):
-        a, b = sorted(divmod(int(np.argmin(d)), n))
-        out.append((float(d[a, b]), a, b))
-        row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b]) if linkage == "average" else np.maximum(d[a], d[b])
-        d[a], d[:, a] = row, row
-        d[b], d[:, b] = np.inf, np.inf
-        d[a, a] = np.inf
+        a = int(np.argmin(least))
+        b = int(near[a])
+        out.append((float(least[a]), a, b))
+        to_a = np.r_[d[:a, a], np.inf, d[a, a + 1 :]]
+        to_b = np.r_[d[:b, b], np.inf, d[b, b + 1 :]]
+        row = (size[a] * to_a + size[b] * to_b) / (size[a] + size[b]) if linkage == "average" else np.maximum(to_a, to_b)
+        row[[a, b]] = np.inf
+        stale = np.flatnonzero((near == a) | (near == b) | (np.arange(n) == a))
+        d[:a, a], d[a, a + 1 :] = row[:a], row[a + 1 :]
+        d[:b, b] = d[b, b + 1 :] = np.inf
+        least[b] = np.inf
+        closer = np.flatnonzero((row[:a] < least[:a]) | ((row[:a] == least[:a]) & (a < near[:a])))
+        for i in np.union1d(stale[stale != b], closer):
+            near[i] = d[i].argmin()
+            least[i] = d[i, near[i]]
         size[a] += size[b]
     return out
 
@@ -43,19 +58,25 @@ def cut(n: int, steps: list[tuple[float, int, int]], threshold: float) -> list[i
 def _cluster(thresholds: list[float], linkage: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for topic, idx, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                idx = sorted(idx)
-                place = {x: i for i, x in enumerate(idx)}
-                d = np.ones((len(idx), len(idx)))
-                for e in edges or []:
-                    d[place[e["i"]], place[e["j"]]] = d[place[e["j"]], place[e["i"]]] = 1 - e["p"]
+            nodes, edges = batch.column(1), batch.column(2)
+            idx_of, at = nodes.values.to_numpy(), nodes.offsets.to_numpy()
+            i_of, j_of, p_of = (edges.values.field(c).to_numpy() for c in ("i", "j", "p"))
+            e_at = edges.offsets.to_numpy()
+            topic, mark, idx, label = [], [], [], []
+            for k in range(batch.num_rows):
+                own = np.sort(idx_of[at[k] : at[k + 1]])
+                n, e = len(own), slice(e_at[k], e_at[k + 1])
+                i, j = np.searchsorted(own, i_of[e]), np.searchsorted(own, j_of[e])
+                d = np.ones((n, n))
+                d[i, j] = d[j, i] = 1 - p_of[e]
                 steps = merges(d, linkage)
                 for t in thresholds:
-                    for x, label in zip(idx, cut(len(idx), steps, t), strict=True):
-                        for column, v in zip(out, (topic, t, x, label), strict=True):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["topic", "threshold", "idx", "label"])
+                    topic.append(np.full(n, k))
+                    mark.append(np.full(n, t))
+                    idx.append(own)
+                    label.append(np.array(cut(n, steps, t)))
+            if topic:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(topic))), pa.array(np.concatenate(mark)), pa.array(np.concatenate(idx).astype(np.int64)), pa.array(np.concatenate(label).astype(np.int64))], ["topic", "threshold", "idx", "label"])
 
     return run
 
@@ -68,9 +89,11 @@ def agglomerate(nodes: DataFrame, scored: DataFrame, thresholds: list[float], li
     if linkage not in ("average", "complete"):
         raise ValueError("linkage is average or complete")
     n = nodes.groupBy("topic").agg(F.collect_list("idx").alias("idx"))
-    e = scored.groupBy("topic").agg(F.collect_list(F.struct("i", "j", "p")).alias("edges"))
+    pair = F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("p").cast("double").alias("p"))
+    e = scored.groupBy("topic").agg(F.collect_list(pair).alias("edges"))
     kind = nodes.schema["topic"].dataType.simpleString()
-    return n.join(e, "topic", "left").mapInArrow(_cluster(thresholds, linkage), f"topic {kind}, threshold double, idx long, label long")
+    edges = F.coalesce("edges", F.array().cast("array<struct<i:bigint,j:bigint,p:double>>")).alias("edges")
+    return n.join(e, "topic", "left").select("topic", F.col("idx").cast("array<bigint>").alias("idx"), edges).mapInArrow(_cluster(thresholds, linkage), f"topic {kind}, threshold double, idx long, label long")
 
 
 def cluster(nodes: DataFrame, scored: DataFrame, method: str, threshold: float, linkage: str = "average") -> DataFrame:
@@ -92,12 +115,43 @@ def impurity(labels: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def labels_at(nodes: DataFrame, scored: DataFrame, thresholds: list[float], method: str, linkage: str = "average") -> DataFrame:
+    """topic, threshold, idx, label for every distance threshold; one dendrogram a topic, or one run of components for all thresholds."""
+    if method != "cc":
+        return agglomerate(nodes, scored, thresholds, linkage)
+    every = F.array(*[F.lit(float(t)) for t in thresholds])
+    at = F.struct("t", "topic").alias("topic")
+    edges = scored.withColumn("t", F.explode(F.filter(every, lambda t: F.col("p") >= 1 - t))).select(at, "i", "j")
+    found = components_by_topic(nodes.withColumn("t", F.explode(every)).select(at, "idx"), edges)
+    return found.select(F.col("topic.topic").alias("topic"), F.col("topic.t").alias("threshold"), "idx", "label")
+
+
 def sweep(nodes: DataFrame, scored: DataFrame, thresholds: list[float], method: str, evaluate: Callable[[DataFrame], DataFrame], linkage: str = "average") -> DataFrame:
-    """threshold and evaluate(labels) for every threshold; agglomeration builds each dendrogram once."""
-    all_labels = agglomerate(nodes, scored, thresholds, linkage) if method == "agglomerative" else None
-    out = None
-    for t in thresholds:
-        labels = all_labels.where(F.col("threshold") == t).drop("threshold") if all_labels is not None else cluster(nodes, scored, "cc", t)
-        row = evaluate(labels).withColumn("threshold", F.lit(t))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """evaluate(labels): rows with threshold.  It gets topic, threshold, idx, label for all thresholds at once, computed once."""
+    return evaluate(settle(labels_at(nodes, scored, thresholds, method, linkage)))
+
+
+def winner(rows: DataFrame, score: str) -> DataFrame:
+    """The row of the first threshold with the largest score, as a sweep with a strict comparison keeps it."""
+    return rows.agg(F.max_by(F.struct(*rows.columns), F.struct(score, -F.col("threshold"))).alias("best")).where("best is not null").select("best.*")
+
+
+def system_topics(topics: DataFrame, clusters: DataFrame, skipped: bool = False) -> DataFrame:
+    """topic, mentions array<struct<para, start, end, cluster>>: the topic's mentions with the predicted clusters of the same places.
+
+    topics: topic, mentions; clusters: topic, clusters.  Topics without a prediction are left out, and are the rows of skipped=True; one of
+    another length raises an error.
+    """
+    if skipped:
+        return topics.join(clusters.select("topic"), "topic", "left_anti").select("topic")
+    sizes = F.concat(F.lit("topic "), F.col("topic").cast("string"), F.lit(": "), F.size("clusters").cast("string"), F.lit(" clusters for "), F.size("mentions").cast("string"), F.lit(" mentions"))
+    same = F.when(F.size("clusters") == F.size("mentions"), F.lit(True)).otherwise(F.raise_error(sizes).cast("boolean"))
+    zipped = F.zip_with("mentions", "clusters", lambda m, c: F.struct(m["para"].alias("para"), m["start"].alias("start"), m["end"].alias("end"), c.alias("cluster")))
+    return topics.select("topic", "mentions").join(clusters.select("topic", "clusters"), "topic").where(same).select("topic", zipped.alias("mentions"))
+
+
+def merged_clusters(mentions: DataFrame, relations: DataFrame) -> DataFrame:
+    """mentions topic, cluster, ... with merged: clusters that relations topic, src, dst connect are one, numbered by their least cluster."""
+    nodes = mentions.select("topic", F.col("cluster").alias("idx")).distinct()
+    parts = components_by_topic(nodes, relations.select("topic", F.col("src").alias("i"), F.col("dst").alias("j")))
+    return mentions.join(parts.select("topic", F.col("idx").alias("cluster"), F.col("label").alias("merged")), ["topic", "cluster"])

@@ -73,17 +73,30 @@ def average_precision(scored: DataFrame) -> DataFrame:
     return pr_curve(scored).agg(F.sum(F.col("gain") * F.col("precision")).alias("average_precision"))
 
 
-def average_rank(value: Column, *by: str) -> Column:
-    """Rank with ties averaged."""
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    return F.rank().over(part.orderBy(value)) + (F.count("*").over((W.partitionBy(*by, value))) - 1) / 2.0
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the rank of value, ties averaged: the rows below it and half of its own.
 
+    Rows are counted by value first, so only the distinct values (thresholds, counts of mentions) are put in order.
+    """
+    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
+    below = F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    ranks = counts.select(value, (F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
+    return df.join(ranks, value)
+
+
+def topic_stats(mentions: DataFrame, topic: str, cluster: str, paragraphs: DataFrame | None = None) -> DataFrame:
+    """Mentions, clusters, sizes and pair counts a topic; ratios are 0 on a zero denominator.
 
-def topic_stats(mentions: DataFrame, topic: str, cluster: str, tokens: Column | None = None) -> DataFrame:
-    """Mentions, clusters, sizes and pair counts a topic; ratios are 0 on a zero denominator."""
+    With paragraphs topic, n_tokens also n_docs, n_tokens and mentions_per_100_tokens, for topics without mentions too.
+    """
     sizes = mentions.groupBy(F.col(topic).alias("topic"), F.col(cluster).alias("cluster")).agg(F.count("*").alias("size"))
     out = sizes.groupBy("topic").agg(F.sum("size").alias("n_mentions"), F.count("*").alias("n_clusters"), F.max("size").alias("max_cluster_size"), F.min("size").alias("min_cluster_size"), F.sum(pairs_of(F.col("size"))).alias("pos_pairs"))
     total = pairs_of(F.col("n_mentions"))
+    if paragraphs is not None:
+        size = paragraphs.groupBy("topic").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+        counts = [c for c in out.columns if c != "topic"]
+        out = size.join(out, "topic", "left").select(*size.columns, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts])
+        out = out.withColumn("mentions_per_100_tokens", 100 * ratio(F.col("n_mentions"), F.col("n_tokens")))
     return out.withColumn("total_pairs", total).withColumn("pos_rate", ratio(F.col("pos_pairs"), F.col("total_pairs")))
 
 
@@ -91,13 +104,13 @@ PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] = PERCENTILES) -> DataFrame:
-    """One row for each column: count, mean, std, min, max and interpolated percentiles."""
-    out = None
-    for c in columns:
+    """One row for each column, from one aggregate: count, mean, std, min, max and interpolated percentiles."""
+
+    def row(c: str) -> Column:
         v = F.col(c).cast("double")
-        row = df.agg(F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), *[F.percentile(v, F.lit(q)).alias(f"p{round(q * 100)}") for q in percentiles])
-        out = row if out is None else out.unionByName(row)
-    return out
+        return F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), *[F.percentile(v, F.lit(q)).alias(f"p{round(q * 100)}") for q in percentiles])
+
+    return df.agg(F.array(*map(row, columns)).alias("rows")).select(F.inline("rows"))
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
@@ -129,3 +142,23 @@ def fit_temperature(scored: DataFrame, logit: str = "logit", label: str = "label
         best = min(range(width), key=lambda i: got[i])
         low, high = marks[max(0, best - 1)], marks[min(width - 1, best + 1)]
     return math.exp(-(low + high) / 2)
+
+
+def gold_pairs(dumped: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(topic, logit, label of the dumped pairs; topics that are skipped).
+
+    dumped: topic_id, n, edges; gold: topic, idx, gold.  A topic is skipped if it has no dump or a dump for another number of mentions.
+    """
+    clusters = gold.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "gold"))), lambda x: x["gold"]).alias("c"))
+    both = clusters.join(dumped.withColumnRenamed("topic_id", "topic"), "topic", "left").withColumn("ok", F.coalesce(F.size("c") == F.col("n"), F.lit(False)))
+    pairs = both.where("ok").select("topic", "c", F.inline("edges")).select("topic", "logit", (F.get("c", F.col("i")) == F.get("c", F.col("j"))).cast("int").alias("label"))
+    return pairs, both.where("not ok").select("topic")
+
+
+def temperature_record(pairs: DataFrame, split: str, scores_path: str, pos_weight: bool = False) -> DataFrame:
+    """One row: temperature, split, num_pairs, pos_rate, scores_path.  No pairs raise an error."""
+    n, rate = pairs.agg(F.count("*"), F.avg(F.col("label").cast("double"))).first()
+    if not n:
+        raise ValueError("no pairs to fit a temperature to")
+    row = (fit_temperature(pairs, pos_weight=pos_weight), split, n, rate, scores_path)
+    return pairs.sparkSession.createDataFrame([row], "temperature double, split string, num_pairs long, pos_rate double, scores_path string")

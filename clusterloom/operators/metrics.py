@@ -11,13 +11,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clusterloom.functions.scalars import fbeta, pairs_of, ratio
 
 
+def align_mentions(key: DataFrame, sys: DataFrame, key_docs: DataFrame | None = None, sys_docs: DataFrame | None = None, missing: str = "raise") -> DataFrame:
+    """doc, mention, key, sys from mentions doc, start, end, cluster of both sides; mentions are equal if their spans are.
+
+    A mention in several clusters of a side is in the last of them, clusters taken in the order of their first mention's end.  With
+    the documents of both sides, a key document that the system lacks raises an error (missing="skip" leaves it out), and other
+    system documents are ignored.
+    """
+
+    def last(side: DataFrame, name: str) -> DataFrame:
+        order = side.groupBy("doc", "cluster").agg(F.min(F.struct("end", "start")).alias("_first"))
+        return side.join(order, ["doc", "cluster"]).groupBy("doc", F.struct("start", "end").alias("mention")).agg(F.max_by("cluster", F.struct("_first", "cluster")).alias(name))
+
+    out = last(key, "key").join(last(sys, "sys"), ["doc", "mention"], "full")
+    if key_docs is None or sys_docs is None:
+        return out
+    there = sys_docs.select("doc").distinct().withColumn("_there", F.lit(True))
+    docs = key_docs.select("doc").distinct().join(there, "doc", "left")
+    absent = F.lit(False) if missing == "skip" else F.raise_error(F.concat(F.lit("the system has no document "), F.col("doc").cast("string"))).cast("boolean")
+    return out.join(docs.where(F.when(F.col("_there"), F.lit(True)).otherwise(absent)).select("doc"), "doc", "left_semi")
+
+
+def mask_unseen(mentions: DataFrame, seen: DataFrame, keep_singletons: bool = True) -> DataFrame:
+    """Mentions doc, cluster, start, end that the other side has seen; clusters that lose some and keep one go without keep_singletons."""
+    marked = mentions.join(seen.select("doc", "start", "end").distinct().withColumn("_seen", F.lit(True)), ["doc", "start", "end"], "left")
+    part = W.partitionBy("doc", "cluster")
+    marked = marked.withColumns({"_kept": F.count("_seen").over(part), "_n": F.count("*").over(part)}).where("_seen")
+    return (marked if keep_singletons else marked.where("_kept > 1 or _kept = _n")).select(*mentions.columns)
+
+
 def contingency(alignment: DataFrame) -> DataFrame:
     """doc, key, sys, n, size_key, size_sys; cells with a null side hold the mentions that the other side lacks."""
     cells = alignment.groupBy("doc", "key", "sys").agg(F.count("*").alias("n"))
@@ -151,15 +180,47 @@ def ceaf(sums: DataFrame, which: str, beta: float = 1.0) -> DataFrame:
     return s.select(r.alias("recall"), p.alias("precision"), fbeta(p, r, beta).alias("f1"))
 
 
-def evaluate(alignment: DataFrame, metrics: tuple[str, ...] = ("mention", "muc", "b3", "ceafe", "ceafm", "lea"), beta: float = 1.0) -> DataFrame:
-    """metric, recall, precision, f1 rows."""
+#: A metric is four sums of `per_document` and `ceaf_sums`: recall's numerator and denominator, then precision's.
+REGISTRY: dict[str, tuple[str, str, str, str]] = {m: tuple(f"{m}_{x}" for x in ("r_num", "r_den", "p_num", "p_den")) for m in ("mention", "muc", "b3", "lea")}
+REGISTRY |= {m: (f"{m}_num", "clusters_r", f"{m}_num", "clusters_p") for m in ("ceafe", "ceafm")}
+
+
+def chosen(metrics: tuple[str, ...] | str = "all") -> tuple[str, ...]:
+    """Names of registered metrics; all of them for "all"."""
+    names = tuple(REGISTRY) if metrics == "all" else tuple(metrics)
+    if unknown := set(names) - set(REGISTRY):
+        raise ValueError(f"no metric {sorted(unknown)}; there are {sorted(REGISTRY)}")
+    return names
+
+
+def evaluate(alignment: DataFrame, metrics: tuple[str, ...] | str = ("mention", "muc", "b3", "ceafe", "ceafm", "lea"), beta: float = 1.0, by: str | None = None) -> DataFrame:
+    """metric, recall, precision, f1 rows from one aggregate; with by, a field of a struct doc, for each value of it."""
+    metrics = chosen(metrics)
     sums = per_document(alignment)
-    solved = ceaf_sums(alignment) if any(m.startswith("ceaf") for m in metrics) else None
-    out = None
-    for m in metrics:
-        row = (ceaf(solved, m, beta) if m.startswith("ceaf") else corpus(sums, m, beta)).select(F.lit(m).alias("metric"), "recall", "precision", "f1")
-        out = row if out is None else out.unionByName(row)
-    return out
+    if any(c.startswith("ceaf") for m in metrics for c in REGISTRY[m]):
+        sums = sums.join(ceaf_sums(alignment).drop("clusters_r", "clusters_p"), "doc", "left")
+    used = sorted({c for m in metrics for c in REGISTRY[m]})
+    keys = [F.col("doc")[by].alias(by)] if by else []
+    totals = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in used])
+
+    def row(m: str) -> Column:
+        rn, rd, pn, pd = map(F.col, REGISTRY[m])
+        r, p = ratio(rn, rd), ratio(pn, pd)
+        return F.struct(F.lit(m).alias("metric"), r.alias("recall"), p.alias("precision"), fbeta(p, r, beta).alias("f1"))
+
+    return totals.select(*([by] if by else []), F.inline(F.array(*map(row, metrics))))
+
+
+def betas(alignment: DataFrame, metric: str, values: tuple[float, ...]) -> DataFrame:
+    """beta, f1 of one metric for several beta, from one aggregate."""
+    got = evaluate(alignment, (metric,))
+    return got.select(F.explode(F.array(*[F.struct(F.lit(b).alias("beta"), fbeta(F.col("precision"), F.col("recall"), b).alias("f1")) for b in values])).alias("x")).select("x.*")
+
+
+def report(scores: DataFrame) -> DataFrame:
+    """line: the scores as a console report shows them, in hundredths, ordered by metric name."""
+    pct = lambda c: F.format_string("%.2f", F.round(100 * F.col(c), 2))
+    return scores.orderBy("metric").select(F.concat(F.rpad("metric", 10, " "), F.lit("Recall: "), pct("recall"), F.lit(" Precision: "), pct("precision"), F.lit(" F1: "), pct("f1")).alias("line"))
 
 
 def conll(alignment: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from clusterloom.functions import text as T
 from clusterloom.functions.scalars import containment, distance, fbeta, overlap, ratio, sigmoid
 from clusterloom.operators import align, cluster, diagnose, graph, hierarchy, metrics, pairs, score
-from clusterloom.operators.durable import settle
+from clusterloom.operators.durable import ensure_checkpoint_dir
 from clusterloom.plans import views
 from clusterloom.sources import conll, jsonl
 
@@ -91,12 +92,7 @@ def singleton_filter(s, d):
 
 @query
 def fbeta_scores(s, d):
-    sums = metrics.per_document(views.alignment(s, d))
-    out = None
-    for b in (0.5, 1.0, 2.0):
-        row = metrics.corpus(sums, "b3", b).select(F.lit(b).alias("beta"), "f1")
-        out = row if out is None else out.unionByName(row)
-    return _round(out)
+    return _round(metrics.betas(views.alignment(s, d), "b3", (0.5, 1.0, 2.0)).select("beta", "f1"))
 
 
 @query
@@ -182,7 +178,7 @@ def tau_summary(s, d):
 def tau_correlation(s, d):
     best = diagnose.best_tau(diagnose.tau_curve(_scored(s, d), TAUS, ["topic"]), ["topic"]).select("topic", "tau")
     both = best.join(diagnose.topic_stats(views.mentions(s, d), "topic", "gold"), "topic")
-    ranked = both.select("tau", F.col("n_mentions").cast("double").alias("n"), diagnose.average_rank(F.col("tau")).alias("rt"), diagnose.average_rank(F.col("n_mentions")).alias("rn"))
+    ranked = diagnose.average_ranks(diagnose.average_ranks(both.select("tau", F.col("n_mentions").cast("double").alias("n")), "tau", "rt"), "n", "rn")
     return _round(ranked.agg(F.corr("tau", "n").alias("pearson"), F.corr("rt", "rn").alias("spearman")))
 
 
@@ -233,14 +229,51 @@ def agglomerative(s, d):
     return _round(cluster.agglomerate(_nodes(s, d), _scored(s, d), [0.4], "average"))
 
 
-def _b3(s: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
+def _sweep(s: SparkSession, d: str) -> DataFrame:
     gold = views.mentions(s, d).select("topic", "idx", "gold")
-    return lambda labels: metrics.evaluate(labels.join(gold, ["topic", "idx"]).select(F.col("topic").alias("doc"), F.col("idx").alias("mention"), F.col("gold").alias("key"), F.col("label").alias("sys")), ("b3",)).drop("metric")
+
+    def b3(labels: DataFrame) -> DataFrame:
+        both = labels.join(gold, ["topic", "idx"])
+        return metrics.evaluate(both.select(F.struct("threshold", "topic").alias("doc"), F.col("idx").alias("mention"), F.col("gold").alias("key"), F.col("label").alias("sys")), ("b3",), by="threshold").drop("metric")
+
+    return cluster.sweep(_nodes(s, d), _scored(s, d), [0.2, 0.3, 0.4], "agglomerative", b3, "complete")
 
 
 @query
 def threshold_sweep(s, d):
-    return _round(cluster.sweep(_nodes(s, d), _scored(s, d), [0.2, 0.3, 0.4], "agglomerative", _b3(s, d), "complete"))
+    return _round(_sweep(s, d))
+
+
+@query
+def sweep_winner(s, d):
+    return _round(cluster.winner(_sweep(s, d), "f1"))
+
+
+def _whole(m: DataFrame) -> DataFrame:
+    """Topics of which the system has all mentions."""
+    return m.groupBy("topic").agg(F.bool_and("in_sys").alias("ok")).where("ok").select("topic")
+
+
+@query
+def system_topics(s, d):
+    """Predicted clusters of the topics of which the system has all mentions, put to the mentions of the same places."""
+    m = views.mentions(s, d)
+    topics = m.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("para"), F.col("part").alias("start"), (F.col("part") + 1).alias("end")))).alias("mentions"))
+    predicted = m.join(_whole(m), "topic").groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "sys"))), lambda x: x["sys"]).alias("clusters"))
+    return _round(cluster.system_topics(topics, predicted).select("topic", F.inline("mentions")))
+
+
+@query
+def skipped_topics(s, d):
+    m = views.mentions(s, d)
+    return cluster.system_topics(m.select("topic").distinct().withColumn("mentions", F.array()), _whole(m), skipped=True)
+
+
+@query
+def merged_clusters(s, d):
+    m = views.mentions(s, d).select("topic", F.col("part").alias("cluster"), "idx", "gold", "sys")
+    relations = m.where("gold = sys").select("topic", F.col("cluster").alias("src"), F.lead("cluster").over(W.partitionBy("topic").orderBy("idx")).alias("dst")).where("dst is not null")
+    return _round(cluster.merged_clusters(m.select("topic", "cluster", "idx"), relations))
 
 
 @query
@@ -248,6 +281,24 @@ def closure(s, d):
     return graph.derived_relations(views.hierarchy(s, d)[0])
 
 
+@query
+def closure_cyclic(s, d):
+    """Nations of a region in a ring, each with its suppliers: reachable pairs that are no edges, itself left out."""
+    n = views.table(s, d, "nation")
+    ring = F.coalesce(F.lead("n_nationkey").over(W.partitionBy("n_regionkey").orderBy("n_nationkey")), F.min("n_nationkey").over(W.partitionBy("n_regionkey")))
+    rings = n.select(F.col("n_regionkey").cast("long").alias("topic"), F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("n"), ring).alias("dst"))
+    leaves = views.hierarchy(s, d)[0].where("dst like 's%'")
+    return graph.derived_relations(rings.unionByName(leaves))
+
+
+@query
+def ceaf_wide(s, d):
+    """Both CEAFs where a document has up to seven clusters on one side and six on the other."""
+    m = views.mentions(s, d)
+    a = m.select(F.col("topic").alias("doc"), F.col("idx").alias("mention"), F.when(F.col("in_key"), F.col("part") % 7).alias("key"), F.when(F.col("in_sys"), (F.col("part") + F.col("gold")) % 6).alias("sys")).where("key is not null or sys is not null")
+    return _round(metrics.evaluate(a, ("ceafe", "ceafm")))
+
+
 @query
 def shortest_path(s, d):
     return _round(graph.closure(views.hierarchy(s, d)[0]))
@@ -284,63 +335,127 @@ def norm_text(s, d):
     return views.table(s, d, "benchmark").select("item_id", T.norm(F.col("text")).alias("norm"))
 
 
+#: Tokens of a sentence of the derived extractions.
+SENTENCE = 48
+
+
+def _sentences(s: SparkSession, d: str) -> DataFrame:
+    """topic, para, doc, sent, tokens: paragraphs cut every SENTENCE tokens."""
+    p = views.paragraphs(s, d).where("size(tokens) > 0")
+    at = F.posexplode(F.sequence(F.lit(1), F.size("tokens"), F.lit(SENTENCE))).alias("sent", "_at")
+    return p.select("topic", "para", "doc", "tokens", at).select("topic", "para", "doc", F.col("sent").cast("long").alias("sent"), F.slice("tokens", F.col("_at"), SENTENCE).alias("tokens"))
+
+
 def _extracts(s: SparkSession, d: str) -> DataFrame:
-    """topic, para, doc, output: a bracketed extraction made of a paragraph's first tokens."""
-    w = lambda i: F.regexp_replace(F.coalesce(F.get("tokens", F.lit(i)), F.lit("x")), r"[\[\]|=]", "_")
-    out = F.concat(F.lit("we [ "), w(0), F.lit(" "), w(1), F.lit(" | method | used for = "), w(2), F.lit(" | part of = "), w(3), F.lit(" ] and [ "), w(2), F.lit(" | task ] and [ "), w(3), F.lit(" ]"))
-    return views.paragraphs(s, d).select("topic", "para", "doc", "tokens", out.alias("output"))
+    """topic, para, doc, sent, tokens, output: a bracketed extraction made of all tokens of a sentence.
+
+    There are mentions with and without relations, with a blank type, with a piece that is no relation and one with two =, and
+    citations, which are no mentions.
+    """
+    w = lambda i: F.regexp_replace(F.coalesce(F.get("tokens", F.lit(i)), F.lit("x")), r"[\[\]|=;]", "_")
+    run = lambda i, j: [x for k in range(i, j) for x in (F.lit(" "), w(k))]
+    t = F.lit
+    parts: list[Column] = []
+    for o in (0, 24):
+        parts += [w(o), t(" [ "), w(o + 1), t(" "), w(o + 2), t(" | method | used for = "), w(o + 4), t(" | part of = "), w(o + 3), t(" ]"), *run(o + 5, o + 6)]
+        parts += [t(" [ "), w(o + 6), t(" | task ] [ 12 ]"), *run(o + 7, o + 12)]
+        parts += [t(" [ "), w(o + 12), t(" "), w(o + 13), t(" |  | used for = "), w(o + 1), t(" "), w(o + 2), t(" ]"), *run(o + 14, o + 18)]
+        parts += [t(" [ "), w(o + 18), t(" | task | odd relation | compare = "), w(o + 6), t(" = "), w(o + 19), t(" ]"), *run(o + 20, o + 24), t(" ")]
+    return _sentences(s, d).withColumn("output", F.concat(*parts))
 
 
 def _entities(s: SparkSession, d: str) -> DataFrame:
-    return _extracts(s, d).select("topic", "para", "doc", F.posexplode(T.parse_entities(F.col("output"))).alias("ord", "e")).select("topic", "para", "doc", "ord", "e.*")
+    return _extracts(s, d).select("doc", "sent", F.posexplode(T.parse_entities(F.col("output"))).alias("ord", "e")).select("doc", "sent", "ord", "e.*")
 
 
 @query
 def parse_entities(s, d):
-    return _round(_entities(s, d).select("doc", "ord", "text", "type", F.size("rels").alias("n_rels")))
+    return _round(_entities(s, d).select("doc", "sent", "ord", "text", "type", F.size("rels").alias("n_rels")))
 
 
 @query
 def parse_relations(s, d):
-    return _round(_entities(s, d).select("doc", "ord", "text", F.posexplode("rels").alias("k", "r")).select("doc", "ord", "k", "r.pred", "r.obj"))
+    return _round(_entities(s, d).select("doc", "sent", "ord", "text", F.posexplode("rels").alias("k", "r")).select("doc", "sent", "ord", "k", "r.pred", "r.obj"))
+
+
+@query
+def parse_named(s, d):
+    e = _extracts(s, d).select("doc", "sent", F.posexplode(T.parse_named(F.col("output"))).alias("ord", "e"))
+    return _round(e.select("doc", "sent", "ord", "e.text", "e.type", F.size("e.rels").alias("n_rels")))
+
+
+@query
+def entity_links(s, d):
+    """Relations with the places of the first entities named so; obj is null where no entity is."""
+    e = _extracts(s, d).select("doc", "sent", F.inline(T.link_entities(T.parse_named(F.col("output")))))
+    return _round(e.select("doc", "sent", "subj", "pred", "obj", "obj_text"))
+
+
+@query
+def bracket_mentions(s, d):
+    e = _extracts(s, d).select("doc", "sent", F.posexplode(T.bracket_mentions(F.col("output"))).alias("ord", "text"))
+    return _round(e)
 
 
 @query
 def incoming_relations(s, d):
     e = _entities(s, d)
-    r = e.select("doc", F.explode("rels").alias("r")).select("doc", T.norm(F.col("r.obj")).alias("name"), "r.pred")
-    return _round(e.select("doc", "ord", T.norm(F.col("text")).alias("name")).join(r, ["doc", "name"]).groupBy("doc", "ord").agg(F.count("*").alias("n"), F.min("pred").alias("first_pred")))
+    r = e.select("doc", "sent", F.explode("rels").alias("r")).select("doc", "sent", T.norm(F.col("r.obj")).alias("name"), "r.pred")
+    return _round(e.select("doc", "sent", "ord", T.norm(F.col("text")).alias("name")).join(r, ["doc", "sent", "name"]).groupBy("doc", "sent", "ord").agg(F.count("*").alias("n"), F.min("pred").alias("first_pred")))
+
+
+def _near(es: Column, me: Column) -> Column:
+    """The other entities of a sentence, in order, six at most."""
+    return F.slice(F.array_sort(F.transform(F.filter(es, lambda o, i: i != me), lambda o: F.struct(o["text"].alias("text"), F.coalesce(o["type"], F.lit("")).alias("type")))), 1, 6)
 
 
 @query
 def co_mentions(s, d):
-    e = _entities(s, d)
-    other = e.select("doc", F.col("ord").alias("o"), F.struct("text", F.coalesce("type", F.lit("")).alias("type")).alias("x"))
-    capped = e.select("doc", "ord").join(other, "doc").where("ord <> o").groupBy("doc", "ord").agg(F.slice(F.array_sort(F.collect_list("x")), 1, 6).alias("near"))
-    return _round(capped.select("doc", "ord", F.array_join(F.transform("near", lambda x: F.concat(x["text"], F.lit("/"), x["type"])), ";").alias("near")))
+    e = _extracts(s, d).withColumn("es", T.parse_entities(F.col("output"))).select("doc", "sent", "es", F.posexplode("es").alias("ord", "e"))
+    return _round(e.select("doc", "sent", "ord", F.array_join(F.transform(_near(F.col("es"), F.col("ord")), lambda x: F.concat(x["text"], F.lit("/"), x["type"])), ";").alias("near")))
 
 
-@query
-def signature_cards(s, d):
-    """Each entity with its outgoing and incoming relations, the other entities and the paragraph with its first occurrence marked."""
+def _cards(s: SparkSession, d: str) -> DataFrame:
+    """doc, sent, ord, text, type, outgoing, incoming, near, context of each entity; made row by row, nothing is shuffled after the sentences."""
     x = _extracts(s, d).withColumn("es", T.parse_entities(F.col("output")))
-    e = x.select("topic", "para", "doc", "tokens", "es", F.posexplode("es").alias("ord", "e")).withColumn("text", F.col("e.text"))
+    e = x.select("doc", "sent", "tokens", "es", F.posexplode("es").alias("ord", "e")).withColumns({"text": F.col("e.text"), "type": F.col("e.type")})
     names = lambda r: T.norm(r["obj"]) == T.norm(F.col("text"))
     incoming = F.flatten(F.transform("es", lambda o: F.transform(F.filter(o["rels"], names), lambda r: F.struct(r["pred"].alias("pred"), o["text"].alias("subject"), o["type"].alias("subject_type")))))
-    near = F.transform(F.filter("es", lambda o, i: i != F.col("ord")), lambda o: F.struct(o["text"].alias("text"), o["type"].alias("type")))
-    found = align.find_spans(x.select("topic", "para", "tokens"), e.select("topic", "para", F.col("text").alias("target")), ["topic", "para"])
-    first = found.groupBy("topic", "para", F.col("target").alias("text")).agg(F.min(F.struct("start", "end")).alias("at"))
+    first = e.withColumns({"at": align.first_span(F.col("tokens"), F.col("text")), "incoming": incoming, "near": _near(F.col("es"), F.col("ord"))})
     context = F.when(F.col("at").isNull(), T.detok(F.col("tokens"))).otherwise(T.highlight(F.col("tokens"), F.col("at.start"), F.col("at.end"), F.lit(0), F.size("tokens")))
-    cards = e.join(first, ["topic", "para", "text"], "left").select("doc", "ord", T.card_json(F.col("text"), F.col("e.type"), F.col("e.rels"), incoming, near, context).alias("card"))
-    return settle(_round(cards)).select("doc", "ord", T.yaml_card(F.col("card")).alias("signature"))  # Spark leaves a Python function over this join unplanned
+    return first.select("doc", "sent", "ord", "text", "type", F.col("e.rels").alias("outgoing"), "incoming", "near", context.alias("context"))
+
+
+@query
+def signature_fields(s, d):
+    """The fields of the cards as text."""
+    show = lambda a, *fs: F.array_join(F.transform(F.slice(F.array_sort(a), 1, 6), lambda x: F.concat_ws("/", *[F.coalesce(x[f], F.lit("")) for f in fs])), ";")
+    return _round(_cards(s, d).select("doc", "sent", "ord", "text", "type", show("outgoing", "pred", "obj").alias("outgoing"), show("incoming", "pred", "subject", "subject_type").alias("incoming"), show("near", "text", "type").alias("near"), "context"))
+
+
+@query
+def signature_cards(s, d):
+    """Each entity with its outgoing and incoming relations, the other entities of its sentence and the sentence with its first occurrence marked, as YAML."""
+    c = _cards(s, d)
+    near = F.transform("near", lambda x: F.struct(x["text"].alias("text"), F.nullif(x["type"], F.lit("")).alias("type")))
+    return _round(c.select("doc", "sent", "ord", T.yaml_card(T.card_json(F.col("text"), F.col("type"), F.col("outgoing"), F.col("incoming"), near, F.col("context"))).alias("signature")))
+
+
+@query
+def mention_signatures(s, d):
+    """Mentions of a sentence put to the signatures of their spans; a mention without one would raise an error."""
+    m = _sentences(s, d).where("size(tokens) > 6").select("doc", "sent", F.explode(F.array(F.lit(1), F.lit(4))).alias("start"), "tokens").withColumn("end", F.col("start") + 1)
+    known = m.select("doc", "sent", "start", "end", T.span_text(F.col("tokens"), F.col("start"), F.col("end")).alias("signature"))
+    return _round(align.require(m.select("doc", "sent", "start", "end"), known, ["doc", "sent", "start", "end"], "signature"))
 
 
 @query
 def span_alignment(s, d):
-    p = views.paragraphs(s, d)
-    targets = _extracts(s, d).select("doc", F.concat_ws(" ", F.get("tokens", F.lit(5)), F.get("tokens", F.lit(6))).alias("target")).where("target <> ''")
-    found = align.find_spans(p.select("doc", "tokens"), targets, ["doc"])
-    return _round(found.groupBy("doc").agg(F.count("*").alias("n"), F.min("start").alias("first_start")))
+    x = _sentences(s, d).withColumn("id", F.struct("doc", "sent"))
+    words = lambda *k: F.concat_ws(" ", *[F.get("tokens", F.lit(i)) for i in k])
+    targets = x.select("id", F.explode(F.array(words(5, 6), words(9), words(20, 21, 22))).alias("target")).where("target <> ''")
+    found = align.find_spans(x.select("id", "tokens"), targets, ["id"])
+    return _round(found.groupBy("id").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end")).select("id.doc", "id.sent", "n", "first_start", "last_end"))
 
 
 @query
@@ -359,21 +474,29 @@ def sentence_assign(s, d):
     return _round(m.select("topic", "idx", align.best_sentence(sentences, start, start + 4).alias("sentence"), overlap(start, start + 4, F.lit(5), F.lit(10)).alias("in_second"), containment(start, start + 3, F.lit(5), F.lit(9)).alias("inside")))
 
 
-@query
-def extraction_recall(s, d):
+def _spans_of_both(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m = views.mentions(s, d)
     gold = m.where("in_key").select("topic", F.col("idx").alias("ord"), (F.col("part") % 20).alias("s"), (F.col("part") % 20 + 2).alias("e"))
-    pred = m.where("in_sys").select("topic", F.col("idx").alias("ord"), (F.col("part") % 23).alias("s"), (F.col("part") % 23 + 2).alias("e"))
-    hits = align.greedy_recall(gold, pred, "topic")
+    return gold, m.where("in_sys").select("topic", F.col("idx").alias("ord"), (F.col("part") % 23).alias("s"), (F.col("part") % 23 + 2).alias("e"))
+
+
+@query
+def extraction_recall(s, d):
+    hits = align.greedy_recall(*_spans_of_both(s, d), "topic")
     return _round(hits.agg(F.sum("hits").alias("hits"), F.sum("gold").alias("gold"), (F.sum("hits") / F.sum("gold")).alias("micro"), F.avg(F.col("hits") / F.col("gold")).alias("macro")))
 
 
+@query
+def extraction_misses(s, d):
+    return _round(align.greedy_matches(*_spans_of_both(s, d), "topic").where("not hit").select(F.col("key").alias("topic"), "ord", F.col("s").alias("start"), F.col("e").alias("end")))
+
+
 @query
 def exact_recall(s, d):
-    gold = _extracts(s, d).select("doc", F.posexplode(F.slice("tokens", 1, 4)).alias("k", "g")).select("doc", "k", T.norm(F.col("g")).alias("name"))
-    found = _entities(s, d).select("doc", T.norm(F.col("text")).alias("name")).distinct()
-    hit = gold.join(found, ["doc", "name"], "left_semi").groupBy("doc").agg(F.count("*").alias("hits"))
-    return _round(gold.groupBy("doc").agg(F.count("*").alias("gold")).join(hit, "doc", "left").select("doc", "gold", F.coalesce("hits", F.lit(0)).alias("hits")))
+    places = [k for k in (1, 6, 7, 18, 30, 42)]
+    gold = _sentences(s, d).select("doc", "sent", F.posexplode(F.filter(F.array(*[F.get("tokens", F.lit(k)) for k in places]), lambda t: t.isNotNull())).alias("k", "g")).select("doc", "sent", "k", T.norm(F.col("g")).alias("name"))
+    found = _entities(s, d).select("doc", "sent", T.norm(F.col("text")).alias("name"), F.lit(1).alias("hit")).distinct()
+    return _round(gold.join(found, ["doc", "sent", "name"], "left").groupBy("doc").agg(F.count("*").alias("gold"), F.count("hit").alias("hits")))
 
 
 @query
@@ -402,15 +525,75 @@ def conll_encode(s, d):
 
 @query
 def conll_decode(s, d):
+    """Each two neighbouring mentions as one span of the first one's cluster, written to cells and read back."""
     m = views.mentions(s, d)
-    last = F.max("idx").over(W.partitionBy("topic"))
-    spans = m.select(F.col("topic").alias("doc"), F.col("idx").alias("start"), F.least(F.col("idx") + 1, last).alias("end"), F.col("gold").alias("cluster")).where("start % 2 = 0")
+    spans = m.groupBy(F.col("topic").alias("doc"), F.expr("idx div 2").alias("two")).agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.min_by("gold", "idx").alias("cluster")).drop("two")
     return _round(conll.decode(conll.encode(m.select(F.col("topic").alias("doc"), F.col("idx").alias("pos")), spans)))
 
 
+@query
+def conll_marks_odd(s, d):
+    """Marks of odd cells: adjacent marks without |, an inner (, an unmet ), empty pairs, other characters."""
+    m = views.mentions(s, d)
+    c, g = F.col("part").cast("string"), F.col("gold").cast("string")
+    odd = [("(", c, ")(", g, ")"), ("(", c, "(", g, ")"), (c, ")(", g), (c, ")", g, ")"), ("()(", c, "|(", g, "x"), ("*(", c, "a)|", g, "|-")]
+    cell = F.get(F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in o]) for o in odd]), (F.col("idx") % 6).cast("int"))
+    marks = m.select(F.col("topic").alias("doc"), F.col("idx").alias("pos"), F.posexplode(conll.cell_marks(cell)).alias("k", "m"))
+    return _round(marks.select("doc", "pos", "k", "m.*"))
+
+
+@query
+def file_scores(s, d):
+    """Both sides written as annotation files, read, decoded, aligned and scored: the figures of coref_scores."""
+    m = views.mentions(s, d)
+    base = f"{ensure_checkpoint_dir(s)}/annotation-{uuid.uuid4().hex}"
+    sides = []
+    for side, there, own in (("key", "in_key", "gold"), ("sys", "in_sys", "sys")):
+        cell = F.when(F.col(there), F.concat(F.lit("("), F.col(own).cast("string"), F.lit(")"))).otherwise("-")
+        conll.write(m.select(F.col("topic").alias("doc"), F.col("idx").alias("pos"), F.lit("word").alias("word"), cell.alias("cell")), f"{base}-{side}")
+        sides.append(conll.read(s, f"{base}-{side}"))
+    key, sys = map(conll.decode, sides)
+    return _round(metrics.evaluate(metrics.align_mentions(key, sys, *sides), ("mention", "muc", "b3", "lea")))
+
+
+@query
+def score_report(s, d):
+    return metrics.report(metrics.evaluate(views.alignment(s, d), ("muc", "b3")))
+
+
+@query
+def unseen_mask(s, d):
+    m = views.mentions(s, d)
+    spans = m.select(F.col("topic").alias("doc"), F.col("gold").alias("cluster"), F.col("idx").alias("start"), F.col("idx").alias("end"), "in_sys")
+    return _round(metrics.mask_unseen(spans.drop("in_sys"), spans.where("in_sys"), keep_singletons=False))
+
+
+@query
+def common_topics(s, d):
+    m = views.mentions(s, d)
+    return align.in_both(m.where("in_key").select("topic"), m.where("in_sys").select("topic"), ["topic"])
+
+
+@query
+def topic_density(s, d):
+    p = views.paragraphs(s, d).select("topic", F.size("tokens").cast("long").alias("n_tokens"))
+    return _round(diagnose.topic_stats(views.mentions(s, d).where("in_key"), "topic", "gold", p))
+
+
+@query
+def temperature_record(s, d):
+    """Fitted on the dumped pairs of topics whose dump has as many mentions as the gold; the others have one too many."""
+    m = views.mentions(s, d)
+    gold = m.select("topic", "idx", "gold")
+    whole = _whole(m).select(F.col("topic").alias("topic_id"), F.lit(0).alias("more"))
+    dumped = score.dump_scores(views.pairs(s, d)).join(whole, "topic_id", "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(1)))
+    record = diagnose.temperature_record(diagnose.gold_pairs(dumped, gold)[0], "validation", "pairs")
+    return _round(record.withColumn("temperature", F.round("temperature", 3)))
+
+
 @query
 def conll_decode_all(s, d):
-    """Cells of all mentions read back: nested, crossing and hidden marks; conll_decode keeps to what its SQL states."""
+    """Cells of all mentions read back: nested, crossing and hidden marks."""
     return _round(conll.decode(conll_encode(s, d)))
 
 
@@ -460,5 +643,5 @@ def pair_scores_dump(s, d):
 @query
 def lexical_scores(s, d):
     b = views.table(s, d, "benchmark").select("item_id", "text")
-    p = pairs.all_pairs(b.withColumn("t", F.lit(0)), "t", "item_id", ["text"]).withColumnsRenamed({"text_i": "text_a", "text_j": "text_b"})
+    p = pairs.all_pairs(b.withColumn("t", F.expr("item_id div 8")), "t", "item_id", ["text"]).withColumnsRenamed({"text_i": "text_a", "text_j": "text_b"})
     return _round(score.lexical_scorer(p).select("i", "j", "logit"))

@@ -43,11 +43,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """topic, para, doc, tokens: documents as paragraphs of their source, punctuation parted from words."""
+    """topic, para, doc, tokens: eight neighbouring ids are the paragraphs of a topic, punctuation parted from words."""
     d = table(spark, sf_dir, "documents")
-    para = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    topic = F.expr("doc_id div 8")
+    para = F.row_number().over(W.partitionBy(topic).orderBy("doc_id")) - 1
     tokens = F.array_remove(F.split(F.regexp_replace(F.regexp_replace("text", r"([,.;:%()\[\]])", " $1 "), r"[ \t\n\x0b\f\r]+", " "), " "), "")
-    return d.select(F.col("source").alias("topic"), para.cast("long").alias("para"), F.col("doc_id").alias("doc"), tokens.alias("tokens"))
+    return d.select(topic.alias("topic"), para.cast("long").alias("para"), F.col("doc_id").alias("doc"), tokens.alias("tokens"))
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -22,18 +22,26 @@ def encode(tokens: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def write(cells: DataFrame, path: str) -> None:
-    """One text line a token between #begin and #end lines of each document: pos, doc, word, cell by tabs.  cells: doc, pos, word, cell."""
-    line = F.concat_ws("\t", F.col("pos").cast("string"), F.col("doc").cast("string"), "word", "cell")
-    body = cells.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    body.select(F.concat(F.lit("#begin document "), F.col("doc").cast("string"), F.lit("\n"), "body", F.lit("\n#end document\n")).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
+    """One line a token between #begin and #end lines of each document: pos, doc_id, token_id, word, cell by tabs.
+
+    cells: doc, pos, word, cell, and doc_id and token_id within the document's paragraphs (else doc and pos).  Lines are rows
+    of a range-partitioned sort, so no document has to fit one row and each stays in one file.
+    """
+    own = lambda c, rest: F.col(c if c in cells.columns else rest).cast("string")
+    line = F.concat_ws("\t", F.col("pos").cast("string"), own("doc_id", "doc"), own("token_id", "pos"), "word", "cell")
+    lines = cells.select("doc", F.col("pos").cast("long").alias("at"), line.alias("value"))
+    docs = cells.select("doc").distinct()
+    first = docs.select("doc", F.lit(-1).cast("long").alias("at"), F.concat(F.lit("#begin document "), F.col("doc").cast("string")).alias("value"))
+    last = docs.select("doc", F.lit((1 << 63) - 1).alias("at"), F.lit("#end document").alias("value"))
+    lines.unionByName(first).unionByName(last).repartitionByRange("doc").sortWithinPartitions("doc", "at").select("value").write.mode("overwrite").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc, sent, pos, cell: the last white-space column of each token line; blank lines part sentences, repeated ones count once.
+    """doc, sent, pos, cell, columns: the white-space columns of each token line and the last of them; blank lines part sentences, repeated ones count once.
 
-    A name that begins again appends to its document.  Files are read whole, so a file's lines keep their order.
+    A name that begins again appends to its document.  Files are read in splits; lines are ordered by file, split and place.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("k")).alias("n"), F.col("value").alias("line"))
     by = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
     begin = F.col("line").startswith("#begin document")
     marked = lines.withColumns({"doc": F.last(F.when(begin, F.regexp_extract("line", r"#begin document (.*)$", 1)), ignorenulls=True).over(by), "blank": F.trim(F.regexp_replace("line", r"\s+", " ")) == ""})
@@ -41,13 +49,31 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("step", (F.col("blank") & ~F.coalesce(F.lag("blank").over(W.partitionBy("doc").orderBy("file", "n")), F.lit(True))).cast("int"))
     inner = W.partitionBy("doc").orderBy("file", "n").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("sent", F.sum("step").over(inner)).where("not blank and doc is not null")
-    cell = F.element_at(F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+"), -1)
-    return rows.select("doc", "sent", (F.row_number().over(W.partitionBy("doc").orderBy("file", "n")) - 1).alias("pos"), cell.alias("cell"))
+    parts = F.split(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s+")
+    return rows.select("doc", "sent", (F.row_number().over(W.partitionBy("doc").orderBy("file", "n")) - 1).alias("pos"), F.element_at(parts, -1).alias("cell"), parts.alias("columns"))
+
+
+#: Fixed value: the place of the constituency column in annotation of over PARSE_COLUMN + 1 columns.
+PARSE_COLUMN = 5
+
+
+def has_parse(tokens: DataFrame) -> DataFrame:
+    """doc, has_parse: whether a document's first line with a parse column has a tree there and not -.  tokens as `read` gives them."""
+    wide = tokens.where(F.size("columns") > PARSE_COLUMN + 1).groupBy("doc").agg(F.min_by(F.get("columns", F.lit(PARSE_COLUMN)), "pos").alias("tree"))
+    return tokens.select("doc").distinct().join(wide, "doc", "left").select("doc", F.coalesce(F.col("tree") != "-", F.lit(False)).alias("has_parse"))
 
 
 def cell_marks(cell: Column) -> Column:
-    """array<struct<cluster, opens, closes>> of a cell."""
-    return F.transform(F.filter(F.split(cell, r"\|"), lambda x: x.rlike(r"\d")), lambda x: F.struct(F.regexp_extract(x, r"(\d+)", 1).cast("long").alias("cluster"), x.startswith("(").alias("opens"), x.endswith(")").alias("closes")))
+    """array<struct<cluster, opens, closes>> of a cell, in its order.
+
+    ( opens, ) closes and | ends a mark; characters besides them and digits mean nothing.  A ( before another one, an empty pair
+    and a number with neither bracket give no mark.
+    """
+    plain = F.regexp_replace(cell, r"[^0-9()|]", "")
+    part = lambda i: F.regexp_extract_all(plain, F.lit(r"(\(?)([0-9]+)(\)|\||$)"), F.lit(i))
+    ends = F.zip_with(part(1), part(3), lambda a, z: F.struct((a == "(").alias("opens"), (z == ")").alias("closes")))
+    marks = F.zip_with(part(2), ends, lambda c, e: F.struct(c.cast("long").alias("cluster"), e["opens"].alias("opens"), e["closes"].alias("closes")))
+    return F.filter(marks, lambda m: m["opens"] | m["closes"])
 
 
 def decode(cells: DataFrame) -> DataFrame:

@@ -25,13 +25,29 @@ def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
+def scan_split(spark: SparkSession, root: str, name: str, schema: StructType | str) -> DataFrame:
+    """Rows of <root>/<split>.jsonl, the split by any of its names."""
+    return scan(spark, f"{root}/{split_name(name)}.jsonl", schema)
+
+
 def scan_keyed(spark: SparkSession, path: str, schema: StructType | str, keys: list[str]) -> DataFrame:
-    """JSON lines with the last line of each key; lines keep their order within a file, files by name."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), F.posexplode(F.split("value", "\n")).alias("n", "line")).where("trim(line) <> ''")
-    rows = lines.select(F.from_json("line", schema if isinstance(schema, str) else schema.simpleString()).alias("r"), F.struct("f", "n").alias("_at")).select("r.*", "_at")
+    """JSON lines with the last line of each key; files are read in splits, lines ordered by file, split and place."""
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("k"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), at.alias("_at")).where("trim(line) <> ''")
+    rows = lines.select(F.from_json("line", schema if isinstance(schema, str) else schema.simpleString()).alias("r"), "_at").select("r.*", "_at")
     return last_wins(rows, keys, "_at").drop("_at")
 
 
+def write_record(record: DataFrame, path: str) -> None:
+    """A one-row parameter record as one JSON line."""
+    record.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_record(spark: SparkSession, path: str) -> dict:
+    """The parameter record of write_record."""
+    return spark.read.json(path).first().asDict(recursive=True)
+
+
 def write(df: DataFrame, path: str) -> None:
     """JSON lines, nulls kept."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

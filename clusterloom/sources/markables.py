@@ -8,26 +8,38 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, n, columns of the lines of all *.CONLL files under a path, headers left out."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.CONLL").text(path, wholetext=True)
-    lines = files.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    return lines.where((F.trim("line") != "") & ~F.col("line").startswith("TOKEN")).select("file", "n", F.split("line", "\t").alias("c"))
+    """file, n, columns of the lines of all *.CONLL files under a path, headers left out; files are read in splits."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.CONLL").text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("k")).alias("n"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"))
+    return rows.where((F.col("line") != "") & ~F.col("line").startswith("TOKEN")).select("file", "n", F.split("line", r"\s+").alias("c"))
 
 
 def markables(lines: DataFrame) -> DataFrame:
     """doc, markable, cluster, start, end, lo, hi, referring: word extents, minimum core (the extent where none is given) and tag.
 
-    A cluster is referring or not as its first markable says.
+    Columns are parted by white space: word, markables, cores (of four columns or more), and tags in the last column (of three or
+    more).  Cores and tags count only where there are as many as markables.  The line that begins a markable gives its cluster, core and
+    tag; later lines only extend it.  A cluster is referring or not as its first markable says.
     """
     at = F.row_number().over(W.partitionBy("file").orderBy("n")) - 1
-    words = lines.select(F.col("file").alias("doc"), at.alias("word"), F.split(F.get("c", F.lit(1)), "@").alias("m"), F.split(F.coalesce(F.get("c", F.lit(2)), F.lit("")), "@").alias("core"), F.split(F.coalesce(F.get("c", F.lit(3)), F.lit("")), "@").alias("tag"))
-    each = words.select("doc", "word", F.posexplode("m").alias("k", "mark"), "core", "tag").where("mark rlike '^[BI]-'")
-    name = F.regexp_extract("mark", r"^[BI]-([^=]+)", 1)
-    each = each.select("doc", "word", name.alias("markable"), F.regexp_extract("mark", r"=(.*)$", 1).alias("cluster"), F.get("core", F.col("k")).alias("core"), F.get("tag", F.col("k")).alias("tag"))
-    low, high = (F.try_to_number(F.regexp_extract("core", r, 1), F.lit("999999")).cast("long") for r in (r"word_(\d+)", r"word_\d+\.\.word_(\d+)"))
-    out = each.groupBy("doc", "markable").agg(F.first("cluster").alias("cluster"), F.min("word").alias("start"), F.max("word").alias("end"), F.min(low).alias("lo"), F.max(F.coalesce(high, low)).alias("hi"), F.max((F.col("tag") == "non_referring").cast("int")).alias("non"))
-    first = F.first("non").over(W.partitionBy("doc", "cluster").orderBy("start", "end"))
-    return out.select("doc", "markable", "cluster", "start", "end", F.coalesce(F.col("lo") - 1, "start").alias("lo"), F.coalesce(F.col("hi") - 1, "end").alias("hi"), (first == 0).alias("referring"))
+    size = F.size("c")
+    none = F.array().cast("array<string>")
+    words = lines.select(
+        F.col("file").alias("doc"),
+        at.alias("word"),
+        F.when(size > 1, F.split(F.get("c", F.lit(1)), "@")).otherwise(none).alias("m"),
+        F.when(size >= 4, F.split(F.get("c", F.lit(2)), "@")).otherwise(none).alias("core"),
+        F.when(size >= 3, F.split(F.element_at("c", -1), "@")).otherwise(none).alias("tag"),
+    )
+    given = lambda c: F.when(F.size(c) == F.size("m"), F.get(c, F.col("k")))
+    each = words.select("doc", "word", "m", "core", "tag", F.posexplode("m").alias("k", "mark")).select("doc", "word", "k", "mark", given("core").alias("core"), given("tag").alias("tag"))
+    each = each.where("mark rlike '^[BI]-markable_[0-9]+=.{4}'").withColumns({"markable": F.regexp_extract("mark", "_([0-9]+)=", 1).cast("long"), "begins": F.col("mark").startswith("B-")})
+    low, high = (F.when(F.col("core").rlike(r), F.regexp_extract("core", r, 1).cast("long") - 1) for r in (r"word_(\d+)", r"\.\.word_(\d+)"))
+    head = F.struct("word", F.regexp_extract("mark", "=.{4}(.*)$", 1).alias("cluster"), low.alias("lo"), F.coalesce(high, low).alias("hi"), F.coalesce(F.col("tag") == "non_referring", F.lit(False)).alias("non"), "k")
+    out = each.groupBy("doc", "markable").agg(F.max_by(F.when(F.col("begins"), head), F.when(F.col("begins"), F.struct("word", "k"))).alias("b"), F.min(F.when(F.col("begins"), F.struct("word", "k"))).alias("seen"), F.max("word").alias("end"))
+    out = out.where("b is not null")
+    first = F.first("b.non").over(W.partitionBy("doc", "b.cluster").orderBy("seen"))
+    return out.select("doc", "markable", F.col("b.cluster").alias("cluster"), F.col("b.word").alias("start"), "end", F.coalesce("b.lo", "b.word").alias("lo"), F.coalesce("b.hi", "end").alias("hi"), (~first).alias("referring"))
 
 
 def split_referring(marks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,11 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from clusterloom.functions import text as T
-from clusterloom.operators import align, cluster, diagnose, graph, hierarchy, pairs, score
-from clusterloom.sources import conll, jsonl
+from clusterloom.operators import align, cluster, diagnose, graph, hierarchy, metrics, pairs, score
+from clusterloom.sources import conll, jsonl, markables
 from clusterloom.streaming import ingest
 
 
@@ -16,8 +17,15 @@ def one(spark, column, **values):
 def test_text(spark):
     assert one(spark, T.detok(F.col("t")), t=["a", "(", "b", ")", ",", "c", "%", "."]) == "a (b), c%."
     assert one(spark, T.norm(F.col("t")), t="  “A”  b’s ") == "\"a\" b's"
-    got = one(spark, T.parse_entities(F.col("t")), t="x [ a b | kind | used for = c = d |  = e ] y [ f ]")
+    got = one(spark, T.parse_entities(F.col("t")), t="x [ a b | kind | used for = c = d |  = e ] y [ 12 ] [ f |  ]")
     assert [(e["text"], e["type"], [(r["pred"], r["obj"]) for r in e["rels"]]) for e in got] == [("a b", "kind", [("used for", "c = d")]), ("f", None, [])]
+    named = T.parse_named(F.col("t"))
+    text = "a [ deep model | method | used for = Chemical; part_of = nothing ] for [ chemical | term ] and [ chemical | other | compare = deep model ]"
+    got = one(spark, named, t=text)
+    assert [(e["text"], e["type"], [tuple(r) for r in e["rels"]]) for e in got] == [("deep model", "method", [("for", "Chemical"), ("part_of", "nothing")]), ("chemical", "term", []), ("chemical", "other", [("compare", "deep model")])]
+    assert [tuple(r) for r in one(spark, T.link_entities(named), t=text)] == [(0, "for", 1, "Chemical"), (0, "part_of", None, "nothing"), (1, "compare", 0, "deep model")]
+    span = align.first_span(F.col("t"), F.lit("B ,"))
+    assert one(spark, span, t=["a", "b", "b", ",", "c"]) is None and tuple(one(spark, align.first_span(F.col("t"), F.lit("B,")), t=["a", "b", "b", ",", "c"])) == (2, 4)
     assert one(spark, T.highlight(F.col("t"), F.lit(1), F.lit(2), F.lit(0), F.lit(4)), t=["a", "b", ",", "c"]) == "a <m> b </m>, c"
     assert one(spark, T.bracket_mentions(F.col("t")), t="[ a | k ] [ b ]") == ["a", "b"]
 
@@ -103,17 +111,17 @@ def test_signature_cards(spark, tmp_path):
 
     spark.createDataFrame([(1, "s", "Big net reads Text. big net again"), (2, "s", "one")], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r["doc"], r["ord"]): yaml.safe_load(r["signature"]) for r in QUERIES["signature_cards"](spark, str(tmp_path)).collect()}
-    assert len(got) == 6
+    assert len(got) == 16
     assert got[1, 0] == {
-        "mention": "Big net",
+        "mention": "net reads",
         "type": "method",
-        "outgoing": [{"pred": "part of", "obj": "Text"}, {"pred": "used for", "obj": "reads"}],
-        "incoming": [],
-        "co_mentions": [{"text": "Text"}, {"text": "reads", "type": "task"}],
-        "context": "<m> Big net </m> reads Text. big net again",
+        "outgoing": [{"pred": "part of", "obj": "Text"}, {"pred": "used for", "obj": "."}],
+        "incoming": [{"pred": "used for", "subject": "x x"}],
+        "co_mentions": [{"text": "net", "type": "task"}, *[{"text": "x", "type": "task"}] * 3, {"text": "x x"}, {"text": "x x"}],
+        "context": "Big <m> net reads </m> Text. big net again",
     }
-    assert got[1, 2]["incoming"] == [{"pred": "part of", "subject": "Big net", "subject_type": "method"}] and got[1, 2]["context"] == "Big net reads <m> Text </m>. big net again"
-    assert got[2, 1]["context"] == "one"
+    assert got[1, 1]["context"] == "Big <m> net </m> reads Text. big net again" and got[1, 1]["incoming"] == []
+    assert got[1, 3]["outgoing"] == [{"pred": "compare", "obj": "net = x"}] and got[2, 1]["context"] == "one"
 
 
 def test_decoding_against_a_stack(spark):
@@ -141,7 +149,142 @@ def test_conll_files(spark, tmp_path):
     cells = spark.createDataFrame([("d", 0, "w", "(1)"), ("d", 1, "v", "-")], "doc string, pos int, word string, cell string")
     conll.write(cells, str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert text.startswith("#begin document d\n0\td\tw\t(1)\n1\td\tv\t-\n#end document\n")
+    assert text == "#begin document d\n0\td\t0\tw\t(1)\n1\td\t1\tv\t-\n#end document\n"
+    many = spark.createDataFrame([(f"d{i % 7}", i // 7, i % 3, i, "w", f"({i % 5})") for i in range(700)], "doc string, pos int, doc_id int, token_id int, word string, cell string")
+    conll.write(many.repartition(5), str(tmp_path / "many"))
+    back = conll.read(spark, str(tmp_path / "many"))
+    assert sorted((r["doc"], r["pos"], *r["columns"][1:3], r["cell"]) for r in back.collect()) == sorted((f"d{i % 7}", i // 7, str(i % 3), str(i), f"({i % 5})") for i in range(700))
+
+
+def test_parse_column(spark, tmp_path):
+    line = "d\t0\t{}\tw\tNN\t{}\t-\t(1)\n"
+    (tmp_path / "x.conll").write_text("#begin document a\n" + line.format(0, "(NP*)") + "#end document\n#begin document b\n" + line.format(0, "-") + line.format(1, "(NP*)") + "#end document\n#begin document c\nc\t(1)\n#end document\n")
+    assert {tuple(r) for r in conll.has_parse(conll.read(spark, str(tmp_path))).collect()} == {("a", True), ("b", False), ("c", False)}
+
+
+def cell_by_hand(cell):
+    """Marks of a cell, one character at a time."""
+    out, digits, opened = [], "", False
+    for c in [*cell, "|"]:
+        if c.isdigit():
+            digits += c
+        elif c == "(":
+            digits, opened = "", True
+        elif c in ")|":
+            if digits and (opened or c == ")"):
+                out.append((int(digits), opened, c == ")"))
+            digits, opened = "", False
+    return out
+
+
+def test_odd_cells(spark):
+    r = random.Random(3)
+    cells = ["(1)(2)", "(1(2)", "1)(2", "1)2)", "()(3", "(1|2)", "*", "-", "", "((4)", "(5x)|6)"]
+    cells += ["".join(r.choice("()|12x") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    cells = [c for c in cells if "(|" not in c]  # an open mark without a number is an error
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", conll.cell_marks(F.col("c")).alias("m")).collect()
+    assert {r["i"]: [tuple(m) for m in r["m"]] for r in got} == {i: cell_by_hand(c) for i, c in enumerate(cells)}
+
+
+def test_markables(spark, tmp_path):
+    (tmp_path / "a.CONLL").write_text(
+        "TOKEN  MARKABLES MIN TAG\n"
+        "w0\tB-markable_1=set_7\tnon_referring\n"  # three columns: the last one is the tag
+        "w1 B-markable_2=set_8@B-markable_3=set_7  word_2..word_3@  referring@non_referring\n"
+        "w2 I-markable_2=set_9@I-markable_3=set_7  word_1@word_1  non_referring@referring\n"
+        "w3\n"
+        "w4 B-markable_4=set_7 word_5 x referring\n"
+    )
+    marks = markables.markables(markables.read_lines(spark, str(tmp_path)))
+    got = {tuple(r)[1:] for r in marks.collect()}
+    assert got == {(1, "7", 0, 0, 0, 0, False), (2, "8", 1, 2, 1, 2, True), (3, "7", 1, 2, 1, 2, False), (4, "7", 4, 4, 4, 4, False)}
+    refer, other = markables.split_referring(marks)
+    assert {r["markable"] for r in refer.collect()} == {2} and {r["markable"] for r in other.collect()} == {1}
+
+
+def test_nested_mentions_count_each_removal(spark):
+    rows = [("three", "c", 1, 0, 9), ("three", "c", 2, 1, 8), ("three", "c", 3, 2, 7), ("two", "c", 1, 0, 9), ("two", "c", 2, 1, 8), ("own", "c", 1, 0, 1), ("own", "c", 2, 3, 4)]
+    m = spark.createDataFrame(rows, "doc string, cluster string, id int, start int, end int")
+    kept = lambda keep: {(r["doc"], r["id"]) for r in align.drop_nested(m, keep).collect()}
+    # three inside each other: three removals for three mentions, so the rule for a lone mention does not hold
+    assert kept(True) == {("three", 1), ("two", 1), ("two", 2), ("own", 1), ("own", 2)} and kept(False) == {("three", 1), ("own", 1), ("own", 2)}
+
+
+def test_aligned_mentions(spark):
+    schema = "doc string, start int, end int, cluster int"
+    key = spark.createDataFrame([("a", 0, 0, 1), ("a", 2, 3, 1), ("a", 2, 3, 5), ("b", 0, 1, 2)], schema)
+    sys = spark.createDataFrame([("a", 0, 0, 9), ("a", 5, 5, 9), ("c", 0, 0, 1)], schema)
+    docs = lambda *names: spark.createDataFrame([(n,) for n in names], "doc string")
+    got = {(r["doc"], tuple(r["mention"]), r["key"], r["sys"]) for r in metrics.align_mentions(key, sys, docs("a", "b"), docs("a", "c"), "skip").collect()}
+    assert got == {("a", (0, 0), 1, 9), ("a", (2, 3), 5, None), ("a", (5, 5), None, 9)}
+    with pytest.raises(Exception, match="no document b"):
+        metrics.align_mentions(key, sys, docs("a", "b"), docs("a")).collect()
+    seen = metrics.mask_unseen(key, sys, keep_singletons=False)
+    assert seen.count() == 0 and metrics.mask_unseen(key, sys).count() == 1
+
+
+def test_prediction_checks(spark):
+    topics = spark.createDataFrame([(1, [(0, 1, 2), (0, 4, 5)]), (2, [(0, 1, 2)])], "topic int, mentions array<struct<para:int,start:int,end:int>>")
+    good = spark.createDataFrame([(1, [7, 8])], "topic int, clusters array<int>")
+    assert [tuple(m) for m in cluster.system_topics(topics, good).first()["mentions"]] == [(0, 1, 2, 7), (0, 4, 5, 8)]
+    assert cluster.system_topics(topics, good, skipped=True).first()["topic"] == 2
+    with pytest.raises(Exception, match="topic 2: 3 clusters for 1 mentions"):
+        cluster.system_topics(topics, spark.createDataFrame([(2, [1, 2, 3])], "topic int, clusters array<int>")).collect()
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    assert align.require(rows, rows.select("k", F.lit(1).alias("n")), ["k"], "row").count() == 2
+    with pytest.raises(Exception, match="no row for k 2"):
+        align.require(rows, rows.where("k = 1").select("k"), ["k"], "row").collect()
+
+
+def test_records_and_registry(spark, tmp_path):
+    record = spark.createDataFrame([(1.5, "validation", 10, None)], "temperature double, split string, num_pairs long, scores_path string")
+    jsonl.write_record(record, str(tmp_path / "t"))
+    assert jsonl.read_record(spark, str(tmp_path / "t")) == {"temperature": 1.5, "split": "validation", "num_pairs": 10, "scores_path": None}
+    jsonl.write(record, str(tmp_path / "all" / "validation.jsonl"))
+    assert jsonl.scan_split(spark, str(tmp_path / "all"), "dev", record.schema).count() == 1
+    jsonl.write_csv(record, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["split"] == "validation"
+    with pytest.raises(ValueError, match="no metric"):
+        metrics.chosen(("muc", "blanc"))
+    assert metrics.chosen("all") == tuple(metrics.REGISTRY)
+    with pytest.raises(ValueError, match="no pairs"):
+        diagnose.temperature_record(spark.createDataFrame([], "logit double, label int"), "validation", "x")
+
+
+def test_dendrograms_against_plain_search(spark):
+    r = np.random.default_rng(1)
+    for n in (1, 2, 3, 8, 25):
+        for linkage in ("average", "complete"):
+            d = r.integers(0, 16, (n, n)) / 16 if linkage == "complete" else r.random((n, n))
+            d = np.maximum(d, d.T)
+            members = {i: [i] for i in range(n)}
+            want = []
+            fold = np.mean if linkage == "average" else np.max
+            while len(members) > 1:
+                dist, a, b = min((round(float(fold(d[np.ix_(members[a], members[b])])), 9), a, b) for a in members for b in members if a < b)
+                want.append((dist, a, b))
+                members[a] += members.pop(b)
+            assert [(round(x, 9), a, b) for x, a, b in cluster.merges(d, linkage)] == want, (n, linkage)
+
+
+def test_labels_of_all_thresholds(spark):
+    nodes = spark.createDataFrame([(t, i) for t in (1, 2) for i in range(4)], "topic int, idx long")
+    scored = spark.createDataFrame([(t, i, j, (i + 2 * j + t) % 7 / 7) for t in (1, 2) for j in range(4) for i in range(j)], "topic int, i long, j long, p double")
+    for method in ("cc", "agglomerative"):
+        got = {tuple(r[c] for c in ("threshold", "topic", "idx", "label")) for r in cluster.labels_at(nodes, scored, [0.3, 0.6], method).collect()}
+        assert got == {(t, r["topic"], r["idx"], r["label"]) for t in (0.3, 0.6) for r in cluster.cluster(nodes, scored, method, t).collect()}
+    rows = spark.createDataFrame([(0.2, 0.5), (0.3, 0.7), (0.4, 0.7)], "threshold double, f1 double")
+    assert cluster.winner(rows, "f1").first()["threshold"] == 0.3 and cluster.winner(rows.limit(0), "f1").count() == 0
+
+
+def test_scorer_of_a_function_and_a_saved_one(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a b c", "a b" if i % 2 else "x y", i % 2) for i in range(150)], "i int, text_a string, text_b string, label int")
+    seen = score.arrow_scorer(lambda a, b: [float(len(x) - len(y)) if len(a) <= 64 else None for x, y in zip(a, b, strict=True)])(rows)
+    assert {r["logit"] for r in seen.collect()} == {2.0}
+    path = str(tmp_path / "model")
+    fitted = score.train_scorer(rows, path=path)(rows)
+    again = score.load_scorer(path)(rows)
+    assert score.validation_f1(fitted) == 1.0 and sorted(r["logit"] for r in fitted.collect()) == sorted(r["logit"] for r in again.collect())
 
 
 def test_last_line_wins(spark, tmp_path):
