@@ -30,6 +30,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of a batch that goes to Python workers; whole texts count by the thousand, so batches are kept short.
+BATCH = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session sends BATCH rows at a time to Python workers, or fewer if it is set so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)
+
+
 class Workspace:
     """Intermediate tables of one operator call; they are deleted as soon as they are dropped or the call ends.
 
@@ -37,6 +48,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession) -> None:
+        short_batches(spark)
         self.spark = spark
         self.paths: dict[int, tuple[DataFrame, str]] = {}
 
