@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.llm.text_arrays import _IS_SPACE, _LOWER, Words, chunks, ranges, word_ranges
+from clusterloom.operators.durable import short_batches
 
 CAPACITY = 2048
 END_ID = 1
@@ -32,8 +33,8 @@ END_ID = 1
 CLASSES = 32
 #: Least tokens of a piece of a longer document.
 SHORT = 16
-#: Units that a Python worker keeps the tokens of (about 80 MB).
-TABLE = 400_000
+#: Units that a Python worker keeps the tokens of (about 40 MB).
+TABLE = 200_000
 #: Batches are handed on after so many pieces.
 BATCH = 4_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -261,6 +262,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """
     if capacity < 2 or capacity & (capacity - 1):
         raise ValueError("capacity is a power of two")
+    short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_pack(tokenizer_path, capacity, end_id), SCHEMA)
 
 
