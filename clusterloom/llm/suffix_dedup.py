@@ -9,11 +9,13 @@ A byte goes if a LENGTH-byte string that covers it starts earlier too.  Three ex
    An anchor whose context stands earlier is marked over the whole context.  Contexts that are the
    first of their kind are asked for only if their anchor has several kinds.
 2. Contexts.  The asked contexts are cut from the texts and dealt by anchor again.
-3. Indexes.  A task sorts the suffixes of its contexts, keeps the run-compressed
-   Burrows-Wheeler transform with sampled run ends, and streams every context through it
-   by LF steps.  Runs do not cross the borders of LENGTH-byte classes, and each class knows the
-   earliest of its run samples, so a step shows whether the match of LENGTH bytes at that
-   offset starts earlier.
+3. Indexes.  A task takes the contexts of an anchor in the order of their places, in blocks of INDEX.  It sorts the suffixes
+   of a block and keeps the run-compressed Burrows-Wheeler transform with the text positions at both ends of each run.
+   Within a block every context is walked through the index by LF steps; runs do not cross the borders of LENGTH-byte classes
+   there, and each keeps the least place of its class, so a step shows whether the LENGTH bytes at that
+   offset start earlier.  From one block to later ones matching statistics are streamed: where a step leaves its run, it goes on at
+   the sampled end of the nearest run of that byte, whichever shares more, and a match of LENGTH bytes is a mark.  An index of up to
+   REFERENCE earlier contexts serves all later ones of the anchor, so blocks meet in halves, quarters and so on.
 
 Marks then meet their texts.  Text outside repeated anchors never enters an index, and
 a copy within one map task is marked there, before the shuffle.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.llm.blobs import FLUSH, bucket_count, pack, unpack
 from clusterloom.llm.text_arrays import U, chunks, mix, prefix_hash
-from clusterloom.operators.durable import settle
+from clusterloom.operators.durable import Workspace, settle
 
 LENGTH = 100
 GRAM = 20
@@ -41,8 +43,10 @@ ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("pos"
 ASKED = np.dtype([("doc", "<i8"), ("anchor", "<u8"), ("pos", "<u4")])
 MARK = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 CONTEXT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (WIDTH,))])
-#: Contexts of one index; small ones stay in the processor's cache.
+#: Contexts of one block; the index of a small one stays in the processor's cache.
 INDEX = 300
+#: Most contexts of an index that later contexts are streamed through (about 100 MB).
+REFERENCE = 4096
 MARKS, ANCHORS, ASKS, CONTEXTS, TEXT = 0, 1, 2, 3, 4
 ROWS = "bucket int, kind int, blob binary"
 
@@ -246,36 +250,40 @@ def _cut(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 class RunIndex:
     """Run-compressed BWT of texts of equal width, each closed by an end mark of its own; end marks sort first.
 
-    Rows are suffixes.  A run is a stretch of rows of one preceding byte and one class; a
-    class is the rows whose first LENGTH bytes are equal.  Kept are each run's first row and
-    LF target, the text positions at both its ends, and the least place in its class,
-    where a place orders string starts by document and position.
+    Rows are suffixes.  A run is a stretch of rows of one preceding symbol.  Kept are each run's symbol, first row and LF
+    target, and the text positions at both its ends.  With places, runs end at the borders of classes, too (the rows whose first LENGTH
+    symbols are equal), and each knows the least place in its class; a place orders string starts by document and position.
     """
 
-    def __init__(self, texts: np.ndarray, places: np.ndarray) -> None:
+    def __init__(self, texts: np.ndarray, places: np.ndarray | None = None) -> None:
         n, width = texts.shape
         self.n, self.width = n, width + 1
         flat = np.empty((n, width + 1), np.int64)
         flat[:, :width] = texts + n
         flat[:, width] = np.arange(n)
-        flat = flat.reshape(-1)
+        self.flat = flat = flat.reshape(-1)
         rank = self._dense(self._pair(flat, flat, 1), self._pair(flat, flat, 1), 2)
         size = 4
         while size < 64:
             rank = self._dense(rank, rank, size)
             size *= 2
-        cls = self._dense(rank, rank, LENGTH - 64)
         order = np.argsort(self._pair(self._dense(rank, rank, 64), rank, 128))  # 192 symbols hold every text with its end mark
         before = np.roll(flat, 1)[order]
-        cls = cls[order]
-        edge = np.r_[True, cls[1:] != cls[:-1]]
-        self.start = np.flatnonzero(edge | np.r_[True, before[1:] != before[:-1]])
-        lf = np.empty(len(order), np.int64)  # rows of a preceding byte keep their order among the suffixes that begin with it
+        new = np.r_[True, before[1:] != before[:-1]]
+        if places is not None:
+            cls = self._dense(rank, rank, LENGTH - 64)[order]
+            edge = np.r_[True, cls[1:] != cls[:-1]]
+            new |= edge
+            of_class = np.minimum.reduceat(places.reshape(-1)[order], np.flatnonzero(edge))
+            self.least = of_class[(np.cumsum(edge) - 1)[new]]
+        self.start = np.flatnonzero(new)
+        self.symbol = before[self.start]
+        lf = np.empty(len(order), np.int64)  # rows of a preceding symbol keep their order among the suffixes that begin with it
         lf[np.argsort(before, kind="stable")] = np.arange(len(order))
         self.target = lf[self.start]
-        self.ends = np.stack([order[self.start], order[np.r_[self.start[1:], len(order)] - 1]], 1)
-        of_class = np.minimum.reduceat(places.reshape(-1)[order], np.flatnonzero(edge))
-        self.least = of_class[(np.cumsum(edge) - 1)[self.start]]
+        self.last = np.r_[self.start[1:], len(order)] - 1
+        self.ends = np.stack([order[self.start], order[self.last]], 1)
+        self.by_symbol = np.sort(self.symbol * len(self.start) + np.arange(len(self.start)))
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
@@ -301,6 +309,43 @@ class RunIndex:
             row = self.target[run] + row - self.start[run]
             yield offset, self.least[np.searchsorted(self.start, row, side="right") - 1]
 
+    def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Symbols that the texts at positions a and b share, at most `most` of them."""
+        step = np.arange(int(most.max(initial=0)) + 1)
+        size = len(self.flat)
+        same = self.flat[(a[:, None] + step) % size] == self.flat[(b[:, None] + step) % size]
+        same[:, -1] = False
+        return np.minimum(most, same.argmin(1))
+
+    def statistics(self, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(offset, length, position): for each query the longest match of what follows the offset, and where the texts hold it."""
+        runs, size = len(self.start), len(self.flat)
+        row, length = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+        at = np.full(len(queries), self.ends[0, 0])
+        for offset in range(queries.shape[1] - 1, -1, -1):
+            c = queries[:, offset] + self.n
+            run = np.searchsorted(self.start, row, side="right") - 1
+            away = np.flatnonzero(self.symbol[run] != c)
+            lost = np.zeros(len(queries), bool)
+            if len(away):
+                k = np.searchsorted(self.by_symbol, c[away] * runs + run[away])
+                sides = []
+                for j, end in ((k - 1, 1), (k, 0)):
+                    key = self.by_symbol[np.clip(j, 0, runs - 1)]
+                    there = (j >= 0) & (j < runs) & (key // runs == c[away])
+                    to = np.where(there, key % runs, 0)
+                    position = self.ends[to, end]
+                    sides.append((np.where(there, self._shared(at[away], position, length[away]), -1), to, position, self.last[to] if end else self.start[to]))
+                (above, *up), (below, *down) = sides
+                first = above >= below
+                run[away], at[away], row[away] = (np.where(first, u, d) for u, d in zip(up, down, strict=True))
+                length[away] = np.maximum(above, below)
+                lost = length < 0
+            row = np.where(lost, 0, self.target[run] + row - self.start[run])
+            at = np.where(lost, self.ends[0, 0], (at - 1) % size)
+            length += 1
+            yield offset, length, at
+
 
 def _masked(contexts: np.ndarray) -> np.ndarray:
     """Bytes of contexts, and 256 outside their texts."""
@@ -345,24 +390,45 @@ def index_marks(contexts: np.ndarray) -> np.ndarray:
     return _hits(contexts, hits())
 
 
-def hash_marks(contexts: np.ndarray) -> np.ndarray:
-    """The same for one anchor with too many contexts for an index, offset by offset on string hashes."""
-    contexts = contexts[np.argsort(_places(contexts), kind="stable")]
-    place = _places(contexts)
-    total, down = prefix_hash(contexts["bytes"].reshape(-1))
-    row = np.arange(len(contexts)) * WIDTH
+def later_marks(earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Marks on the later contexts of an anchor: their LENGTH-byte strings through it that its earlier contexts hold.
+
+    Contexts of one text may overlap, so that a match is the string itself or starts behind it.  A string stands earlier only if an
+    earlier context has it at the same offset; that is looked up for such matches.
+    """
+    both = _places(np.concatenate([earlier, later]))
+    before, place = both[: len(earlier)], both[len(earlier) :]
+    index = RunIndex(_masked(earlier))
 
     def hits() -> Iterator[tuple[int, np.ndarray]]:
-        for back in range(REACH + 1):
-            at = np.flatnonzero(_valid(contexts, back))
-            a = row[at] + REACH - back
-            value = (total[a + LENGTH] - total[a]) * down[a]
-            _, head, inverse = np.unique(value, return_index=True, return_inverse=True)
-            hit = np.zeros(len(contexts), bool)
-            hit[at] = place[at[head]][inverse] < place[at]
-            yield back, hit
+        for offset, length, at in index.statistics(_masked(later)):
+            if offset > REACH:
+                continue
+            hit = (length >= LENGTH) & _valid(later, REACH - offset)
+            found = np.flatnonzero(hit & (before[at // index.width] + at % index.width >= place + offset))
+            for i in found:
+                same = (earlier["bytes"][:, offset : offset + LENGTH] == later["bytes"][i, offset : offset + LENGTH]).all(1)
+                hit[i] = (same & _valid(earlier, REACH - offset) & (before < place[i])).any()
+            yield REACH - offset, hit
 
-    return _hits(contexts, hits())
+    return _hits(later, hits())
+
+
+def anchor_marks(contexts: np.ndarray) -> list[np.ndarray]:
+    """Marks on one anchor's contexts, any number of them: blocks by themselves, then earlier halves against later ones."""
+    contexts = contexts[np.argsort(_places(contexts), kind="stable")]
+
+    def within(lo: int, hi: int) -> Iterator[np.ndarray]:
+        if hi - lo <= INDEX:
+            yield index_marks(contexts[lo:hi])
+            return
+        middle = lo + INDEX * -(-(hi - lo) // (2 * INDEX))
+        yield from within(lo, middle)
+        yield from within(middle, hi)
+        for part in range(lo, middle, REFERENCE):
+            yield later_marks(contexts[part : min(part + REFERENCE, middle)], contexts[middle:hi])
+
+    return list(within(0, len(contexts)))
 
 
 def _index(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -376,7 +442,7 @@ def _index(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         while lo < len(cut) - 1:
             hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + INDEX, side="right")) - 1)
             part = contexts[order[cut[lo] : cut[hi]]]
-            found.append(index_marks(part) if len(part) <= INDEX else hash_marks(part))
+            found += [index_marks(part)] if len(part) <= INDEX else anchor_marks(part)
             lo = hi
         if found:
             yield from _send_by_doc(MARKS, merged(np.concatenate(found)), buckets)
@@ -416,20 +482,21 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for each row: removed [start, end) byte spans and the bytes that stay.
 
-    Documents are ordered by doc_id.  Null texts are empty.  Rows with a null id keep
+    Documents are ordered by doc_id.  An empty table gives no rows.  Null texts are empty.  Rows with a null id keep
     all their bytes and remove none.  Rows that share an id are one document to each other: the same
     position in both is one start, so equal rows stay alike.  Other columns are ignored.
     """
     spark = docs.sparkSession
     buckets = bucket_count(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = settle(rows.where("doc_id is not null").mapInArrow(_find(buckets), ROWS).repartition("bucket").mapInArrow(_ask(buckets), ROWS))
     slot = F.expr(f"cast(pmod(pmod(doc_id, 1000003) * 7919 + pmod(cast((doc_id - pmod(doc_id, 1000003)) div 1000003 as long), 1000003), {buckets}) as int)")
     texts = rows.select(F.coalesce(slot, F.lit(0)).alias("bucket"), F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc_id", F.col("text").cast("binary").alias("text"))
     wide = lambda df: df.withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("binary")})
     meet = lambda df: wide(df).unionByName(texts).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    contexts = meet(found.where(f"kind = {ASKS}")).mapInArrow(_cut(buckets), ROWS)
-    marks = found.where(f"kind = {MARKS}").unionByName(contexts.repartition("bucket").mapInArrow(_index(buckets), ROWS))
+    with Workspace(spark) as work:
+        found = work.table(rows.where("doc_id is not null").mapInArrow(_find(buckets), ROWS).repartition("bucket").mapInArrow(_ask(buckets), ROWS))
+        contexts = work.table(meet(found.where(f"kind = {ASKS}")).mapInArrow(_cut(buckets), ROWS))
+        marks = settle(found.where(f"kind = {MARKS}").unionByName(contexts.repartition("bucket").mapInArrow(_index(buckets), ROWS)))
     return meet(marks).mapInArrow(_finish, "doc_id long, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
