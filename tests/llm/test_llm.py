@@ -180,7 +180,7 @@ def brute_repeats(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("index", [300, 20])
+@pytest.mark.parametrize("index", [300, 7])
 def test_suffix_dedup(spark, index, monkeypatch):
     r = random.Random(9)
     parts = ["".join(r.choice("ab cdé\0") for _ in range(r.randint(60, 400))) for _ in range(10)]
@@ -194,19 +194,58 @@ def test_suffix_dedup(spark, index, monkeypatch):
     assert len(got) == len(rows) and all(tuple(x)[1:] == want[x["doc_id"]] for x in got)
 
 
-def test_suffix_index_equals_hashes():
+def brute_marks(contexts):
+    """Extents of the strings through the anchor that stand earlier, each context by itself."""
+    place = [(int(c["doc"]), int(c["pos"])) for c in contexts]
+    out = set()
+    for j, c in enumerate(contexts):
+        backs = [
+            back
+            for back in range(suffix_dedup.REACH + 1)
+            if c["left"] >= back and c["right"] >= suffix_dedup.REACH - back
+            and any(
+                place[i] < place[j] and e["anchor"] == c["anchor"] and e["left"] >= back and e["right"] >= suffix_dedup.REACH - back
+                and (e["bytes"][80 - back : 180 - back] == c["bytes"][80 - back : 180 - back]).all()
+                for i, e in enumerate(contexts)
+            )
+        ]
+        if backs:
+            out.add((int(c["doc"]), int(c["pos"]) - max(backs), int(c["pos"]) - min(backs) + 100))
+    return out
+
+
+def test_suffix_indexes_equal_brute_force(monkeypatch):
+    """Within a block, and across blocks by matching statistics and run ends; contexts of one text overlap."""
     r = np.random.default_rng(2)
-    text = r.integers(97, 100, 3000).astype(np.uint8)
-    text[1500:] = np.tile(text[:300], 5)
-    c = np.zeros(60, suffix_dedup.CONTEXT)
-    for i in range(60):
-        p = int(r.integers(100, 2800)) if i % 2 else 1500 + 300 * (i % 4)
-        c[i] = (1, i // 3, p, 80, 80, text[p - 80 : p + 100])
-    as_set = lambda m: {tuple(x) for x in m.tolist()}
-    c["anchor"] = [hash(bytes(x)) & 0xFFFF for x in c["bytes"][:, 80:100]]
-    for a in np.unique(c["anchor"]):
-        own = c[c["anchor"] == a]
-        assert as_set(suffix_dedup.index_marks(own)) >= as_set(suffix_dedup.hash_marks(own))
+    as_set = lambda parts: {tuple(map(int, x)) for m in parts for x in m}
+    for letters in (3, 1, 20):
+        text = r.integers(97, 97 + letters, 4000).astype(np.uint8)
+        for k in range(8):
+            text[400 * k + 100 : 400 * k + 260] = text[:160]
+            if k % 2:
+                text[400 * k + 150 + k] = 120
+            if k % 3 == 0:
+                text[400 * k + 220] = 121
+        docs = [text, np.tile(text[120:133], 80), text[380:700], np.concatenate([text[100:260], text[100:200]])]
+        gram = bytes(text[160:180]) if letters > 1 else bytes(text[:20])
+        rows = []
+        for d, t in enumerate(docs):
+            for pos in range(len(t) - 20):
+                if bytes(t[pos : pos + 20]) == gram and len(rows) < 90:
+                    left, right = min(pos, 80), min(len(t) - pos - 20, 80)
+                    body = np.zeros(180, np.uint8)
+                    body[80 - left : 100 + right] = t[pos - left : pos + 20 + right]
+                    rows.append((7, d, pos, left, right, body))
+        c = np.array(rows, suffix_dedup.CONTEXT)
+        want = brute_marks(c)
+        assert as_set([suffix_dedup.index_marks(c)]) == want
+        for index, reference in ((300, 4096), (5, 4096), (3, 6), (1, 1)):
+            monkeypatch.setattr(suffix_dedup, "INDEX", index)
+            monkeypatch.setattr(suffix_dedup, "REFERENCE", reference)
+            got = suffix_dedup.merged(np.concatenate(suffix_dedup.anchor_marks(c[r.permutation(len(c))])))
+            every = np.array(sorted(want), suffix_dedup.MARK) if want else np.zeros(0, suffix_dedup.MARK)
+            assert as_set([got]) == as_set([suffix_dedup.merged(every)]), (letters, index)
+            monkeypatch.undo()
 
 
 def test_suffix_dedup_edges(spark):
