@@ -97,10 +97,6 @@ def prepare(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn(_P + "windows", windows(_c("words")))
 
 
-def _drop(df: DataFrame) -> DataFrame:
-    return df.drop(*(c for c in df.columns if c.startswith(_P)))
-
-
 def order_rules(prepared: DataFrame, rules: list[Rule], sample: float = SAMPLE, seed: int = 7) -> list[Rule]:
     """Rules by share of rejects per unit of work on a sample; the given order on an empty one."""
     few = prepared.sample(fraction=sample, seed=seed)
@@ -128,23 +124,23 @@ def filter_documents(docs: DataFrame, rules: list[Rule] | None = None, text_col:
     """The rows of docs that no rule rejects, columns unchanged.
 
     A null text is an empty one (and so has too few words).  Repeated rows, ties and null
-    ids are judged row by row; an empty table gives an empty one.  Columns of docs that
-    begin with _quality_ are not allowed.
+    ids are judged row by row; an empty table gives an empty one.  Columns stay whatever their names.
     """
-    _check(docs)
-    prepared = prepare(docs, text_col)
+    row = _P + "row"
+    prepared = prepare(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row)), f"{row}.{text_col}")
     ordered = order_rules(prepared, default_rules() if rules is None else rules)
     # the partition id is not deterministic to the optimizer, which thus cannot push the filter below the
     # prepared columns and compute them again for every use
     judged = prepared.withColumn(_P + "verdict", F.when(F.spark_partition_id() >= 0, verdict(ordered)))
-    return _drop(judged.where(_c("verdict").isNull()))
+    return judged.where(_c("verdict").isNull()).select(row + ".*")
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept) for each row.
 
     base_failed: fewer than 50 words, or over half of them in repeated windows.  kept:
-    not base_failed, and no rule of the cascade rejects.  A null text has no words.
+    not base_failed, and no rule of the cascade rejects.  A null text has no words.  Repeated rows and null ids are judged row by
+    row; an empty table gives no rows.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prepared = prepare(rows)
@@ -165,11 +161,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _check(docs: DataFrame) -> None:
-    if any(c.startswith(_P) for c in docs.columns):
-        raise ValueError(f"columns that begin with {_P} are taken")
-
-
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
