@@ -273,6 +273,13 @@ def test_quality_rules(spark, corpus):
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and quality_rules.filter_documents(make(spark, [])).count() == 0
 
 
+def test_quality_rules_keep_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, text, 5, "a"), (None, text, 6, None), (2, None, 7, "b")], "doc_id long, text string, _quality_words long, _quality_row string")
+    kept = quality_rules.filter_documents(rows)
+    assert kept.columns == rows.columns and sorted(r["_quality_words"] for r in kept.collect()) == [5, 6]
+
+
 def test_rule_order_changes_no_verdict(spark, corpus):
     p = quality_rules.prepare(make(spark, corpus))
     rules = quality_rules.default_rules()
