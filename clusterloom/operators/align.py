@@ -15,13 +15,19 @@ from clusterloom.functions.text import detok, norm
 
 def first_span(tokens: Column, target: Column, max_tokens: int = 20) -> Column:
     """struct<start, end> (end exclusive) of the first, then shortest, window equal to the normalised target; null if none.  Row by row, nothing is shuffled."""
-    own = norm(target)
     token = lambda t: F.translate(F.lower(t), "‘’“”", "''\"\"")
-    begins = F.filter(F.transform(tokens, lambda t, i: F.when(F.startswith(own, token(t)), i)), lambda i: i.isNotNull())
-    ends = lambda i: F.sequence(i + 1, F.least(i + max_tokens, F.size(tokens)))
-    equal = lambda i, e: norm(detok(F.slice(tokens, i + 1, e - i))) == own
-    found = F.transform(begins, lambda i: F.struct(i.alias("start"), F.get(F.filter(ends(i), lambda e: equal(i, e)), F.lit(0)).alias("end")))
-    return F.when(own != "", F.get(F.filter(found, lambda x: x["end"].isNotNull()), F.lit(0)))
+    size = lambda t: F.char_length(F.replace(t, F.lit(" "), F.lit("")))
+
+    def at(own: Column) -> Column:
+        begins = F.filter(F.transform(tokens, lambda t, i: F.when(F.startswith(own, token(t)), i)), lambda i: i.isNotNull())
+        part = lambda i, e: F.slice(tokens, i + 1, e - i)
+        # only windows with as many characters, spaces aside, are normalised
+        equal = lambda i, e: F.when(F.char_length(F.lower(F.array_join(part(i, e), ""))) == size(own), norm(detok(part(i, e))) == own)
+        end = lambda i: F.get(F.filter(F.sequence(i + 1, F.least(i + max_tokens, F.size(tokens))), lambda e: equal(i, e)), F.lit(0))
+        found = F.transform(begins, lambda i: F.struct(i.alias("start"), end(i).alias("end")))
+        return F.when(own != "", F.get(F.filter(found, lambda x: x["end"].isNotNull()), F.lit(0)))
+
+    return F.get(F.transform(F.array(norm(target)), at), F.lit(0))
 
 
 def require(rows: DataFrame, other: DataFrame, keys: list[str], what: str) -> DataFrame:

@@ -387,7 +387,7 @@ def parse_named(s, d):
 @query
 def entity_links(s, d):
     """Relations with the places of the first entities named so; obj is null where no entity is."""
-    e = _extracts(s, d).select("doc", "sent", F.inline(T.link_entities(T.parse_named(F.col("output")))))
+    e = _extracts(s, d).withColumn("es", T.parse_named(F.col("output"))).select("doc", "sent", F.inline(T.link_entities(F.col("es"))))
     return _round(e.select("doc", "sent", "subj", "pred", "obj", "obj_text"))
 
 
@@ -418,9 +418,9 @@ def co_mentions(s, d):
 def _cards(s: SparkSession, d: str) -> DataFrame:
     """doc, sent, ord, text, type, outgoing, incoming, near, context of each entity; made row by row, nothing is shuffled after the sentences."""
     x = _extracts(s, d).withColumn("es", T.parse_entities(F.col("output")))
-    e = x.select("doc", "sent", "tokens", "es", F.posexplode("es").alias("ord", "e")).withColumns({"text": F.col("e.text"), "type": F.col("e.type")})
-    names = lambda r: T.norm(r["obj"]) == T.norm(F.col("text"))
-    incoming = F.flatten(F.transform("es", lambda o: F.transform(F.filter(o["rels"], names), lambda r: F.struct(r["pred"].alias("pred"), o["text"].alias("subject"), o["type"].alias("subject_type")))))
+    x = x.withColumn("rs", F.flatten(F.transform("es", lambda o: F.transform(o["rels"], lambda r: F.struct(T.norm(r["obj"]).alias("name"), r["pred"].alias("pred"), o["text"].alias("subject"), o["type"].alias("subject_type"))))))
+    e = x.select("doc", "sent", "tokens", "es", "rs", F.posexplode("es").alias("ord", "e")).withColumns({"text": F.col("e.text"), "type": F.col("e.type"), "name": T.norm(F.col("e.text"))})
+    incoming = F.transform(F.filter("rs", lambda r: r["name"] == F.col("name")), lambda r: F.struct(r["pred"].alias("pred"), r["subject"].alias("subject"), r["subject_type"].alias("subject_type")))
     first = e.withColumns({"at": align.first_span(F.col("tokens"), F.col("text")), "incoming": incoming, "near": _near(F.col("es"), F.col("ord"))})
     context = F.when(F.col("at").isNull(), T.detok(F.col("tokens"))).otherwise(T.highlight(F.col("tokens"), F.col("at.start"), F.col("at.end"), F.lit(0), F.size("tokens")))
     return first.select("doc", "sent", "ord", "text", "type", F.col("e.rels").alias("outgoing"), "incoming", "near", context.alias("context"))
