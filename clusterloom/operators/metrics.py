@@ -220,7 +220,7 @@ def betas(alignment: DataFrame, metric: str, values: tuple[float, ...]) -> DataF
 def report(scores: DataFrame) -> DataFrame:
     """line: the scores as a console report shows them, in hundredths, ordered by metric name."""
     pct = lambda c: F.format_string("%.2f", F.round(100 * F.col(c), 2))
-    return scores.orderBy("metric").select(F.concat(F.rpad("metric", 10, " "), F.lit("Recall: "), pct("recall"), F.lit(" Precision: "), pct("precision"), F.lit(" F1: "), pct("f1")).alias("line"))
+    return scores.orderBy("metric").select(F.concat(F.rpad("metric", 10, " "), F.lit(" Recall: "), pct("recall"), F.lit("  Precision: "), pct("precision"), F.lit("  F1: "), pct("f1")).alias("line"))
 
 
 def conll(alignment: DataFrame) -> DataFrame:

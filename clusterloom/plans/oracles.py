@@ -263,7 +263,7 @@ k AS (SELECT doc, pos, regexp_extract_all(regexp_replace(cell, '[^0-9()|]', '',
 u AS (SELECT doc, pos, list_filter(ms, lambda x: x LIKE '(%' OR x LIKE '%)') AS ms FROM k)
 SELECT doc, pos, i AS k, CAST(regexp_extract(ms[i + 1], '[0-9]+') AS BIGINT) AS cluster, ms[i + 1] LIKE '(%' AS opens, ms[i + 1] LIKE '%)' AS closes FROM (SELECT *, unnest(range(0, len(ms))) AS i FROM u)"""
 ORACLES["file_scores"] = ORACLES["coref_scores"]
-ORACLES["score_report"] = " UNION ALL ".join(f"SELECT rpad('{n}', 10, ' ') || printf('Recall: %.2f Precision: %.2f F1: %.2f', 100 * recall, 100 * precision, 100 * f1) AS line FROM ({_prf(*m)})" for n, m in (("muc", MUC), ("b3", B3)))
+ORACLES["score_report"] = " UNION ALL ".join(f"SELECT rpad('{n}', 10, ' ') || printf(' Recall: %.2f  Precision: %.2f  F1: %.2f', 100 * recall, 100 * precision, 100 * f1) AS line FROM ({_prf(*m)})" for n, m in (("muc", MUC), ("b3", B3)))
 ORACLES["unseen_mask"] = f"WITH {M}, u AS (SELECT *, count(*) FILTER (WHERE in_sys) OVER (PARTITION BY topic, gold) AS c, count(*) OVER (PARTITION BY topic, gold) AS n FROM m) SELECT topic AS doc, gold AS cluster, idx AS start, idx AS \"end\" FROM u WHERE in_sys AND (c > 1 OR c = n)"
 ORACLES["common_topics"] = f"WITH {M} SELECT topic FROM m WHERE in_key INTERSECT SELECT topic FROM m WHERE in_sys"
 ORACLES["topic_density"] = f"""WITH {_STATS.replace('SELECT topic, gold, count(*) AS size FROM m', 'SELECT topic, gold, count(*) AS size FROM m WHERE in_key')}, {D}, y AS (SELECT topic, count(*) AS n_docs, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens FROM d GROUP BY 1)

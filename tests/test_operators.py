@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.functions import text as T
 from clusterloom.operators import align, cluster, diagnose, graph, hierarchy, metrics, pairs, score
+from clusterloom.plans import commands
 from clusterloom.sources import conll, jsonl, markables
 from clusterloom.streaming import ingest
 
@@ -223,6 +224,30 @@ def test_aligned_mentions(spark):
     assert seen.count() == 0 and metrics.mask_unseen(key, sys).count() == 1
 
 
+def test_commands(spark, tmp_path):
+    def put(name, cells):
+        (tmp_path / name).write_text("#begin document (d)\n" + "".join(f"d\t0\t{i}\tw\t{c}\n" for i, c in enumerate(cells)) + "#end document\n")
+        return str(tmp_path / name)
+
+    key, sys = put("key", ["(1)", "(2)", "(2)", "(3", "(3)", "3)", "(3)"]), put("sys", ["(1)", "-", "-", "(3)", "(3)", "-", "-"])
+    rows = {r["metric"]: tuple(round(r[c], 6) for c in ("recall", "precision")) for r in commands.score_files(spark, key, sys).collect()}
+    assert set(rows) == set(metrics.REGISTRY) and rows["mention"] == (round(2 / 6, 6), round(2 / 3, 6))
+    no_singletons = commands.score_files(spark, key, sys, **commands.score_options(["bcub", "remove_singletons", "muc", "x"]))
+    assert {r["metric"] for r in no_singletons.collect()} == {"muc", "b3"}
+    assert commands.score_options([]) == {"metric_names": "all", "remove_nested": False, "keep_singletons": True}
+    nested = commands.mentions_of(conll.read(spark, key), remove_nested=True)
+    assert {(r["start"], r["end"]) for r in nested.where("cluster = 3").collect()} == {(3, 5), (6, 6)}
+    lines = [r["line"] for r in metrics.report(commands.score_files(spark, key, key, ("muc", "b3"))).collect()]
+    assert lines == ["b3         Recall: 100.00  Precision: 100.00  F1: 100.00", "muc        Recall: 100.00  Precision: 100.00  F1: 100.00"]
+    assert commands.conll_line(commands.score_files(spark, key, key)).first()["line"] == "CoNLL score: 100.00"
+    m = spark.createDataFrame([(t, i, i % 2, "a b c" if i % 2 else "x y") for t in (1, 2, 3) for i in range(4)], "topic int, idx long, cluster int, signature string")
+    assert {r["topic"] for r in commands.training_pairs(m, topics_limit=2).collect()} == {1, 2}
+    assert {tuple(r["clusters"]) for r in commands.predict_clusters(m, score.lexical_scorer).collect()} == {(0, 1, 0, 1)}
+    scored = spark.createDataFrame([(t, i, j, 0.9 if (i + j) % 2 == 0 else 0.1) for t in (1, 2, 3) for j in range(4) for i in range(j)], "topic int, i long, j long, p double")
+    swept = commands.sweep_thresholds(m.select("topic", "idx"), scored, m.select("topic", "idx", F.col("cluster").alias("gold")), t_min=0.2, t_max=0.8, t_step=0.3)
+    assert cluster.winner(swept, "conll").first()["threshold"] == 0.2 and swept.count() == 3
+
+
 def test_prediction_checks(spark):
     topics = spark.createDataFrame([(1, [(0, 1, 2), (0, 4, 5)]), (2, [(0, 1, 2)])], "topic int, mentions array<struct<para:int,start:int,end:int>>")
     good = spark.createDataFrame([(1, [7, 8])], "topic int, clusters array<int>")
