@@ -9,8 +9,8 @@ changes one block, so a linked pair agrees on 1 + e blocks at least: documents a
 joined on equal block sketches.  Light blocks say little and are left out, unless a
 document has more than e of them, so no pair is lost at any size.
 
-Many signatures are shared by the same documents: each such group goes on once.  Its
-documents are compared by size and by whole parity sketches, whose
+Many signatures are shared by the same documents: each such group goes on once from a task.  Its
+documents are compared by size and by whole parity sketches, coarse ones first and fine ones for what is left, whose
 Hamming distance bounds the symmetric difference from below.  The pairs that these do not
 rule out connect candidate clusters; for each group a spanning forest of them is enough.
 A group of over CHUNK documents is not held by one task: each document meets the group's first, and those that this
@@ -42,11 +42,12 @@ POSTING = np.dtype([("sig", "<u8"), ("id", "<i8")])
 #: Documents of one block of a cluster's size class.
 BLOCK = 2048
 FOUND = "kind int, a long, b long, blob binary"
-DOC, LINK, MEMBER = 0, 1, 2
+ABOUT, DOC, LINK, MEMBER = -1, 0, 1, 2
 #: Documents of a group that a task compares with as many others.
 CHUNK = 4096
-#: Bits of the whole-set sketch of up to twice as many shingles that travels with a document; from there on it doubles with the set.
-SKETCH = 512
+#: Bits of the whole-set sketches for each shingle, powers of two and LEAST at least: one that travels with every document of a group,
+#: and one with those that it leaves.
+COARSE, FINE, LEAST = 0.5, 2, 256
 #: Groups of so many documents are compared all with all in memory, larger ones along their links.
 SMALL = 64
 
@@ -116,10 +117,10 @@ def text_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield row, *distinct_sets(s, owner, last - row)
 
 
-def set_sketches(values: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Parity of hash classes of each set: SKETCH, doubled until they are half as many as its values at least."""
+def set_sketches(values: np.ndarray, first: np.ndarray, each: float) -> list[bytes]:
+    """Parity of hash classes of each set: LEAST, doubled until they are `each` times its values at least."""
     size = np.diff(first)
-    bits = SKETCH << np.ceil(np.log2(np.maximum(1, size / (2 * SKETCH)))).astype(np.int64)
+    bits = LEAST << np.ceil(np.log2(np.maximum(1, size * each / LEAST))).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(bits)])
     cell = np.repeat(base[:-1], size) + ((values >> U(7)).astype(np.int64) & np.repeat(bits - 1, size))
     packed = np.packbits((np.bincount(cell, minlength=int(base[-1])) & 1).astype(np.uint8)).tobytes()
@@ -169,7 +170,8 @@ def _sketch(buckets: int, k: int, pct: int) -> Callable[[Iterator[pa.RecordBatch
                 n = len(first) - 1
                 sizes = np.diff(first)
                 here = slice(row, row + n)
-                yield _rows(DOC, number[here], sizes, ~valid[here], pa.array(set_sketches(values, first), pa.binary()))
+                for kind, each in ((DOC, COARSE), (ABOUT, FINE)):
+                    yield _rows(kind, number[here], sizes, ~valid[here], pa.array(set_sketches(values, first, each), pa.binary()))
                 new = np.zeros(n, bool)
                 a, b = [], []
                 for d in np.flatnonzero(valid[here] & (sizes > 0)):
@@ -243,7 +245,7 @@ def _near(n: np.ndarray | int, sketch: np.ndarray, m: np.ndarray | int, other: n
 
 
 def plausible_forest(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, sketches: list[bytes], pct: int) -> np.ndarray:
-    """Pairs of documents that span, for each group, the graph of its pairs that sizes and sketches do not rule out.
+    """Pairs of rows that span, for each group, the graph of its pairs that sizes and sketches do not rule out.
 
     Rows are sorted by group.
     """
@@ -252,12 +254,11 @@ def plausible_forest(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, sketche
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     group = np.cumsum(np.r_[0, sig[1:] != sig[:-1]])
     length = np.fromiter(map(len, sketches), np.int64, len(sketches))
-    out = [_forest_of(group[at], ids[at], size[at], rows, pct) for at, rows in folded(sketches, np.minimum.reduceat(length, first)[group])]
-    pairs = np.concatenate(out)
-    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    out = [at[_forest_of(group[at], size[at], rows, pct)] for at, rows in folded(sketches, np.minimum.reduceat(length, first)[group])]
+    return np.concatenate(out)
 
 
-def _forest_of(group: np.ndarray, ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, pct: int) -> np.ndarray:
+def _forest_of(group: np.ndarray, size: np.ndarray, sketch: np.ndarray, pct: int) -> np.ndarray:
     total = len(group)
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     count = np.diff(np.r_[first, total])
@@ -285,16 +286,23 @@ def _forest_of(group: np.ndarray, ids: np.ndarray, size: np.ndarray, sketch: np.
             reached += left[close].tolist()
             left = left[~close]
     root = joined(total, np.concatenate(a), np.concatenate(b)) if a else np.arange(total)
-    return np.stack([ids[root], ids], 1)
+    rest = np.flatnonzero(root != np.arange(total))
+    return np.stack([root[rest], rest], 1)
 
 
-def _plausible(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Forests of groups of CHUNK documents at most, a bounded number of them at a time."""
+def _plausible(pct: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Forests of groups of CHUNK documents at most, a bounded number of them at a time; before the last round, the (sig, id) of their documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def forests(table: pa.Table) -> pa.RecordBatch:
-            pairs = plausible_forest(table["sig"].to_numpy(), table["id"].to_numpy(), table["n"].to_numpy(), table["sketch"].to_pylist(), pct)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
+            sig, ids = table["sig"].to_numpy(), table["id"].to_numpy()
+            pairs = plausible_forest(sig, ids, table["n"].to_numpy(), table["sketch"].to_pylist(), pct)
+            if not last:
+                rows = np.unique(pairs)
+                return pa.RecordBatch.from_arrays([pa.array(sig[rows]), pa.array(ids[rows])], ["sig", "id"])
+            ends = np.unique(ids[pairs], axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
+            ends = ends[ends[:, 0] != ends[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["src", "dst"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -351,12 +359,17 @@ def _between(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def plausible_pairs(shared: DataFrame, about: DataFrame, pct: int, work: Workspace) -> DataFrame:
-    """(src, dst) that span, for each group of shared (sig, id), what about's sizes and sketches (id, n, sketch) do not rule out."""
+def plausible_pairs(shared: DataFrame, coarse: DataFrame, about: DataFrame, pct: int, work: Workspace) -> DataFrame:
+    """(src, dst) that span, for each group of shared (sig, id), what sizes and sketches (id, n, sketch) do not rule out.
+
+    Two documents that may link keep each other through the coarse sketches, so the fine ones judge every such pair.
+    """
     pair = "src long, dst long"
     large = work.table(shared.groupBy("sig").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") > CHUNK))
-    small = shared.join(large.select("sig"), "sig", "left_anti").join(about, "id").select("sig", "id", "n", "sketch")
-    out = small.repartition("sig").sortWithinPartitions("sig").mapInArrow(_plausible(pct), pair)
+    small = shared.join(large.select("sig"), "sig", "left_anti").join(coarse, "id").select("sig", "id", "n", "sketch")
+    by_group = lambda df: df.repartition("sig").sortWithinPartitions("sig")
+    left = work.table(by_group(small).mapInArrow(_plausible(pct, False), "sig long, id long"))
+    out = by_group(left.join(about, "id").select("sig", "id", "n", "sketch")).mapInArrow(_plausible(pct, True), pair)
     if not large.take(1):
         return out
     members = shared.join(large, "sig").join(about, "id")
@@ -367,10 +380,10 @@ def plausible_pairs(shared: DataFrame, about: DataFrame, pct: int, work: Workspa
     sizes = large.select("sig", F.ceil(F.col("size") / F.lit(CHUNK)).cast("int").alias("ys")).join(far, "sig")
     rows = judged.select("sig", "id", "n", "sketch", "near").join(sizes, "sig")
     x, y = (F.pmod(F.xxhash64("id"), F.col(c)).cast("int") for c in ("xs", "ys"))
-    left = rows.where("not near").withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("left", F.lit(True))
+    opened = rows.where("not near").withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("left", F.lit(True))
     right = rows.withColumn("y", y).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1))).withColumn("left", F.lit(False))
     meet = ["sig", "x", "y"]
-    both = left.select(*meet, "id", "n", "sketch", "left").unionByName(right.select(*meet, "id", "n", "sketch", "left"))
+    both = opened.select(*meet, "id", "n", "sketch", "left").unionByName(right.select(*meet, "id", "n", "sketch", "left"))
     rest = both.repartition(*meet).sortWithinPartitions(*meet).mapInArrow(_between(pct), pair)
     return out.unionByName(judged.where("near and id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))).unionByName(rest)
 
@@ -477,10 +490,9 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
     buckets = bucket_count(spark)
     with Workspace(spark) as work:
         found = work.table(rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet, FOUND))
-        about = found.where(f"kind = {DOC}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch")).where("id is not null").dropDuplicates(["id", "n", "sketch"])
-        shared = work.table(found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id")).distinct())
-        members = connected_components(plausible_pairs(shared, about, pct, work), work=work).withColumnRenamed("component", "cluster")
-        work.drop(shared)
+        coarse, about = (found.where(f"kind = {kind}").where("a is not null").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch")).dropDuplicates(["id", "n", "sketch"]) for kind in (DOC, ABOUT))
+        shared = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id"))
+        members = connected_components(plausible_pairs(shared, coarse, about, pct, work), work=work).withColumnRenamed("component", "cluster")
         members = work.table(members)
         sets = work.table(
             members.join(rows.where("doc_id is not null"), F.col("node") == F.col("doc_id"))
