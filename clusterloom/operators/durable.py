@@ -73,6 +73,9 @@ class Workspace:
         out = self.table(df.observe(seen, *figures))
         return out, seen.get
 
+    def holds(self, table: DataFrame) -> bool:
+        return id(table) in self.paths
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in tables:
