@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.llm.text_arrays import U, chunks, mix, prefix_hash, scan
+from clusterloom.operators.durable import short_batches
 
 BITS = 22
 MAX_WEIGHTS = 100_000
@@ -140,7 +141,11 @@ def _score(at: np.ndarray, weight: np.ndarray, bias: float) -> Callable[[Iterato
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """(doc_id, score) for each row of docs; a null or empty text has the bias only.  Other columns are no inputs."""
+    """(doc_id, score) for each row of docs; a null or empty text has the bias only.  Other columns are no inputs.
+
+    Repeated rows are scored each for itself, null ids stay null, and an empty table gives no rows.
+    """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_score(*model), "doc_id long, score double")
 
@@ -151,6 +156,10 @@ def held_out(doc_id: str) -> Column:
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 6000, params: Ftrl | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted); learns from rows that are not held out only."""
+    """(doc_id, held_out, score, predicted) for each row of docs; learns from rows that are not held out only.
+
+    A null id is not held out.  Null labels and ids of labels are left out; without any the score is 0.5.  Repeated rows,
+    ties, nulls and empty tables are as in score and train.
+    """
     model = train(docs, labels.where(~held_out("doc_id")), max_rows, params)
     return score(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -543,11 +543,44 @@ def test_pipeline(spark, tmp_path, labelled):
         if i == 2:
             comp = brute_components([(x["doc_id"], x["text"]) for x in before.collect()], 5, 80)
             assert {x["doc_id"] for x in now.collect()} == {k for k, v in comp.items() if v[1] == k}
+        if i == 3:
+            rates = mixing.mix_rates(before, spark.read.parquet(str(tmp_path / "labels.parquet")), keep="good").collect()
+            assert Counter(x["doc_id"] for x in now.collect()) == Counter({x["doc_id"]: x["copies"] for x in rates if x["copies"]})
+            assert all(x["copies"] >= 1 for x in rates if x["good"] >= 0.5)
         if i == 4:
             assert {x["doc_id"] for x in now.collect()} == {x["doc_id"] for x in before.collect()}
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
 
 
+def test_long_and_missing_values(spark, labelled):
+    """Very long texts and null ids where the tests above have none."""
+    rows, labels = labelled
+    marks = spark.createDataFrame(labels, LABEL_SCHEMA)
+    long = "word " * 200_000
+    docs = make(spark, [*rows[:200], (9000, long), (9000, long), (None, long), (None, None)])
+    scored = toxicity.toxic_documents(docs, marks).where("doc_id = 9000 or doc_id is null").collect()
+    assert len(scored) == 4 and len({r["score"] for r in scored if r["doc_id"]}) == 1 and not any(r["held_out"] for r in scored if r["doc_id"] is None)
+    assert Counter(r["doc_id"] for r in mixing.mix_rates(docs, marks).collect())[None] == 2
+    found = license_scan.scan_licenses(docs).where("doc_id is null").collect()
+    assert len(found) == 2 and all(r["license_id"] is None for r in found)
+    chat = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    back = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_windows(chat)).collect()}
+    assert back[1]["loss_chars"] == len(long) and back[None]["n_turns"] == 1
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.001]), (None, None)], "vec_id long, embedding array<float>")
+    got = sorted(((r["vec_id"] or -1), r["n_links"], r["component_id"] or -1, r["kept"]) for r in embedding_dedup.near_duplicates(vectors).collect())
+    assert got == [(-1, 0, -1, False), (-1, 1, 5, False), (5, 1, 5, True)]
+    assert embedding_dedup.near_duplicates(vectors.limit(0)).count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path, labelled):
+    import corpus_pipeline
+
+    pytest.importorskip("public_tokenizers")
+    spark.createDataFrame([], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labelled[1], LABEL_SCHEMA).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_match_their_sql(spark):
     import duckdb
 
