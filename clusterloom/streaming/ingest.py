@@ -14,7 +14,7 @@ def extractions(spark: SparkSession, path: str, schema: StructType | str, files_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def entities(stream: DataFrame, output: str = "tanl_output") -> DataFrame:
+def entities(stream: DataFrame, output: str = "extraction") -> DataFrame:
     """One row for each bracketed entity with its normalised text; works on streams and tables alike."""
     keys = [c for c in stream.columns if c != output]
     rows = stream.select(*keys, F.posexplode(parse_entities(F.col(output))).alias("ord", "e"))

@@ -358,9 +358,9 @@ def test_sampling_and_scorers(spark):
 
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"topic_id": 1, "tanl_output": "[ A | k ] [ B ]"}\n')
-    s = ingest.entities(ingest.extractions(spark, str(tmp_path / "in"), "topic_id long, tanl_output string"))
+    (tmp_path / "in" / "a.json").write_text('{"topic_id": 1, "extraction": "[ A | k ] [ B | k ] [ 12 ]"}\n')
+    s = ingest.entities(ingest.extractions(spark, str(tmp_path / "in"), "topic_id long, extraction string"))
     q = s.writeStream.format("memory").queryName("ents").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert [(r["norm"], r["type"]) for r in spark.table("ents").orderBy("ord").collect()] == [("a", "k"), ("b", None)]
+    assert [(r["norm"], r["type"]) for r in spark.table("ents").orderBy("ord").collect()] == [("a", "k"), ("b", "k")]
