@@ -47,7 +47,7 @@ ABOUT, DOC, LINK, MEMBER = -1, 0, 1, 2
 CHUNK = 4096
 #: Bits of the whole-set sketches for each shingle, powers of two and LEAST at least: one that travels with every document of a group,
 #: and one with those that it leaves.
-COARSE, FINE, LEAST = 0.5, 2, 256
+COARSE, FINE, LEAST = 0.5, 2, 128
 #: Groups of so many documents are compared all with all in memory, larger ones along their links.
 SMALL = 64
 
@@ -359,20 +359,21 @@ def _between(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def plausible_pairs(shared: DataFrame, coarse: DataFrame, about: DataFrame, pct: int, work: Workspace) -> DataFrame:
-    """(src, dst) that span, for each group of shared (sig, id), what sizes and sketches (id, n, sketch) do not rule out.
+def plausible_pairs(shared: DataFrame, about: DataFrame, pct: int, work: Workspace) -> DataFrame:
+    """(src, dst) that span, for each group of shared (sig, id, n, coarse sketch), what sizes and about's fine sketches (id, n, sketch) do not rule out.
 
     Two documents that may link keep each other through the coarse sketches, so the fine ones judge every such pair.
     """
     pair = "src long, dst long"
     large = work.table(shared.groupBy("sig").agg(F.count("*").alias("size"), F.min("id").alias("first")).where(F.col("size") > CHUNK))
-    small = shared.join(large.select("sig"), "sig", "left_anti").join(coarse, "id").select("sig", "id", "n", "sketch")
+    small = shared.join(large.select("sig"), "sig", "left_anti") if large.take(1) else shared
     by_group = lambda df: df.repartition("sig").sortWithinPartitions("sig")
     left = work.table(by_group(small).mapInArrow(_plausible(pct, False), "sig long, id long"))
     out = by_group(left.join(about, "id").select("sig", "id", "n", "sketch")).mapInArrow(_plausible(pct, True), pair)
     if not large.take(1):
+        work.drop(shared)
         return out
-    members = shared.join(large, "sig").join(about, "id")
+    members = shared.select("sig", "id").join(large, "sig").join(about, "id")
     firsts = members.where("id = first").select("sig", F.col("n").alias("first_n"), F.col("sketch").alias("first_sketch"))
     judged = members.select("sig", "id", "n", "sketch", "first").join(firsts, "sig")
     judged = work.table(judged.mapInArrow(_first(pct), "sig long, id long, n long, sketch binary, first long, near boolean"))
@@ -490,9 +491,14 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
     buckets = bucket_count(spark)
     with Workspace(spark) as work:
         found = work.table(rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet, FOUND))
+        # each large table goes as soon as the next one is written
+        members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id"))
         coarse, about = (found.where(f"kind = {kind}").where("a is not null").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch")).dropDuplicates(["id", "n", "sketch"]) for kind in (DOC, ABOUT))
-        shared = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id"))
-        members = connected_components(plausible_pairs(shared, coarse, about, pct, work), work=work).withColumnRenamed("component", "cluster")
+        shared = work.table(members.join(coarse, "id").select("sig", "id", "n", "sketch"))
+        about, rest = work.table(about), work.table(found.where(f"kind in ({DOC}, {LINK})").drop("blob"))
+        work.drop(found)
+        found = rest
+        members = connected_components(plausible_pairs(shared, about, pct, work), work=work).withColumnRenamed("component", "cluster")
         members = work.table(members)
         sets = work.table(
             members.join(rows.where("doc_id is not null"), F.col("node") == F.col("doc_id"))
