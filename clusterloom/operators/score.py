@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+FEATURES = ("jaccard", "contained", "length")
+
+
 def lexical_features(a: Column, b: Column) -> list[Column]:
     """Word Jaccard, containment and length ratio of two texts."""
     wa, wb = (F.array_distinct(F.array_remove(F.split(F.lower(x), r"[^\p{L}\p{N}]+"), "")) for x in (a, b))
@@ -29,15 +32,18 @@ def lexical_scorer(pairs: DataFrame) -> DataFrame:
 def _features(df: DataFrame) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    pack = VectorAssembler(inputCols=["jaccard", "contained", "length"], outputCol="features")
+    pack = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     return pack.transform(df.select("*", *lexical_features(F.col("text_a"), F.col("text_b"))))
 
 
 def _scorer(model) -> Scorer:
-    from pyspark.ml.functions import vector_to_array
+    """The margin of a fitted model as a plain expression, so scoring stays in generated code."""
+    weights, bias = [float(w) for w in model.coefficients], float(model.intercept)
 
     def score(pairs: DataFrame) -> DataFrame:
-        return model.transform(_features(pairs)).withColumn("logit", vector_to_array("rawPrediction")[1]).drop("jaccard", "contained", "length", "features", "rawPrediction", "probability", "prediction")
+        f = lexical_features(F.col("text_a"), F.col("text_b"))
+        margin = sum((F.lit(w) * F.col(c) for w, c in zip(weights, FEATURES, strict=True)), F.lit(bias))
+        return pairs.select("*", *f).withColumn("logit", margin).drop(*FEATURES)
 
     return score
 
