@@ -43,8 +43,8 @@ ANCHOR = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("pos"
 ASKED = np.dtype([("doc", "<i8"), ("anchor", "<u8"), ("pos", "<u4")])
 MARK = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 CONTEXT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1"), ("bytes", "u1", (WIDTH,))])
-#: Contexts of one block; the index of a small one stays in the processor's cache.
-INDEX = 300
+#: Contexts of one block of an anchor, and of several anchors that share an index; a small index stays in the processor's cache.
+INDEX, TOGETHER = 1200, 300
 #: Most contexts of an index that later contexts are streamed through (about 100 MB).
 REFERENCE = 4096
 MARKS, ANCHORS, ASKS, CONTEXTS, TEXT = 0, 1, 2, 3, 4
@@ -440,9 +440,9 @@ def _index(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         lo = 0
         found = []
         while lo < len(cut) - 1:
-            hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + INDEX, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + TOGETHER, side="right")) - 1)
             part = contexts[order[cut[lo] : cut[hi]]]
-            found += [index_marks(part)] if len(part) <= INDEX else anchor_marks(part)
+            found += [index_marks(part)] if len(part) <= TOGETHER else anchor_marks(part)
             lo = hi
         if found:
             yield from _send_by_doc(MARKS, merged(np.concatenate(found)), buckets)

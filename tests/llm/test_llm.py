@@ -189,6 +189,7 @@ def test_suffix_dedup(spark, index, monkeypatch):
         t = "".join(r.choice([r.choice(parts), r.choice(parts)[r.randint(0, 50) :], "".join(r.choice("abc") for _ in range(r.randint(0, 80)))]) for _ in range(r.randint(0, 5)))
         rows.append((i * 3 - 5, t + "a" * r.choice([0, 0, 0, 250])))
     monkeypatch.setattr(suffix_dedup, "INDEX", index)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", min(index, 20))
     got = suffix_dedup.digest(suffix_dedup.remove_repeats(make(spark, rows).repartition(4))).collect()
     want = brute_repeats(rows)
     assert len(got) == len(rows) and all(tuple(x)[1:] == want[x["doc_id"]] for x in got)
