@@ -23,11 +23,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Bytes of a row group that a writing task holds in memory.
+ROW_GROUP = 16 << 20
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df computed once and kept as Parquet in the shared checkpoint folder, its lineage cut; it stays as long as the folder."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return _write(df, path)
 
 
 #: Rows of a batch that goes to Python workers; whole texts count by the thousand, so batches are kept short.
@@ -61,8 +69,7 @@ class Workspace:
     def table(self, df: DataFrame) -> DataFrame:
         """df written and read again; shuffle files of what it was made from may go."""
         path = f"{ensure_checkpoint_dir(self.spark)}/work-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.parquet(path)
+        out = _write(df, path)
         self.paths[id(out)] = (out, path)
         release(self.spark)
         return out
