@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 
 #: Records that a map task holds before it packs them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def bucket_count(spark: SparkSession) -> int:
