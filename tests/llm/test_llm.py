@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clusterloom.llm import chat_format, embedding_dedup, license_scan, line_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from clusterloom.operators.durable import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, node string, component string, bucket int, line int, set long"
@@ -163,6 +164,27 @@ def test_line_dedup_edges(spark):
     assert out.where("text is null").count() == 3 and line_dedup.dedup_lines(make(spark, [])).count() == 0
 
 
+def test_line_tokens_are_fetched_for_candidate_pairs_only(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: f"v{r.randrange(10**6)}"
+    rows = [(i, " ".join([word() for _ in range(3)] + ["all", "rights", "are", "reserved", "here"] + [word() for _ in range(3)])) for i in range(60)]
+    rows += [(100, (long := " ".join(word() for _ in range(40)))), (101, long + " more")]
+    ends, fetched, table = set(), [], Workspace.table
+
+    def spy(self, df):
+        out = table(self, df)
+        if out.columns == ["early", "late"]:
+            ends.update(x for p in out.collect() for x in p)
+        if out.columns == ["at", "t"]:
+            fetched.extend(x["at"] for x in out.collect())
+        return out
+
+    monkeypatch.setattr(Workspace, "table", spy)
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(make(spark, rows), order=line_dedup.by_hash).collect()}
+    assert got == brute_lines(rows) and got[101] == ""
+    assert {x["id"] for x in ends} >= {100, 101} and set(fetched) <= ends
+
+
 def brute_repeats(rows, length=100):
     seen, out = {}, {}
     for i, t in sorted(rows):
