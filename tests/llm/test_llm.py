@@ -185,6 +185,16 @@ def test_line_tokens_are_fetched_for_candidate_pairs_only(spark, monkeypatch):
     assert {x["id"] for x in ends} >= {100, 101} and set(fetched) <= ends
 
 
+def test_line_rarity_counts_every_document(spark):
+    # each line stands in five documents only, so one document in 16 does not show that its tokens are frequent
+    often, once = ([f"{kind}{i} b{i} c{i} d{i} e{i}" for i in range(20)] for kind in "ao")
+    rows = [(10 * i + j, often[i]) for i in range(20) for j in range(5)] + [(1000 + i, x) for i, x in enumerate(once)]
+    grade = line_dedup.rarity(line_dedup._keyed(make(spark, rows), "doc_id", "text"))
+    lines = spark.createDataFrame([(x,) for x in often + once], "line string").select("line", F.explode(line_dedup.tokens(F.col("line"))).alias("t"))
+    got = {x["line"]: x["g"] for x in lines.select("line", grade(F.col("t")).alias("g")).collect()}
+    assert max(got[x] for x in once) < min(got[x] for x in often)
+
+
 def brute_repeats(rows, length=100):
     seen, out = {}, {}
     for i, t in sorted(rows):
