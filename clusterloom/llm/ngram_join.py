@@ -9,14 +9,17 @@ changes one block, so a linked pair agrees on 1 + e blocks at least: documents a
 joined on equal block sketches.  Light blocks say little and are left out, unless a
 document has more than e of them, so no pair is lost at any size.
 
-Many signatures are shared by the same documents: each such group goes on once from a task.  Its
-documents are compared by size and by whole parity sketches, coarse ones first and fine ones for what is left, whose
+Many signatures are shared by the same documents.  Groups of SMALL documents at most go on as pairs of ids, each once
+from a task and then once in all, so a pair costs the same however many blocks and tasks it meets in; larger groups go on as
+their documents, each group once from a task.  Documents are compared by size and by whole parity sketches, those of larger groups by
+coarse ones first and fine ones for what is left, whose
 Hamming distance bounds the symmetric difference from below.  The pairs that these do not
-rule out connect candidate clusters; for each group a spanning forest of them is enough.
+rule out connect candidate clusters; for each larger group a spanning forest of them is enough.
 A group of over CHUNK documents is not held by one task: each document meets the group's first, and those that this
 leaves open meet the group in pairs of bounded chunks.
 Clusters are then compared in pairs of bounded blocks, sketches first, and verified on
-the sets.  Tasks return spanning forests, never all pairs.
+the sets.  Tasks return spanning forests, never all pairs.  Only the texts of clusters are shuffled: a bitmap of bounded size
+holds back nearly all others before the join.
 
 Exact copies within a map task meet before the shuffle, so a group of copies sends
 one document for each task at most.
@@ -25,12 +28,13 @@ one document for each task at most.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.llm.blobs import FLUSH, bucket_count, groups, joined, pack, unpack
@@ -42,14 +46,16 @@ POSTING = np.dtype([("sig", "<u8"), ("id", "<i8")])
 #: Documents of one block of a cluster's size class.
 BLOCK = 2048
 FOUND = "kind int, a long, b long, blob binary"
-ABOUT, DOC, LINK, MEMBER = -1, 0, 1, 2
+ABOUT, DOC, LINK, MEMBER, PAIR, POSTINGS = -1, 0, 1, 2, 3, 4
 #: Documents of a group that a task compares with as many others.
 CHUNK = 4096
 #: Bits of the whole-set sketches for each shingle, powers of two and LEAST at least: one that travels with every document of a group,
 #: and one with those that it leaves.
 COARSE, FINE, LEAST = 0.5, 2, 128
-#: Groups of so many documents are compared all with all in memory, larger ones along their links.
+#: Groups of so many documents are compared all with all, larger ones along their links.
 SMALL = 64
+#: Bits of the map of documents that a join wants, in pages; it has this size at any scale, and what it lets pass besides goes in the join.
+MAP, PAGE = 1 << 24, 1 << 15
 
 
 @lru_cache(maxsize=None)
@@ -160,7 +166,7 @@ def _sketch(buckets: int, k: int, pct: int) -> Callable[[Iterator[pa.RecordBatch
             out = list(pack(records, (records["sig"] % U(buckets)).astype(np.int64)))
             if out:
                 n = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([MEMBER + 1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "kind", "a", "b", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([POSTINGS] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "kind", "a", "b", "blob"])
 
         for batch in batches:
             ids = batch.column(0)
@@ -222,20 +228,52 @@ def distinct_groups(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.repeat(group, count).astype(np.int64), ids[rows]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passes documents and links on, and turns the postings of a partition into (group, document)."""
-    blobs: list[bytes] = []
-    for batch in batches:
-        kind = batch.column(1).to_numpy()
-        if (plain := kind < MEMBER).any():
-            yield batch.select(["kind", "a", "b", "blob"]).filter(pa.array(plain))
-        if not plain.all():
-            blobs += batch.column(4).filter(pa.array(~plain)).to_pylist()
-    records = unpack(blobs, POSTING)
-    del blobs
-    group, ids = distinct_groups(records["sig"], records["id"])
-    for lo in range(0, len(group), 100_000):
-        yield _rows(MEMBER, group[lo : lo + 100_000], ids[lo : lo + 100_000]).select(["kind", "a", "b", "blob"])
+def group_pairs(group: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of the ids that share a group, nearly each of them once; rows are sorted by group, then id."""
+    names, at = np.unique(ids, return_inverse=True)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    count = np.diff(np.r_[first, len(group)])
+    behind = np.repeat(first + count, count) - np.arange(len(group)) - 1
+    seen = np.zeros(0, np.int64)
+    for step in range(1, int(behind.max(initial=0)) + 1):
+        left = np.flatnonzero(behind >= step)
+        seen = np.union1d(seen, at[left] * len(names) + at[left + step])
+        if len(seen) >= FLUSH:
+            yield np.stack([names[seen // len(names)], names[seen % len(names)]], 1)
+            seen = seen[:0]
+    if len(seen):
+        yield np.stack([names[seen // len(names)], names[seen % len(names)]], 1)
+
+
+def _meet(small: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Passes documents and links on, and turns the postings of a partition into pairs and, of groups of over `small` documents, (group, document)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ["kind", "a", "b", "blob"]
+        blobs: list[bytes] = []
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            if (plain := kind < MEMBER).any():
+                yield batch.select(columns).filter(pa.array(plain))
+            if not plain.all():
+                blobs += batch.column(4).filter(pa.array(~plain)).to_pylist()
+        records = unpack(blobs, POSTING)
+        del blobs
+        group, ids = distinct_groups(records["sig"], records["id"])
+        del records
+        if not len(group):
+            return
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        count = np.diff(np.r_[first, len(group)])
+        few = np.repeat(count <= small, count)
+        for pairs in group_pairs(group[few], ids[few]):
+            for lo in range(0, len(pairs), 100_000):
+                yield _rows(PAIR, pairs[lo : lo + 100_000, 0], pairs[lo : lo + 100_000, 1]).select(columns)
+        group, ids = group[~few], ids[~few]
+        for lo in range(0, len(group), 100_000):
+            yield _rows(MEMBER, group[lo : lo + 100_000], ids[lo : lo + 100_000]).select(columns)
+
+    return run
 
 
 def _near(n: np.ndarray | int, sketch: np.ndarray, m: np.ndarray | int, other: np.ndarray, pct: int) -> np.ndarray:
@@ -328,6 +366,17 @@ def _near_rows(n: np.ndarray, sketches: list[bytes], m: np.ndarray, others: list
     return out
 
 
+def _not_apart(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs that sizes and sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = _near_rows(b["n"].to_numpy(), b["sketch"].to_pylist(), b["m"].to_numpy(), b["other"].to_pylist(), pct)
+            yield b.select(["src", "dst"]).filter(pa.array(near))
+
+    return run
+
+
 def _first(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows with near: whether a document's link to its group's first is not ruled out."""
 
@@ -389,6 +438,17 @@ def plausible_pairs(shared: DataFrame, about: DataFrame, pct: int, work: Workspa
     return out.unionByName(judged.where("near and id <> first").select(F.col("first").alias("src"), F.col("id").alias("dst"))).unionByName(rest)
 
 
+def likely_in(rows: DataFrame, key: Column, wanted: DataFrame, mark: str) -> DataFrame:
+    """rows with a boolean column mark, which is true where wanted's one column has key; elsewhere it is mostly false."""
+    place = lambda x: F.xxhash64(x.cast("long")).bitwiseAND(MAP - 1).cast("int")
+    page, bits = f"page_{mark}", f"bits_{mark}"
+    at = wanted.select(place(F.col(wanted.columns[0])).alias("at")).select((F.col("at") / PAGE).cast("int").alias(page), F.col("at").bitwiseAND(PAGE - 1).cast("long").alias("at"))
+    pages = at.repartition(page).groupBy(page).agg(F.bitmap_construct_agg("at").alias(bits))
+    byte = F.call_function("substring", F.col(bits), (place(key).bitwiseAND(PAGE - 1) / 8).cast("int") + 1, F.lit(1))
+    bit = F.call_function("shiftright", F.conv(F.hex(byte), 16, 10).cast("int"), place(key).bitwiseAND(7)).bitwiseAND(1) == 1
+    return rows.withColumn(page, (place(key) / PAGE).cast("int")).join(F.broadcast(pages), page, "left").withColumn(mark, F.coalesce(bit, F.lit(False))).drop(page, bits)
+
+
 def _to_sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -490,18 +550,23 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(spark)
     with Workspace(spark) as work:
-        found = work.table(rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet, FOUND))
+        found = work.table(rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet(SMALL), FOUND))
         # each large table goes as soon as the next one is written
         members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id"))
         coarse, about = (found.where(f"kind = {kind}").where("a is not null").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch")).dropDuplicates(["id", "n", "sketch"]) for kind in (DOC, ABOUT))
+        pairs = work.table(found.where(f"kind = {PAIR}").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
         shared = work.table(members.join(coarse, "id").select("sig", "id", "n", "sketch"))
         about, rest = work.table(about), work.table(found.where(f"kind in ({DOC}, {LINK})").drop("blob"))
         work.drop(found)
         found = rest
-        members = connected_components(plausible_pairs(shared, about, pct, work), work=work).withColumnRenamed("component", "cluster")
+        ends = pairs.join(about.withColumnRenamed("id", "src"), "src").join(about.select(F.col("id").alias("dst"), F.col("n").alias("m"), F.col("sketch").alias("other")), "dst")
+        close = ends.select("src", "dst", "n", "sketch", "m", "other").mapInArrow(_not_apart(pct), "src long, dst long")
+        members = connected_components(close.unionByName(plausible_pairs(shared, about, pct, work)), work=work).withColumnRenamed("component", "cluster")
         members = work.table(members)
+        work.drop(pairs, about)
+        texts = likely_in(rows.where("doc_id is not null"), F.col("doc_id"), members.select("node"), "likely").where("likely")
         sets = work.table(
-            members.join(rows.where("doc_id is not null"), F.col("node") == F.col("doc_id"))
+            members.join(texts, F.col("node") == F.col("doc_id"))
             .select("node", "cluster", "text")
             .mapInArrow(_to_sets(k), "id long, cluster long, elements binary")
             .withColumn("class", F.floor(F.log(F.octet_length("elements") / 8.0) / (math.log(100 / pct) * (1 + 1e-9))).cast("int"))
@@ -524,4 +589,7 @@ def keep_first(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     Rows with a null doc_id stay, and rows that share the kept doc_id stay together.
     """
     gone = link_documents(docs, k, pct).where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    mark = f"likely_{uuid.uuid4().hex}"
+    rows = likely_in(docs, docs["doc_id"], gone, mark)  # the others need not meet gone
+    rest = rows.where(F.col(mark)).drop(mark)
+    return rows.where(~F.col(mark)).drop(mark).unionByName(rest.join(gone, rest["doc_id"] == gone["gone"], "left_anti"))

@@ -111,6 +111,36 @@ def test_ngram_join_of_large_sets_and_groups(spark, monkeypatch):
             assert got == brute_components(rows, k, pct)
 
 
+def test_ngram_pairs_meet_once(spark, monkeypatch):
+    """A pair that shares many blocks, in every task, is one row; groups of over SMALL documents give the same links."""
+    r = random.Random(5)
+    rows = []
+    for i in range(40):
+        w = r.choices(VOCABULARY, k=900) if i % 2 == 0 else list(w)
+        w[r.randrange(900)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    written = []
+    plain = Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda self, df: written.append((df.columns, (out := plain(self, df)).count())) or out)
+    for small in (ngram_join.SMALL, 1):
+        monkeypatch.setattr(ngram_join, "SMALL", small)
+        del written[:]
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.link_documents(make(spark, rows).repartition(3)).collect()}
+        assert got == brute_components(rows, 5, 80) and len({v for _, v in got.values()}) == 20
+        if small > 1:
+            assert 20 <= next(n for columns, n in written if columns == ["src", "dst"]) <= 40 * 39 // 2 and next(n for columns, n in written if columns == ["sig", "id", "n", "sketch"]) == 0
+
+
+def test_only_likely_rows_meet_a_join(spark):
+    """Every wanted row is marked, few others, whatever the ids; null ids break nothing."""
+    wanted = [(i * 7919 - 10**6,) for i in range(500)] + [(-1,), (0,), (2**62,)]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(-2000, 8000)] + [(i, "w") for (i,) in wanted] + [(None, "n")], "doc_id long, `a.b` string")
+    out = ngram_join.likely_in(rows, rows["doc_id"], spark.createDataFrame(wanted, "node long"), "mine")
+    assert out.columns == ["doc_id", "a.b", "mine"] and out.count() == rows.count()
+    marked = {x["doc_id"] for x in out.where("mine").collect()}
+    assert {i for (i,) in wanted} <= marked and len(marked) < len(wanted) + 30
+
+
 def line_tokens(line):
     w = WORD.findall(line.lower())
     return {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
