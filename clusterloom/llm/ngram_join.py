@@ -23,6 +23,11 @@ holds back nearly all others before the join.
 
 Exact copies within a map task meet before the shuffle, so a group of copies sends
 one document for each task at most.
+
+Most documents never come that far.  A shingle that stands in one document only is in no intersection, so a set of n shingles with
+over (1 - pct / 100) * n of those links with no other set.  They are counted first, on a share of all shingles by hash, which can only
+find fewer of them: what is left out is left out rightly, whatever the share (`tests/llm` compare with brute force).  What this leaves
+is judged once more, by all shingles among itself.
 """
 
 from __future__ import annotations
@@ -43,10 +48,14 @@ from clusterloom.operators.durable import Workspace, settle
 from clusterloom.operators.graph import connected_components
 
 POSTING = np.dtype([("sig", "<u8"), ("id", "<i8")])
+#: A shingle (32 bits of its hash, besides its bucket) of a row, or of several rows: key 0; shingles of a row that stand nowhere else.
+SEEN = np.dtype([("hash", "<u4"), ("key", "<u8")])
+LONE = np.dtype([("key", "<u8"), ("n", "<u2")])
 #: Documents of one block of a cluster's size class.
 BLOCK = 2048
 FOUND = "kind int, a long, b long, blob binary"
 ABOUT, DOC, LINK, MEMBER, PAIR, POSTINGS = -1, 0, 1, 2, 3, 4
+COUNTED = "bucket int, a long, b long, key long, blob binary"
 #: Documents of a group that a task compares with as many others.
 CHUNK = 4096
 #: Bits of the whole-set sketches for each shingle, powers of two and LEAST at least: one that travels with every document of a group,
@@ -154,6 +163,120 @@ def _rows(kind: int, a: np.ndarray, b: np.ndarray, missing: np.ndarray | None =
     )
 
 
+def _blobs(packed: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """COUNTED rows of packed records."""
+    if packed := list(packed):
+        empty = pa.nulls(len(packed), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in packed], pa.int32()), empty, empty, empty, pa.array([x[1] for x in packed], pa.binary())], ["bucket", "a", "b", "key", "blob"])
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> tuple[list[bytes], pa.Table]:
+    """Blobs and the other rows of COUNTED rows."""
+    blobs, rest = [], []
+    for batch in batches:
+        plain = batch.column(4).is_null()
+        blobs += batch.column(4).drop_null().to_pylist()
+        rest.append(batch.filter(plain))
+    schema = pa.schema([("bucket", pa.int32()), *((c, pa.int64()) for c in ("a", "b", "key")), ("blob", pa.binary())])
+    return blobs, pa.Table.from_batches(rest, rest[0].schema if rest else schema)
+
+
+def _key_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key) % U(buckets)).astype(np.int32)
+
+
+def _seen(buckets: int, k: int, part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, set size, key of the row) and `part` percent of the shingles of all rows, each once from a task's stretch of rows."""
+    share = U(part * (1 << 32) // 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            hashes, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(hashes)
+            hashes, keys = hashes[order], keys[order]
+            first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+            records = np.empty(len(first), SEEN)
+            records["hash"] = hashes[first] >> U(32)
+            records["key"] = np.where(np.diff(np.r_[first, len(hashes)]) > 1, U(0), keys[first])
+            yield from _blobs(pack(records, ((hashes[first] & U(0xFFFFFFFF)) % U(buckets)).astype(np.int64)))
+
+        for batch in batches:
+            ids = batch.column(0)
+            number = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            valid = ids.is_valid().to_numpy(zero_copy_only=False)
+            for row, values, first in text_sets(batch.column(1), k):
+                n = len(first) - 1
+                here, sizes = slice(row, row + n), np.diff(first)
+                total = np.concatenate([[U(0)], np.cumsum(mix(values + U(0x2545F4914F6CDD1D)))])
+                key = mix(total[first[1:]] - total[first[:-1]] + mix(number[here].astype(U)) + sizes.astype(U))  # copies have keys of their own
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_key_bucket(key, buckets)), pa.array(number[here], pa.int64(), mask=~valid[here]), pa.array(sizes, pa.int64()), pa.array(key.view(np.int64)), pa.nulls(n, pa.binary())],
+                    ["bucket", "a", "b", "key", "blob"],
+                )
+                take = np.repeat(valid[here], sizes) & ((values >> U(32)) < share)
+                held.append((mix(values[take]), np.repeat(key, sizes)[take]))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    yield from flush()
+                    size = 0
+        if size:
+            yield from flush()
+
+    return run
+
+
+def _lone(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Passes rows on, and counts for each the shingles of a partition that stand in it only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, rows = _parted(batches)
+        yield from rows.to_batches()
+        records = unpack(blobs, SEEN)
+        if not len(records):
+            return
+        order = np.argsort(records["hash"])  # equal hashes of several buckets only let some rows pass
+        hashes, keys = records["hash"][order], records["key"][order]
+        edge = np.r_[True, hashes[1:] != hashes[:-1], True]
+        keys = keys[edge[:-1] & edge[1:] & (keys != 0)]
+        key, n = np.unique(keys, return_counts=True)
+        out = np.empty(len(key), LONE)
+        out["key"], out["n"] = key, np.minimum(n, 0xFFFF)
+        yield from _blobs(pack(out, _key_bucket(key, buckets).astype(np.int64)))
+
+    return run
+
+
+def _open(pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, n_shingles, open): whether a row has few enough shingles of its own to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, rows = _parted(batches)
+        lone = unpack(blobs, LONE)
+        names, at = np.unique(lone["key"], return_inverse=True)
+        own = np.bincount(at, lone["n"], minlength=len(names)).astype(np.int64)
+        names, own = np.r_[names, U(0xFFFFFFFFFFFFFFFF)], np.r_[own, 0]
+        for batch in rows.to_batches():
+            key, n = batch.column(3).to_numpy().view(U), batch.column(2).to_numpy()
+            place = np.searchsorted(names, key)
+            alone = np.where(names[place] == key, own[place], 0)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array((n > 0) & (100 * (n - alone) >= pct * n))], ["doc_id", "n_shingles", "open"])
+
+    return run
+
+
+def judged(rows: DataFrame, k: int, pct: int, part: int, work: Workspace) -> DataFrame:
+    """(doc_id, n_shingles, open) of rows (doc_id, text), by `part` percent of the shingles."""
+    buckets = bucket_count(rows.sparkSession)
+    counted = work.table(rows.mapInArrow(_seen(buckets, k, part), COUNTED).repartition("bucket").mapInArrow(_lone(buckets), COUNTED))
+    out = work.table(counted.repartition("bucket").mapInArrow(_open(pct), "doc_id long, n_shingles long, open boolean"))
+    work.drop(counted)
+    return out
+
+
 def _sketch(buckets: int, k: int, pct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, int] = {}
@@ -234,14 +357,19 @@ def group_pairs(group: np.ndarray, ids: np.ndarray) -> Iterator[np.ndarray]:
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     count = np.diff(np.r_[first, len(group)])
     behind = np.repeat(first + count, count) - np.arange(len(group)) - 1
-    seen = np.zeros(0, np.int64)
+    held, size = [], 0
     for step in range(1, int(behind.max(initial=0)) + 1):
         left = np.flatnonzero(behind >= step)
-        seen = np.union1d(seen, at[left] * len(names) + at[left + step])
-        if len(seen) >= FLUSH:
-            yield np.stack([names[seen // len(names)], names[seen % len(names)]], 1)
-            seen = seen[:0]
-    if len(seen):
+        held.append(at[left] * len(names) + at[left + step])
+        size += len(left)
+        if size >= 4 * FLUSH:
+            held = [seen := np.unique(np.concatenate(held))]
+            size = len(seen)
+            if size >= FLUSH:
+                yield np.stack([names[seen // len(names)], names[seen % len(names)]], 1)
+                held, size = [], 0
+    if held:
+        seen = np.unique(np.concatenate(held))
         yield np.stack([names[seen // len(names)], names[seen % len(names)]], 1)
 
 
@@ -550,13 +678,18 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(spark)
     with Workspace(spark) as work:
-        found = work.table(rows.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet(SMALL), FOUND))
+        every = judged(rows, k, pct, min(100, 2 * (100 - pct)), work)
+        rows = rows.where("doc_id is not null")
+        wanted = lambda rows, judged: likely_in(rows, F.col("doc_id"), judged.where("open and doc_id is not null").select("doc_id"), "likely").where("likely").select("doc_id", "text")
+        may = wanted(rows, every)
+        may = wanted(may, judged(may, k, pct, 100, work))  # few are left, so all their shingles are counted, among themselves
+        found = work.table(may.mapInArrow(_sketch(buckets, k, pct), "bucket int, kind int, a long, b long, blob binary").repartition("bucket").mapInArrow(_meet(SMALL), FOUND))
         # each large table goes as soon as the next one is written
         members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("sig"), F.col("b").alias("id"))
-        coarse, about = (found.where(f"kind = {kind}").where("a is not null").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch")).dropDuplicates(["id", "n", "sketch"]) for kind in (DOC, ABOUT))
+        coarse, about = (found.where(f"kind = {kind}").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("blob").alias("sketch")).dropDuplicates(["id", "n", "sketch"]) for kind in (DOC, ABOUT))
         pairs = work.table(found.where(f"kind = {PAIR}").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
         shared = work.table(members.join(coarse, "id").select("sig", "id", "n", "sketch"))
-        about, rest = work.table(about), work.table(found.where(f"kind in ({DOC}, {LINK})").drop("blob"))
+        about, rest = work.table(about), work.table(found.where(f"kind = {LINK}").drop("blob"))
         work.drop(found)
         found = rest
         ends = pairs.join(about.withColumnRenamed("id", "src"), "src").join(about.select(F.col("id").alias("dst"), F.col("n").alias("m"), F.col("sketch").alias("other")), "dst")
@@ -564,7 +697,7 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
         members = connected_components(close.unionByName(plausible_pairs(shared, about, pct, work)), work=work).withColumnRenamed("component", "cluster")
         members = work.table(members)
         work.drop(pairs, about)
-        texts = likely_in(rows.where("doc_id is not null"), F.col("doc_id"), members.select("node"), "likely").where("likely")
+        texts = likely_in(rows, F.col("doc_id"), members.select("node"), "likely").where("likely")
         sets = work.table(
             members.join(texts, F.col("node") == F.col("doc_id"))
             .select("node", "cluster", "text")
@@ -576,9 +709,7 @@ def link_documents(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "do
         links = links.unionByName(found.where(f"kind = {LINK}").select(F.col("a").alias("src"), F.col("b").alias("dst")))
         parts = connected_components(links, work=work)
         return settle(
-            found.where(f"kind = {DOC}")
-            .select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-            .join(parts, F.col("doc_id") == F.col("node"), "left")
+            every.join(parts, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         )
 

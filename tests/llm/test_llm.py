@@ -111,6 +111,28 @@ def test_ngram_join_of_large_sets_and_groups(spark, monkeypatch):
             assert got == brute_components(rows, k, pct)
 
 
+def test_ngram_documents_of_own_shingles_stay_out(spark, monkeypatch):
+    """Documents that share a passage make no pairs where their own shingles rule links out; texts of one id are judged one by one."""
+    r = random.Random(9)
+    own = lambda i: " ".join(f"u{i}x{j}" for j in range(300))
+    passage = " ".join(r.choices(VOCABULARY, k=120))
+    rows = [(i, f"{passage} {own(i)}") for i in range(300)]
+    rows += [(500, own("a")), (500, own("b")), (501, own("b") + " end"), (502, own("c")), (502, own("c")), (503, "x y"), (504, "X Y"), (505, None), (506, "x y z")]
+    written, table = [], Workspace.table
+
+    def counted(self, df):
+        out = table(self, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "table", counted)
+    for k, pct in ((5, 80), (3, 90)):
+        written.clear()
+        got = {x["doc_id"]: x["component_id"] for x in ngram_join.link_documents(make(spark, rows).repartition(3), k, pct).collect()}
+        assert {i: c for i, c in got.items() if c != i} == {501: 500, 504: 503}
+        assert len(got) == len({i for i, _ in rows}) and max(written) <= 2 * len(rows)
+
+
 def test_ngram_pairs_meet_once(spark, monkeypatch):
     """A pair that shares many blocks, in every task, is one row; groups of over SMALL documents give the same links."""
     r = random.Random(5)
