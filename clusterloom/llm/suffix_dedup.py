@@ -47,6 +47,8 @@ CONTEXT = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("left",
 INDEX, TOGETHER = 1200, 300
 #: Most contexts of an index that later contexts are streamed through (about 100 MB).
 REFERENCE = 4096
+#: Contexts that are streamed through an index at a time, and contexts that a task holds before it packs them (8 MB).
+QUERIES, HELD = 2048, 40_000
 MARKS, ANCHORS, ASKS, CONTEXTS, TEXT = 0, 1, 2, 3, 4
 ROWS = "bucket int, kind int, blob binary"
 
@@ -238,7 +240,7 @@ def _cut(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             if len(asked):
                 held.append(context_records(data, asked))
                 size += len(held[-1])
-            if size >= 200_000:
+            if size >= HELD:
                 yield from _send_by_anchor(CONTEXTS, np.concatenate(held), buckets)
                 held, size = [], 0
         if held:
@@ -400,18 +402,19 @@ def later_marks(earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
     before, place = both[: len(earlier)], both[len(earlier) :]
     index = RunIndex(_masked(earlier))
 
-    def hits() -> Iterator[tuple[int, np.ndarray]]:
-        for offset, length, at in index.statistics(_masked(later)):
+    def hits(queries: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for offset, length, at in index.statistics(_masked(queries)):
             if offset > REACH:
                 continue
-            hit = (length >= LENGTH) & _valid(later, REACH - offset)
+            hit = (length >= LENGTH) & _valid(queries, REACH - offset)
             found = np.flatnonzero(hit & (before[at // index.width] + at % index.width >= place + offset))
             for i in found:
-                same = (earlier["bytes"][:, offset : offset + LENGTH] == later["bytes"][i, offset : offset + LENGTH]).all(1)
+                same = (earlier["bytes"][:, offset : offset + LENGTH] == queries["bytes"][i, offset : offset + LENGTH]).all(1)
                 hit[i] = (same & _valid(earlier, REACH - offset) & (before < place[i])).any()
             yield REACH - offset, hit
 
-    return _hits(later, hits())
+    parts = [slice(lo, lo + QUERIES) for lo in range(0, len(later), QUERIES)]  # so memory does not grow with an anchor's contexts
+    return np.concatenate([np.zeros(0, MARK), *(_hits(later[part], hits(later[part], place[part])) for part in parts)])
 
 
 def anchor_marks(contexts: np.ndarray) -> list[np.ndarray]:

@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -333,6 +334,28 @@ def test_suffix_indexes_equal_brute_force(monkeypatch):
             monkeypatch.undo()
 
 
+def test_suffix_later_contexts_are_streamed_in_parts(monkeypatch):
+    """Memory of a stream does not grow with the contexts of an anchor, and parts give the marks of the whole."""
+    r = np.random.default_rng(5)
+
+    def contexts(n, first):
+        c = np.zeros(n, suffix_dedup.CONTEXT)
+        c["anchor"], c["doc"], c["pos"], c["left"], c["right"] = 1, np.arange(first, first + n), 500, suffix_dedup.REACH, suffix_dedup.REACH
+        c["bytes"] = 97
+        c["bytes"][:, ::7] = r.integers(97, 99, (n, len(range(0, suffix_dedup.WIDTH, 7))))
+        return c
+
+    earlier, later = contexts(100, 0), contexts(12_000, 100)
+    tracemalloc.start()
+    got = suffix_dedup.later_marks(earlier, later)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6, peak
+    monkeypatch.setattr(suffix_dedup, "QUERIES", 1 << 20)
+    assert len(got) and (got == suffix_dedup.later_marks(earlier, later)).all()
+    assert not len(suffix_dedup.later_marks(earlier, later[:0]))
+
+
 def test_suffix_dedup_edges(spark):
     got = suffix_dedup.digest(suffix_dedup.remove_repeats(make(spark, EDGE))).collect()
     assert sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == [(-1, 0, 0, 0), (-1, 11, 0, 0), (5, 0, 0, 0), (5, 0, 0, 0), (6, 0, 0, 0), (7, 3, 0, 0), (8, 100_000, 99_999, 1)]
