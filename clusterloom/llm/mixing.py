@@ -8,8 +8,9 @@ and T those of all, rates r solve
     min  e' W e,   e_k = sum_d r_d t_d p_dk / T - scale * w_k,   r_d >= lower_d
 
 by projected gradient steps r <- max(lower, r - h p' V e) from r = 1, where V is W or the same inverse over the
-documents that the step can move, and V and h the best of a few.  W is the inverse of sum_d t_d p_d p_d' / T over all
-documents.  Steps go on until every domain is within TOLERANCE of its target or the objective stands still (targets that
+documents that the step can move, and V and h the best of a few.  W is the inverse of sum_d t_d p_d p_d' / T + RIDGE over all
+documents, so it grows no further where documents hardly differ: a target that no document's posterior comes near costs
+little, instead of rates that repeat the corpus for the sake of traces, and the other targets are met.  Steps go on until every domain is within TOLERANCE of its target or the objective stands still (targets that
 no such rates can meet).  A step is two aggregates over the documents; only sums over domains reach the driver, and rates are
 recomputed from their history, which is written down every SETTLE steps.
 """
@@ -32,6 +33,8 @@ DOMAINS = ("good", "poor", "toxic")
 WEIGHTS = (0.94, 0.03, 0.03)
 #: Largest distance of a domain's share from its target at which a fit is done.
 TOLERANCE = 1e-4
+#: Added to the mean square of posteriors along each direction.  It weighs errors that no rates remove against each other; targets that can be met are met with any.
+RIDGE = 1e-3
 #: SETTLE steps that lower the objective by less than this share end a fit that cannot meet its targets.
 STILL = 0.02
 #: Steps after which rates are written down.
@@ -133,7 +136,7 @@ def fit_rates(soft: DataFrame, weights: tuple[float, ...] = WEIGHTS, keep: str |
     held = np.array([float(sums[f"s{i}"] or 0) for i in range(k)]) / total
     gram = np.array([[float(sums[f"g{i}_{j}"] or 0) for j in range(k)] for i in range(k)]) / total
     scale = max(1.0, held[DOMAINS.index(keep)] / w[DOMAINS.index(keep)]) if keep else 1.0
-    inverse = np.linalg.inv(gram + 1e-6 * np.eye(k))
+    inverse = np.linalg.inv(gram + RIDGE * np.eye(k))
     lower = F.when(F.col(keep) >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0)) if keep else F.lit(0.0)
     along = lambda v: sum((F.lit(float(x)) * F.col(d) for x, d in zip(v, DOMAINS, strict=True)), F.lit(0.0))
     residual = held - scale * w

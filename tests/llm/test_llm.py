@@ -465,6 +465,28 @@ def test_mixing_finds_the_least_squares(spark):
         assert figures["objective"] <= best * 1.02 + 1e-3, (weights, figures, best)
 
 
+def test_mixing_does_not_repeat_the_corpus_for_a_domain_it_lacks(spark):
+    """No posterior of poor comes near its target; the other targets are met, by few copies.  Rare documents that are poor are raised to theirs."""
+    r = np.random.default_rng(5)
+    toxic = np.where(r.random(2000) < 0.11, r.beta(30, 1, 2000), r.beta(1, 300, 2000))
+    poor = np.clip(r.normal(5.78e-4, 3e-6, 2000), 4.8e-4, 6.6e-4)
+    t = r.integers(5, 300, 2000)
+
+    def fitted(poor):
+        p = np.stack([(1 - poor) * (1 - toxic), poor, (1 - poor) * toxic], 1)
+        soft = spark.createDataFrame([(i, int(n), *map(float, x)) for i, (n, x) in enumerate(zip(t, p, strict=True))], "doc_id long, n_tokens long, good double, poor double, toxic double").cache()
+        for keep in ("good", None):
+            rated, figures = mixing.fit_rates(soft, keep=keep)
+            rates = np.array([x["rate"] for x in rated.orderBy("doc_id").collect()])
+            yield rates, (rates * t) @ p / t.sum() - figures["scale"] * np.array(mixing.WEIGHTS), figures
+
+    for rates, error, figures in fitted(poor):
+        assert abs(error[[0, 2]]).max() < 1e-3 and -0.03 < error[1] < -0.029 and abs(figures["residual"] - abs(error[1])) < 1e-9
+        assert rates.max() < 3 and rates.sum() < 1.1 * len(rates), (rates.max(), rates.sum())
+    for _, error, figures in fitted(np.where(r.random(2000) < 0.003, 0.9, poor)):
+        assert abs(error).max() <= 1.01 * mixing.TOLERANCE, (error, figures)
+
+
 def test_mixing_keeps_columns_of_any_name(spark, labelled):
     rows, labels = labelled
     docs = spark.createDataFrame([(*x, 5, 6, 7) for x in [*rows, (900, "long " * 50_000), (None, None)]], "doc_id long, text string, rate long, copies long, _mixing_copy long")
