@@ -248,6 +248,12 @@ def test_line_rarity_counts_every_document(spark):
     assert max(got[x] for x in once) < min(got[x] for x in often)
 
 
+def test_line_dedup_lowers_a_text_once(spark):
+    docs = line_dedup._keyed(make(spark, [(1, "A b")]), "doc_id", "text")
+    plan = line_dedup._lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1, plan
+
+
 def brute_repeats(rows, length=100):
     seen, out = {}, {}
     for i, t in sorted(rows):
