@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clusterloom.functions.scalars import fbeta, pairs_of, ratio
+from clusterloom.operators.durable import settle
 
 
 def grid(low: float, high: float, step: float) -> list[float]:
@@ -120,25 +121,35 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
     return df.where(v.between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def logit_counts(scored: DataFrame, logit: str = "logit", label: str = "label") -> DataFrame:
+    """logit, label, n: equal pairs counted, settled; it has a row for each distinct logit and label, and the pairs are read once for it."""
+    return settle(scored.groupBy(F.col(logit).alias("logit"), F.col(label).alias("label")).agg(F.count("*").alias("n")))
+
+
 def fit_temperature(scored: DataFrame, logit: str = "logit", label: str = "label", pos_weight: bool = False, rounds: int = 6, width: int = 16) -> float:
     """T > 0 of least binary cross-entropy of sigmoid(logit / T).
 
-    The loss is convex in 1 / T.  A round evaluates `width` values in one aggregate over the pairs and narrows the
-    bracket around the best, so the corpus is read `rounds` times.
+    The loss is convex in 1 / T.  A round evaluates `width` values in one aggregate over the counts of equal pairs and narrows the
+    bracket around the best; the pairs themselves are read once.
     """
+    return _fit(logit_counts(scored, logit, label), pos_weight, rounds, width)
+
+
+def _fit(counts: DataFrame, pos_weight: bool, rounds: int = 6, width: int = 16) -> float:
     low, high = -6.0, 6.0  # of log(1 / T)
-    y = F.col(label).cast("double")
+    y, n = F.col("label").cast("double"), F.col("n")
+    mean = lambda v: F.sum(v * n) / F.sum(F.when(v.isNotNull(), n))
     weight = F.lit(1.0)
     if pos_weight:
-        rate = scored.agg(F.avg(y)).first()[0] or 0.5
+        rate = counts.agg(mean(y)).first()[0] or 0.5
         weight = F.when(y == 1, (1 - rate) / max(rate, 1e-9)).otherwise(1.0)
     for _ in range(rounds):
         marks = [low + (high - low) * i / (width - 1) for i in range(width)]
         loss = []
         for i, m in enumerate(marks):
-            z = F.col(logit) * math.exp(m)
-            loss.append(F.avg(weight * (F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z))))).alias(f"l{i}"))
-        got = list(scored.agg(*loss).first())
+            z = F.col("logit") * math.exp(m)
+            loss.append(mean(weight * (F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z))))).alias(f"l{i}"))
+        got = list(counts.agg(*loss).first())
         best = min(range(width), key=lambda i: got[i])
         low, high = marks[max(0, best - 1)], marks[min(width - 1, best + 1)]
     return math.exp(-(low + high) / 2)
