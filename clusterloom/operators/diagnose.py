@@ -168,8 +168,10 @@ def gold_pairs(dumped: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame
 
 def temperature_record(pairs: DataFrame, split: str, scores_path: str, pos_weight: bool = False) -> DataFrame:
     """One row: temperature, split, num_pairs, pos_rate, scores_path.  No pairs raise an error."""
-    n, rate = pairs.agg(F.count("*"), F.avg(F.col("label").cast("double"))).first()
+    counts = logit_counts(pairs)
+    y = F.col("label").cast("double")
+    n, rate = counts.agg(F.sum("n"), F.sum(y * F.col("n")) / F.sum(F.when(y.isNotNull(), F.col("n")))).first()
     if not n:
         raise ValueError("no pairs to fit a temperature to")
-    row = (fit_temperature(pairs, pos_weight=pos_weight), split, n, rate, scores_path)
+    row = (_fit(counts, pos_weight), split, n, rate, scores_path)
     return pairs.sparkSession.createDataFrame([row], "temperature double, split string, num_pairs long, pos_rate double, scores_path string")
