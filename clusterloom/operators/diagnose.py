@@ -29,20 +29,15 @@ def even_grid(low: float, high: float, step: float) -> list[float]:
 def tau_curve(scored: DataFrame, taus: list[float], by: list[str] | None = None) -> DataFrame:
     """by, tau, tp, fp, fn, precision, recall, f1 for every threshold (p >= tau).
 
-    A pair falls into the bucket of the thresholds that it passes; buckets are summed, and a window over at
-    most len(taus) + 1 rows a group accumulates them from above.  Pairs are read once for all thresholds.
+    Pairs are read once: a group has one sum and one count for each threshold, and nothing else is sorted, joined or shuffled.
     """
     by = by or []
-    edges = F.array(*[F.lit(float(t)) for t in taus])
-    passed = F.size(F.filter(edges, lambda t: t <= F.col("p")))
-    sums = scored.groupBy(*by, passed.alias("bucket")).agg(F.sum("label").cast("long").alias("pos"), F.count("*").alias("n"))
-    marks = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("bucket"), F.lit(float(t)).alias("tau")) for i, t in enumerate(taus)])).alias("m")
-    groups = (sums.groupBy(*by) if by else sums.groupBy(F.lit(1).alias("_all"))).agg(F.sum("pos").alias("all_pos")).select(*by, "all_pos", marks).select(*by, "all_pos", "m.bucket", "m.tau")
-    full = groups.join(sums, [*by, "bucket"], "left")
-    above = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    above = above.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, 0)
-    tp, kept = F.sum(F.coalesce("pos", F.lit(0))).over(above), F.sum(F.coalesce("n", F.lit(0))).over(above)
-    out = full.select(*by, "tau", tp.cast("long").alias("tp"), (kept - tp).cast("long").alias("fp"), (F.col("all_pos") - tp).cast("long").alias("fn"))
+    p = F.col("p")
+    sums = [x for i, t in enumerate(taus) for x in (F.sum(F.when(p >= float(t), F.col("label"))).cast("long").alias(f"_tp{i}"), F.count_if(p >= float(t)).alias(f"_n{i}"))]
+    groups = (scored.groupBy(*by) if by else scored.groupBy(F.lit(1).alias("_all"))).agg(F.sum("label").cast("long").alias("all_pos"), *sums)
+    marks = F.array(*[F.struct(F.lit(float(t)).alias("tau"), F.coalesce(f"_tp{i}", F.lit(0)).cast("long").alias("tp"), F.col(f"_n{i}").alias("kept")) for i, t in enumerate(taus)])
+    full = groups.select(*by, "all_pos", F.inline(marks))
+    out = full.select(*by, "tau", "tp", (F.col("kept") - F.col("tp")).alias("fp"), (F.col("all_pos") - F.col("tp")).alias("fn"))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return out.withColumns({"precision": p, "recall": r}).withColumn("f1", fbeta(F.col("precision"), F.col("recall")))
 
