@@ -39,27 +39,32 @@ def hypernym(gold: DataFrame, sys: DataFrame, gold_mentions: DataFrame, sys_ment
     return _table(g, hit(ge, se), s, hit(se, ge))
 
 
-def _candidates(own: DataFrame, other: DataFrame, relations: DataFrame, other_relations: DataFrame) -> DataFrame:
-    """topic, cluster, cand: clusters of the other side that hold half of a cluster's mentions; every one for a cluster without mentions."""
+def _candidates(own: DataFrame, other: DataFrame) -> DataFrame:
+    """topic, cluster, cand: clusters of the other side that hold half of a cluster's mentions; null for a cluster without mentions, which any matches."""
     size = own.groupBy("topic", "cluster").agg(F.count("*").alias("size"))
     shared = own.join(other.select("topic", "mention", F.col("cluster").alias("cand")), ["topic", "mention"]).groupBy("topic", "cluster", "cand").agg(F.count("*").alias("k"))
-    full = shared.join(size, ["topic", "cluster"]).where("2 * k >= size").select("topic", "cluster", "cand")
-    ends = lambda r: r.select("topic", F.explode(F.array("src", "dst")).alias("cluster")).distinct()
-    empty = ends(relations).join(size, ["topic", "cluster"], "left_anti")
-    every = other.select("topic", F.col("cluster").alias("cand")).unionByName(ends(other_relations).withColumnRenamed("cluster", "cand")).distinct()
-    return full.unionByName(empty.join(every, "topic"))
+    return size.join(shared, ["topic", "cluster"]).where("2 * k >= size").select("topic", "cluster", "cand")
 
 
 def hypernym50(gold: DataFrame, sys: DataFrame, gold_mentions: DataFrame, sys_mentions: DataFrame) -> DataFrame:
-    """A relation counts if some pair of candidates of its ends is a relation on the other side; relations are sets."""
+    """A relation counts if some pair of candidates of its ends is a relation on the other side; relations are sets.
+
+    Every cluster is a candidate of one without mentions.  That is no row for each of them: the relation then only needs one with
+    the other end.
+    """
     g, s = settle(_relations(gold, False)), settle(_relations(sys, False))
 
     def hit(a: DataFrame, b: DataFrame, am: DataFrame, bm: DataFrame) -> DataFrame:
-        c = _candidates(am, bm, a, b)
-        up = c.select("topic", F.col("cluster").alias("src"), F.col("cand").alias("csrc"))
-        down = c.select("topic", F.col("cluster").alias("dst"), F.col("cand").alias("cdst"))
-        on = b.select("topic", F.col("src").alias("csrc"), F.col("dst").alias("cdst"))
-        return a.join(up, ["topic", "src"]).join(on, ["topic", "csrc"]).join(down, ["topic", "dst", "cdst"], "left_semi").select("topic", "src", "dst", "n").distinct()
+        c = _candidates(am, bm)
+        held = am.select("topic", "cluster").distinct()
+        # both ends get their few candidates before the other side's relations are met
+        for end, cand in (("src", "csrc"), ("dst", "cdst")):
+            name = lambda df, *more: df.select("topic", F.col("cluster").alias(end), *more)  # noqa: B023, E731
+            a = a.join(name(held, F.lit(True).alias(f"_{end}")), ["topic", end], "left").join(name(c, F.col("cand").alias(cand)), ["topic", end], "left")
+        known = a.where("(_src is null or csrc is not null) and (_dst is null or cdst is not null)")
+        part = lambda where, on: known.where(where).join(b.select("topic", F.col("src").alias("csrc"), F.col("dst").alias("cdst")).select("topic", *on).distinct(), ["topic", *on], "left_semi").select("topic", "src", "dst", "n")
+        found = part("_src and _dst", ["csrc", "cdst"]).unionByName(part("_src is null and _dst", ["cdst"])).unionByName(part("_src and _dst is null", ["csrc"])).unionByName(part("_src is null and _dst is null", []))
+        return found.distinct()
 
     return _table(g, hit(g, s, gold_mentions, sys_mentions), s, hit(s, g, sys_mentions, gold_mentions))
 
