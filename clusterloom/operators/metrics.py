@@ -48,19 +48,25 @@ def mask_unseen(mentions: DataFrame, seen: DataFrame, keep_singletons: bool = Tr
 
 
 def contingency(alignment: DataFrame) -> DataFrame:
-    """doc, key, sys, n, size_key, size_sys; cells with a null side hold the mentions that the other side lacks."""
-    cells = alignment.groupBy("doc", "key", "sys").agg(F.count("*").alias("n"))
+    """doc, key, sys, n, size_key, size_sys; cells with a null side hold the mentions that the other side lacks.
+
+    A document's cells are brought together once, after counting, so the sizes and all sums over clusters and documents need no
+    further exchange.
+    """
+    cells = alignment.groupBy("doc", "key", "sys").agg(F.count("*").alias("n")).repartition("doc")
     size = lambda c: F.when(F.col(c).isNotNull(), F.sum("n").over(W.partitionBy("doc", c)))
     return cells.withColumns({"size_key": size("key"), "size_sys": size("sys")})
 
 
 def _side(cells: DataFrame, own: str, other: str) -> DataFrame:
-    """One row for each cluster of a side with what the link and overlap metrics need."""
+    """One row for each cluster of a side with what the link and overlap metrics need, and one for the mentions that the side lacks.
+
+    No row is left out here: a filter would go below the exchange of the cells, which then were not the same for both sides.
+    """
     both = F.col(other).isNotNull()
     n, size = F.col("n"), F.col(f"size_{own}")
     return (
-        cells.where(F.col(own).isNotNull())
-        .groupBy("doc", own)
+        cells.groupBy("doc", own)
         .agg(
             F.max(size).alias("size"),
             F.sum(F.when(both, n).otherwise(0)).alias("mapped"),
@@ -76,21 +82,19 @@ def side_sums(cells: DataFrame, own: str, other: str, prefix: str) -> DataFrame:
     """doc and numerators and denominators of MUC, B-cubed, LEA and mentions for recall (own = key) or precision (own = sys)."""
     size = F.col("size")
     lea = F.when(size == 1, (F.col("largest") == 1).cast("double")).otherwise(ratio(F.col("links"), pairs_of(size)))
-    return (
-        _side(cells, own, other)
-        .groupBy("doc")
-        .agg(
-            F.sum(F.col("mapped") - F.col("linked")).cast("double").alias(f"muc_{prefix}_num"),
-            F.sum(size - 1).cast("double").alias(f"muc_{prefix}_den"),
-            F.sum(F.col("squares") / size).alias(f"b3_{prefix}_num"),
-            F.sum(size).cast("double").alias(f"b3_{prefix}_den"),
-            F.sum(size * F.coalesce(lea, F.lit(0.0))).alias(f"lea_{prefix}_num"),
-            F.sum(size).cast("double").alias(f"lea_{prefix}_den"),
-            F.sum("mapped").cast("double").alias(f"mention_{prefix}_num"),
-            F.sum(size).cast("double").alias(f"mention_{prefix}_den"),
-            F.count("*").cast("double").alias(f"clusters_{prefix}"),
-        )
+    total = lambda x, name: F.sum(F.when(F.col(own).isNotNull(), x)).cast("double").alias(name.format(prefix))
+    sums = _side(cells, own, other).groupBy("doc").agg(
+        total(F.col("mapped") - F.col("linked"), "muc_{}_num"),
+        total(size - 1, "muc_{}_den"),
+        total(F.col("squares") / size, "b3_{}_num"),
+        total(size, "b3_{}_den"),
+        total(size * F.coalesce(lea, F.lit(0.0)), "lea_{}_num"),
+        total(size, "lea_{}_den"),
+        total(F.col("mapped"), "mention_{}_num"),
+        total(size, "mention_{}_den"),
+        F.count(own).cast("double").alias(f"clusters_{prefix}"),
     )
+    return sums.where(F.col(f"clusters_{prefix}") > 0)
 
 
 def per_document(alignment: DataFrame, missing: str = "zero") -> DataFrame:
