@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from clusterloom.functions.scalars import fbeta, pairs_of, ratio
 
@@ -152,30 +154,80 @@ def best_assignment(gain: np.ndarray) -> float:
     return float(gain[owner[used], used].sum())
 
 
+#: Documents with at most so many clusters on their smaller side are solved together with the others of their shape.
+NARROW = 5
+
+
+def best_of_many(gain: np.ndarray) -> np.ndarray:
+    """best_assignment of each gain[t, rows, columns] of few columns: rows one by one, best sums for each set of columns."""
+    m, rows, cols = gain.shape
+    best = np.zeros((1 << cols, m))
+    for r in range(rows):
+        for taken in range((1 << cols) - 1, 0, -1):  # smaller sets still are those of the rows before
+            for c in range(cols):
+                if taken >> c & 1:
+                    np.maximum(best[taken], best[taken ^ (1 << c)] + gain[:, r, c], out=best[taken])
+    return best[-1]
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """A number for each distinct value, -1 for null."""
+    return pc.fill_null(values.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        e, m = [], []
-        for cells in batch.column(1).to_pylist():
-            keys = {k: i for i, k in enumerate(dict.fromkeys(c["key"] for c in cells))}
-            syss = {k: i for i, k in enumerate(dict.fromkeys(c["sys"] for c in cells))}
-            phi4, phi3 = np.zeros((len(keys), len(syss))), np.zeros((len(keys), len(syss)))
-            for c in cells:
-                at = keys[c["key"]], syss[c["sys"]]
-                phi3[at] = c["n"]
-                phi4[at] = 2.0 * c["n"] / (c["size_key"] + c["size_sys"])
-            e.append(best_assignment(phi4))
-            m.append(best_assignment(phi3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e, pa.float64()), pa.array(m, pa.float64())], ["doc", "ceafe_num", "ceafm_num"])
+        cells, docs = batch.column(1), batch.num_rows
+        row = np.repeat(np.arange(docs), np.diff(cells.offsets.to_numpy()))
+        flat = cells.flatten()
+        n, size_key, size_sys = (np.nan_to_num(flat.field(c).to_numpy(zero_copy_only=False).astype(float)) for c in ("n", "size_key", "size_sys"))
+        side, counts = {}, {}
+        for c in ("key", "sys"):
+            code = _codes(flat.field(c))
+            there = np.unique(row[code >= 0] * (code.max(initial=0) + 1) + code[code >= 0])
+            counts[c] = np.bincount(there // (code.max(initial=0) + 1), minlength=docs)
+            side[c] = code
+        met = (side["key"] >= 0) & (side["sys"] >= 0)
+        r, n, sizes = row[met], n[met], (size_key + size_sys)[met]
+        local, shape = {}, {}
+        for c in ("key", "sys"):
+            own = r * (side[c].max(initial=0) + 1) + side[c][met]
+            there, at = np.unique(own, return_inverse=True)
+            of = there // (side[c].max(initial=0) + 1)
+            shape[c] = np.bincount(of, minlength=docs)
+            local[c] = at - (np.cumsum(shape[c]) - shape[c])[r]
+        turned = shape["key"] < shape["sys"]
+        tall, wide = np.where(turned, shape["sys"], shape["key"]), np.where(turned, shape["key"], shape["sys"])
+        i, j = np.where(turned[r], local["sys"], local["key"]), np.where(turned[r], local["key"], local["sys"])
+        got = np.zeros((2, docs))
+        cells_of = np.argsort(r, kind="stable")
+        many = np.bincount(r, minlength=docs)
+        starts = np.cumsum(many) - many
+        forms, form = np.unique(np.stack([tall, wide]), axis=1, return_inverse=True)
+        for k, (h, w) in enumerate(forms.T.tolist()):
+            if not w:
+                continue
+            every = np.flatnonzero(form == k)
+            step = max(1, (1 << 20) // (h * w)) if w <= NARROW else 1
+            for lo in range(0, len(every), step):
+                part = every[lo : lo + step]
+                count = many[part]
+                e = cells_of[np.repeat(starts[part] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+                t = np.repeat(np.arange(len(part)), count)
+                for phi, value in enumerate((2.0 * n[e] / sizes[e], n[e])):
+                    gain = np.zeros((len(part), h, w))
+                    gain[t, i[e], j[e]] = value
+                    got[phi, part] = best_of_many(gain) if w <= NARROW else best_assignment(gain[0])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, got), *(pa.array(counts[c].astype(float)) for c in ("key", "sys"))], ["doc", "ceafe_num", "ceafm_num", "clusters_r", "clusters_p"])
 
 
 def ceaf_sums(alignment: DataFrame) -> DataFrame:
     """doc, ceafe_num, ceafm_num, clusters_r, clusters_p; both CEAFs divide by cluster counts."""
     cells = contingency(alignment)
-    counts = cells.groupBy("doc").agg(F.countDistinct("key").cast("double").alias("clusters_r"), F.countDistinct("sys").cast("double").alias("clusters_p"))
-    met = cells.where("key is not null and sys is not null").groupBy("doc").agg(F.collect_list(F.struct(F.col("key").cast("string").alias("key"), F.col("sys").cast("string").alias("sys"), "n", "size_key", "size_sys")).alias("cells"))
+    plain = lambda c: F.col(c) if isinstance(cells.schema[c].dataType, NumericType) else F.col(c).cast("string").alias(c)
+    met = cells.groupBy("doc").agg(F.collect_list(F.struct(plain("key"), plain("sys"), "n", "size_key", "size_sys")).alias("cells"))
     doc = alignment.schema["doc"].dataType.simpleString()
-    solved = met.mapInArrow(_solve, f"doc {doc}, ceafe_num double, ceafm_num double")
-    return counts.where("clusters_r > 0").join(solved, "doc", "left").select("doc", F.coalesce("ceafe_num", F.lit(0.0)).alias("ceafe_num"), F.coalesce("ceafm_num", F.lit(0.0)).alias("ceafm_num"), "clusters_r", "clusters_p")
+    return met.mapInArrow(_solve, f"doc {doc}, ceafe_num double, ceafm_num double, clusters_r double, clusters_p double").where("clusters_r > 0")
 
 
 def ceaf(sums: DataFrame, which: str, beta: float = 1.0) -> DataFrame:
@@ -200,9 +252,13 @@ def chosen(metrics: tuple[str, ...] | str = "all") -> tuple[str, ...]:
 def evaluate(alignment: DataFrame, metrics: tuple[str, ...] | str = ("mention", "muc", "b3", "ceafe", "ceafm", "lea"), beta: float = 1.0, by: str | None = None) -> DataFrame:
     """metric, recall, precision, f1 rows from one aggregate; with by, a field of a struct doc, for each value of it."""
     metrics = chosen(metrics)
-    sums = per_document(alignment)
-    if any(c.startswith("ceaf") for m in metrics for c in REGISTRY[m]):
-        sums = sums.join(ceaf_sums(alignment).drop("clusters_r", "clusters_p"), "doc", "left")
+    assigned = [m for m in metrics if m.startswith("ceaf")]
+    if len(assigned) == len(metrics):
+        sums = ceaf_sums(alignment)  # it has the counts of clusters, too
+    else:
+        sums = per_document(alignment)
+        if assigned:
+            sums = sums.join(ceaf_sums(alignment).drop("clusters_r", "clusters_p"), "doc", "left")
     used = sorted({c for m in metrics for c in REGISTRY[m]})
     keys = [F.col("doc")[by].alias(by)] if by else []
     totals = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in used])
